@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actorlens.functions.columns import continuous_columns
+from actorlens.functions.parallel import run_jobs
 from actorlens.operators.neighbours import LEAF_ROWS, nearest_neighbours
 from actorlens.sources.storage import checkpointed
 
@@ -60,14 +61,17 @@ class KnnImputer:
             r["missing"]
             for r in scaled.filter(_any_null(self.columns)).select(missing.alias("missing")).distinct().collect()
         ]
-        parts = [scaled.filter(~_any_null(self.columns))]
-        for absent in sorted(patterns):
+
+        def fill(absent: list[str]) -> DataFrame:
             present = [c for c in self.columns if c not in absent]
             if not present:
                 raise ValueError("a row has no value in any column to impute")
             rows = scaled.filter(missing == F.array(*[F.lit(c) for c in absent]))
-            parts.append(self._fill(rows, present, absent).select(scaled.columns))
-        return reduce(DataFrame.unionByName, parts)
+            return self._fill(rows, present, absent).select(scaled.columns)
+
+        complete = scaled.filter(~_any_null(self.columns))
+        filled = run_jobs(df.sparkSession, fill, sorted(patterns))
+        return reduce(DataFrame.unionByName, filled, complete)
 
     def _fill(self, rows: DataFrame, present: list[str], absent: list[str]) -> DataFrame:
         donors = self.donors.select(F.col(self.key).alias("_donor"), *self.columns)

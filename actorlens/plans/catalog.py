@@ -1067,7 +1067,7 @@ def _cv(spark, d, model_maker, one_hot):
     areas, _ = models.cross_validate(
         facts, folds, prepare, _vocabularies(facts), model_maker, CV_PAIRS, one_hot
     )
-    return _rounded_areas(areas)
+    return rounded(_rounded_areas(areas), "auc_by_strength", digits=9)
 
 
 @query("rf_cv_auc")

@@ -8,22 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actorlens.functions.parallel import run_jobs
 from actorlens.operators import metrics, sampling
 from actorlens.operators.encoding import encoding_stages, feature_columns, labelled
 from actorlens.operators.joins import join_entities_to_facts
 from actorlens.plans.bindings import DROPPED
 from actorlens.sources import delimited
-from actorlens.sources.storage import load_model, materialise, save_model, scratch_path
+from actorlens.sources.storage import checkpointed, load_model, materialise, save_model, scratch_path
 
 ModelMaker = Callable[[dict[str, list[str]]], Estimator]
 
@@ -53,12 +52,6 @@ def linear_svm(vocabularies: dict[str, list[str]], **settings) -> Estimator:
     )
 
 
-def per_fold(spark: SparkSession, function: Callable[[int], DataFrame], folds: int, parallelism: int) -> list[DataFrame]:
-    """Run the jobs of several folds at a time, so that one fold's tail does not idle the cluster."""
-    with ThreadPool(max(1, min(parallelism, folds))) as pool:
-        return pool.map(inheritable_thread_target(spark)(function), range(folds))
-
-
 def model_pipeline(
     df: DataFrame,
     vocabularies: dict[str, list[str]],
@@ -81,12 +74,15 @@ def train(
 
 
 def score_rows(joined: DataFrame, model: PipelineModel, keys: Iterable[str]) -> DataFrame:
-    """Keys with the predicted class as ``pred``; ``p1`` is the class-1 probability if known."""
+    """Keys with the predicted class as ``pred`` and the strength of class 1 as ``p1``.
+
+    ``p1`` is the class probability, or the margin of a model that has none.
+    """
     scored = model.transform(joined)
-    outputs = [F.col("prediction").alias("pred")]
-    if "probability" in scored.columns:
-        outputs.append(vector_to_array("probability")[1].alias("p1"))
-    return scored.select(*keys, *outputs)
+    strength = "probability" if "probability" in scored.columns else "rawPrediction"
+    return scored.select(
+        *keys, F.col("prediction").alias("pred"), vector_to_array(strength)[1].alias("p1")
+    )
 
 
 def train_and_score(
@@ -96,7 +92,7 @@ def train_and_score(
     model_maker: ModelMaker,
     one_hot: bool = True,
 ) -> DataFrame:
-    """(bid_id, bidder_id, outcome, pred) of the validation rows."""
+    """(bid_id, bidder_id, outcome, pred, p1) of the validation rows."""
     model = train(train_rows, vocabularies, model_maker, one_hot)
     return score_rows(validation_rows, model, ["bid_id", "bidder_id", "outcome"])
 
@@ -114,6 +110,9 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Area under the curve per fold, and the score of every validated bidder.
 
+    ``auc`` ranks bidders by their share of rows predicted 1, ``auc_by_strength`` by the mean
+    strength of class 1, which still ranks them where no row crosses the threshold.
+
     ``folds`` holds the bidders with a ``fold`` column; the first ``pairs`` folds are validated.
     ``prepare`` maps the raw (train, validation) bidders of a fold to model-ready ones, fitted on
     the first only. Scored rows of a fold are written once and read back for the metric.
@@ -132,14 +131,16 @@ def cross_validate(
         )
         return materialise(scored, f"{result_dir}/result_{fold}").withColumn("fold", F.lit(fold))
 
-    scored = reduce(DataFrame.unionByName, per_fold(spark, validate, pairs, parallelism))
-    bidders = metrics.entity_scores(
-        scored,
-        "bidder_id",
-        groups=["fold"],
-        probability="p1" if "p1" in scored.columns else None,
+    scored = reduce(DataFrame.unionByName, run_jobs(spark, validate, range(pairs), parallelism))
+    bidders = checkpointed(
+        metrics.entity_scores(scored, "bidder_id", groups=["fold"], probability="p1")
+    )
+    by_share = metrics.area_under_roc(bidders, groups=["fold"])
+    by_strength = metrics.area_under_roc(bidders, "mean_probability", groups=["fold"])
+    areas = by_share.join(
+        by_strength.select("fold", F.col("auc").alias("auc_by_strength")), "fold"
     )
-    return metrics.area_under_roc(bidders, groups=["fold"]), bidders
+    return areas, bidders
 
 
 def export_scored(result: DataFrame, result_dir: str) -> None:
@@ -196,5 +197,5 @@ def cross_validated_accuracy(
         scored = materialise(predicted.select(key, "label", "prediction"), f"{path}/fold_{fold}")
         return scored.withColumn("fold", F.lit(fold))
 
-    scored = sampling.union_all(per_fold(spark, validate, k, parallelism))
+    scored = sampling.union_all(run_jobs(spark, validate, range(k), parallelism))
     return metrics.accuracy(scored, "label", "prediction", ["fold"])
