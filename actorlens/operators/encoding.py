@@ -19,14 +19,27 @@ from pyspark.sql.types import NumericType, StringType
 MAX_LEVELS = 100_000
 
 
-def vocabulary(factor_map: DataFrame, max_levels: int = MAX_LEVELS) -> list[str]:
-    """The levels of a (level, idx) table in index order; the indices have to be 0..n-1."""
-    rows = factor_map.orderBy("idx").limit(max_levels + 1).collect()
+def vocabularies(factor_maps: DataFrame, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Levels in index order per column of a (column, level, idx) table; indices are 0..n-1.
+
+    More than ``max_levels`` levels in all are refused, as the levels come to the driver.
+    """
+    rows = factor_maps.limit(max_levels + 1).collect()
     if len(rows) > max_levels:
-        raise ValueError(f"a vocabulary may hold {max_levels} levels at most")
-    if [r["idx"] for r in rows] != list(range(len(rows))):
-        raise ValueError("the indices of a factor map have to be 0..n-1")
-    return [r["level"] for r in rows]
+        raise ValueError(f"vocabularies may hold {max_levels} levels at most")
+    result: dict[str, list[str]] = {}
+    for row in sorted(rows, key=lambda r: (r["column"], r["idx"])):
+        levels = result.setdefault(row["column"], [])
+        if row["idx"] != len(levels):
+            raise ValueError("the indices of a factor map have to be 0..n-1")
+        levels.append(row["level"])
+    return result
+
+
+def vocabulary(factor_map: DataFrame, max_levels: int = MAX_LEVELS) -> list[str]:
+    """The levels of one (level, idx) table in index order."""
+    named = factor_map.withColumn("column", F.lit("levels"))
+    return vocabularies(named, max_levels).get("levels", [])
 
 
 def feature_columns(df: DataFrame, vocabularies: dict[str, list[str]], dropped: Iterable[str]) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actorlens.operators.joins import join_on
-from actorlens.operators.ordering import BEFORE, digest, ordered_index
+from actorlens.operators.ordering import BEFORE, digest, ordered_index, running_before
 
 
 def level_counts(df: DataFrame, column: str) -> DataFrame:
@@ -15,6 +15,12 @@ def level_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("level")).agg(F.count("*").alias("count"))
 
 
+def level_counts_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows per level of several columns in one pass, as (column, level, count)."""
+    long = df.select(*columns).unpivot([], columns, "column", "level")
+    return long.dropna(subset=["level"]).groupBy("column", "level").agg(F.count("*").alias("count"))
+
+
 def sorted_counts(counts: DataFrame, descending: bool = False) -> DataFrame:
     return counts.orderBy(F.desc("count") if descending else F.asc("count"), "level")
 
@@ -100,6 +106,13 @@ def factor_map(levels: DataFrame) -> DataFrame:
     )
 
 
+def factor_maps(levels: DataFrame) -> DataFrame:
+    """(column, level, idx) with idx 0..n-1 in level order within each column."""
+    ones = levels.select("column", "level", F.lit(1).cast("bigint").alias("_one"))
+    numbered = running_before(ones, ["level"], ["_one"], ["column"])
+    return numbered.select("column", "level", F.col("before__one").cast("double").alias("idx"))
+
+
 def share_of_rows(counts: DataFrame, selected: DataFrame) -> DataFrame:
     """Share of all rows that a selection of levels covers."""
     marked = join_on(counts, selected.select("level").withColumn("_in", F.lit(1)), ["level"], "left")

@@ -2,9 +2,9 @@
 
 Two ways, both exact:
 
-* ``digest_rank`` orders by the MD5 of a key. A digest's leading hex digits cut any set of
-  distinct keys into equal slices, so the plan stays lazy: count the slices, add up the slices
-  before each, and number the rows inside a slice.
+* ``digest_rank`` and ``first_by_digest`` order by the MD5 of a key. A digest's leading hex digits
+  cut any set of distinct keys into equal slices, so the plan stays lazy: count the slices, add up
+  the slices before each, and number the rows inside a slice.
 * ``running_before`` orders by values. It range-partitions, which also balances skewed values,
   writes the partitioned rows once, and adds the totals of the partitions before.
 """
@@ -25,27 +25,64 @@ def digest(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
-def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = 3) -> DataFrame:
-    """Add ``rank`` (1..n by MD5 of ``key`` within the groups) and ``group_rows`` (n).
-
-    ``key`` has to be unique within a group.
-    """
-    sliced = df.withColumn("_digest", digest(key)).withColumn(
+def _with_slices(df: DataFrame, key: str, hex_digits: int) -> DataFrame:
+    return df.withColumn("_digest", digest(key)).withColumn(
         "_slice", F.substring("_digest", 1, hex_digits)
     )
+
+
+def _slice_offsets(sliced: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows per (group, slice), rows of the group's slices before it, and rows of the group."""
     per_group = W.partitionBy(*groups)
-    slices = (
+    earlier = per_group.orderBy("_slice").rowsBetween(*BEFORE)
+    return (
         sliced.groupBy(*groups, "_slice")
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.sum("_rows").over(per_group.orderBy("_slice").rowsBetween(*BEFORE)))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .withColumn("group_rows", F.sum("_rows").over(per_group))
-        .drop("_rows")
     )
+
+
+def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = 3) -> DataFrame:
+    """Add ``rank`` (1..n by MD5 of ``key`` within the groups) and ``group_rows`` (n).
+
+    ``key`` has to be unique within a group.
+    """
+    sliced = _with_slices(df, key, hex_digits)
+    slices = _slice_offsets(sliced, groups).drop("_rows")
     joined = join_on(sliced, slices, [*groups, "_slice"])
     inside = W.partitionBy(*groups, "_slice").orderBy("_digest", key)
-    return joined.withColumn(
-        "rank", F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside)
-    ).drop("_digest", "_slice", "_offset")
+    return joined.withColumn("rank", F.col("_offset") + F.row_number().over(inside)).drop(
+        "_digest", "_slice", "_offset"
+    )
+
+
+def first_by_digest(
+    df: DataFrame, groups: list[str], key: str, share: float, output: str, hex_digits: int = 3
+) -> DataFrame:
+    """Mark the first floor(share * n) rows of each group by MD5 of ``key``.
+
+    Only the one slice of a group that the limit falls into is sorted, to find the digest at the
+    limit; all other rows are compared with that digest where they are, without a shuffle.
+    """
+    sliced = _with_slices(df, key, hex_digits)
+    limit = F.floor(F.lit(share) * F.col("group_rows"))
+    cut_slices = (
+        _slice_offsets(sliced.select(*groups, "_slice"), groups)
+        .filter((F.col("_offset") < limit) & (limit <= F.col("_offset") + F.col("_rows")))
+        .select(*groups, "_slice", (limit - F.col("_offset")).alias("_nth"))
+    )
+    in_cut_slice = join_on(sliced.select(*groups, "_slice", "_digest"), cut_slices, [*groups, "_slice"])
+    place = F.row_number().over(W.partitionBy(*groups).orderBy("_digest"))
+    cuts = (
+        in_cut_slice.withColumn("_place", place)
+        .filter(F.col("_place") == F.col("_nth"))
+        .select(*groups, F.col("_digest").alias("_cut"))
+    )
+    marked = join_on(sliced, cuts, groups, "left")
+    return marked.withColumn(
+        output, F.coalesce(F.col("_digest") <= F.col("_cut"), F.lit(False))
+    ).drop("_digest", "_slice", "_cut")
 
 
 def running_before(

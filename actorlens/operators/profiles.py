@@ -39,17 +39,18 @@ def label_counts(facts: DataFrame, attribute: str | Column, label: str) -> DataF
 
 
 def label_profile(
-    facts: DataFrame, entities: DataFrame, attribute: str, entity: str, label: str
+    facts: DataFrame, entities: DataFrame, attribute: str | list[str], entity: str, label: str
 ) -> DataFrame:
     """Rows and distinct entities per label for each level of any attribute.
 
     Facts shrink to one row per (level, entity) before they meet the labels, so the distinct
     entities of a level are plain row counts and no row is expanded per distinct column.
     """
-    pairs = facts.groupBy(attribute, entity).agg(F.count("*").alias("_rows"))
+    keys = [attribute] if isinstance(attribute, str) else attribute
+    pairs = facts.groupBy(*keys, entity).agg(F.count("*").alias("_rows"))
     labelled = pairs.join(entities.select(entity, label), entity)
     human, bot = F.col(label) == 0, F.col(label) == 1
-    return labelled.groupBy(attribute).agg(
+    return labelled.groupBy(*keys).agg(
         F.sum(F.when(human, F.col("_rows")).otherwise(0)).alias("humans"),
         F.sum(F.when(bot, F.col("_rows")).otherwise(0)).alias("bots"),
         F.count_if(human).alias("distinct_humans"),
@@ -57,6 +58,14 @@ def label_profile(
     )
 
 
+def label_profiles(
+    facts: DataFrame, entities: DataFrame, attributes: list[str], entity: str, label: str
+) -> DataFrame:
+    """``label_profile`` of several attributes in one pass, as (attribute, level, ...)."""
+    long = facts.select(entity, *attributes).unpivot(entity, attributes, "attribute", "level")
+    return label_profile(long, entities, ["attribute", "level"], entity, label)
+
+
 def distinct_profile(
     facts: DataFrame, entity: str, distinct: dict[str, str], rows: str = "bids", approximate: bool = False
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actorlens.operators.ordering import digest_rank
+from actorlens.operators.ordering import digest_rank, first_by_digest
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8) -> DataFrame:
@@ -15,9 +15,7 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8) ->
 
     The split depends on keys and labels only, not on partitioning or row order.
     """
-    ranked = digest_rank(df, [label], key)
-    cut = F.floor(F.lit(share) * F.col("group_rows"))
-    return ranked.withColumn("in_train", F.col("rank") <= cut).drop("rank", "group_rows")
+    return first_by_digest(df, [label], key, share, "in_train")
 
 
 def train_part(split: DataFrame) -> DataFrame:

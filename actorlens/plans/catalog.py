@@ -606,12 +606,8 @@ def frequent_levels(spark, d):
           FROM (SELECT DISTINCT address AS level FROM bidders)""",
 )
 def sorted_levels_index(spark, d):
-    people = b.bidders(spark, d)
-    maps = [
-        frequency.factor_map(frequency.sorted_levels(people, source)).withColumn("column", F.lit(name))
-        for name, source in (("account", "payment_account"), ("address", "address"))
-    ]
-    return sampling.union_all(maps)
+    people = b.bidders(spark, d).withColumnRenamed("payment_account", "account")
+    return features.factor_maps(people, ["account", "address"])
 
 
 def _negentropy_sql(attribute: str) -> str:
@@ -625,10 +621,6 @@ def _negentropy_sql(attribute: str) -> str:
     ).replace("WHERE true", ")")
 
 
-def _informativeness(spark, d, attribute):
-    return profiles.attribute_informativeness(_profile(spark, d, attribute))
-
-
 @query(
     "negentropy_by_attribute",
     f"""SELECT 'ip' AS attribute, ip AS level, humans, bots, distinct_humans, distinct_bots,
@@ -641,13 +633,10 @@ def _informativeness(spark, d, attribute):
                round(negentropy, 9) FROM ({_negentropy_sql("url")})""",
 )
 def negentropy_by_attribute(spark, d):
-    parts = [
-        _informativeness(spark, d, a)
-        .withColumnRenamed(a, "level")
-        .withColumn("attribute", F.lit(a))
-        for a in ("ip", "device", "url")
-    ]
-    return rounded(sampling.union_all(parts), "negentropy", digits=9)
+    levels = profiles.label_profiles(
+        b.bids(spark, d), b.training(spark, d), ["ip", "device", "url"], "bidder_id", "outcome"
+    )
+    return rounded(profiles.attribute_informativeness(levels), "negentropy", digits=9)
 
 
 _INFORMATIVE = f"""informative AS (
@@ -656,7 +645,8 @@ _INFORMATIVE = f"""informative AS (
 
 
 def _informative_ips(spark, d):
-    return profiles.informative(_informativeness(spark, d, "ip"), MIN_LEVEL_ROWS, -0.7)
+    levels = profiles.attribute_informativeness(_profile(spark, d, "ip"))
+    return profiles.informative(levels, MIN_LEVEL_ROWS, -0.7)
 
 
 @query(
@@ -830,9 +820,11 @@ def knn_impute_pairs(spark, d):
 # ---------------------------------------------------------------- encoding
 
 
+_FREQUENT = {"device": FREQUENT, "url": FREQUENT}
+
+
 def _vocabularies(facts: DataFrame) -> dict[str, list[str]]:
-    maps = features.vocabularies(facts, {"device": FREQUENT, "url": FREQUENT})
-    return {column: encoding.vocabulary(m) for column, m in maps.items()}
+    return encoding.vocabularies(features.factor_maps(facts, b.CATEGORICAL, _FREQUENT))
 
 
 def _encoded(spark, d, one_hot):
@@ -1038,12 +1030,10 @@ def csv_roundtrip(spark, d):
           UNION ALL SELECT 'url', url, CAST(idx_url AS DOUBLE) FROM map_url""",
 )
 def factor_map_roundtrip(spark, d):
-    maps = features.vocabularies(
-        b.bids(spark, d), {"device": FREQUENT, "url": FREQUENT}, ("country", "device", "url")
-    )
-    paths = {column: scratch_path(spark, f"{column}-map") for column in maps}
-    for column, factor_map in maps.items():
-        factor_maps.write_factor_map(factor_map, paths[column])
+    columns = ["country", "device", "url"]
+    maps = checkpointed(features.factor_maps(b.bids(spark, d), columns, _FREQUENT))
+    paths = {column: scratch_path(spark, f"{column}-map") for column in columns}
+    factor_maps.write_factor_maps(maps, paths)
     return factor_maps.long_factor_maps(spark, paths)
 
 

@@ -47,16 +47,9 @@ def imputed_pair(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFra
     return imputer.transform(train), imputer.transform(other), imputer
 
 
-def vocabularies(
-    bids: DataFrame,
-    frequent: dict[str, int] | None = None,
-    columns: tuple[str, ...] = ("country", "device", "merchandise", "url"),
-) -> dict[str, DataFrame]:
-    """Factor map per categorical column: all levels, or those with at least a number of rows."""
-    maps = {}
-    for column in columns:
-        counts = frequency.level_counts(bids, column).filter(F.col("level").isNotNull())
-        if frequent and column in frequent:
-            counts = frequency.frequent_levels(counts, frequent[column])
-        maps[column] = frequency.factor_map(counts)
-    return maps
+def factor_maps(bids: DataFrame, columns: list[str], frequent: dict[str, int] | None = None) -> DataFrame:
+    """(column, level, idx) of categorical columns: all levels, or those with a number of rows."""
+    counts = frequency.level_counts_by_column(bids, columns)
+    for column, threshold in (frequent or {}).items():
+        counts = counts.filter((F.col("column") != column) | (F.col("count") >= threshold))
+    return frequency.factor_maps(counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.operators.encoding import vocabulary
+from actorlens.operators.encoding import vocabularies
 
 
 def read_factor_map(spark: SparkSession, path: str) -> DataFrame:
@@ -22,9 +22,15 @@ def write_factor_map(factor_map: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)
 
 
+def write_factor_maps(factor_maps: DataFrame, paths: dict[str, str]) -> None:
+    """Write each column of a (column, level, idx) table to its own file."""
+    for column, path in paths.items():
+        write_factor_map(factor_maps.filter(F.col("column") == column).drop("column"), path)
+
+
 def read_vocabularies(spark: SparkSession, paths: dict[str, str]) -> dict[str, list[str]]:
     """Levels in index order for each column, from the column's factor map file."""
-    return {column: vocabulary(read_factor_map(spark, path)) for column, path in paths.items()}
+    return vocabularies(long_factor_maps(spark, paths))
 
 
 def long_factor_maps(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
