@@ -75,20 +75,22 @@ def tick_gaps(
     )
 
 
-def with_zeros(gap: Column, zeros: Column) -> tuple[Column, Column, Column]:
+def with_zeros(gap: Column, zeros: Column, scale: float) -> tuple[Column, Column, Column]:
     """Aggregates count, mean and sample sd of non-null gaps plus a number of zero gaps.
 
-    The zeros join as a group of their own with mean 0, which needs no per-row copies.
+    Gaps are whole ticks, so their sum is exact in any order. The zeros join as a group of their
+    own with mean 0, which needs no per-row copies.
     """
     seen = F.count(gap)
     zero_rows = F.coalesce(F.sum(zeros), F.lit(0))
     rows = seen + zero_rows
-    mean = F.coalesce(F.avg(gap.cast("double")), F.lit(0.0))
-    inner = F.coalesce(F.var_pop(gap.cast("double")), F.lit(0.0)) * seen
-    between = mean * mean * seen * zero_rows / F.nullif(rows, F.lit(0))
+    total = F.coalesce(F.sum(gap), F.lit(0))
+    mean = total / F.nullif(seen, F.lit(0)) / scale
+    inner = F.coalesce(F.var_pop(gap / scale), F.lit(0.0)) * seen
+    between = F.coalesce(mean * mean * seen, F.lit(0.0)) * zero_rows / F.nullif(rows, F.lit(0))
     return (
         rows,
-        mean * seen / F.nullif(rows, F.lit(0)),
+        total / F.nullif(rows, F.lit(0)) / scale,
         F.sqrt((inner + between) / F.when(rows > 1, rows - 1)),
     )
 
@@ -106,9 +108,9 @@ def gap_stats(
     A key without a kept gap has null mean, one with a single kept gap has null sd.
     """
     ticks = tick_gaps(facts, keys, time, segment_rows=segment_rows)
-    kept = F.when(F.col("gap") < cutoff, F.col("gap") / scale)
+    kept = F.when(F.col("gap") < cutoff, F.col("gap"))
     zeros = (F.col("rows") - 1) if cutoff > 0 else F.lit(0)
-    count, mean, sd = with_zeros(kept, zeros)
+    count, mean, sd = with_zeros(kept, zeros, scale)
     return ticks.groupBy(*keys).agg(
         count.alias("gaps"), mean.alias("avg_gap"), sd.alias("sd_gap")
     )
@@ -137,12 +139,12 @@ def responder_gap_stats(
         F.count_if(is_bot).alias("_bots"),
     ]
     ticks = tick_gaps(facts, [group], time, payload, segment_rows)
-    kept = F.when(F.col("gap") < cutoff, F.col("gap") / scale)
+    kept = F.when(F.col("gap") < cutoff, F.col("gap"))
     outputs = []
     for name, value, rows in (("human", 0, "_humans"), ("bot", 1, "_bots")):
         first = F.coalesce(F.col("_first_label") == value, F.lit(False))
         zeros = (F.col(rows) - first.cast("bigint")) if cutoff > 0 else F.lit(0)
-        count, mean, sd = with_zeros(F.when(first, kept), zeros)
+        count, mean, sd = with_zeros(F.when(first, kept), zeros, scale)
         outputs += [
             count.alias(f"{name}_gaps"),
             mean.alias(f"{name}_avg"),
@@ -184,8 +186,8 @@ def apply_to_segments(
 ) -> DataFrame:
     """Call a pandas function per key, and per time segment of a hot key.
 
-    The function gets the ticks of one key or segment (keys, time, rows, gap; gaps reach across
-    segment borders) and returns rows of ``schema``, to be merged by a native aggregation: so no
+    The function gets the ticks of one key or segment in order (keys, time, rows, gap; gaps reach
+    across segment borders) and returns rows of ``schema``, to be merged by a native aggregation: so no
     call ever needs all rows of a hot key.
     """
     spans = hot_spans(facts, keys, time, segment_rows)
@@ -193,6 +195,6 @@ def apply_to_segments(
     segmented = with_segments(ticks, keys, time, spans)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        return function(pdf.drop(columns="_segment").sort_values(time))
+        return function(pdf.sort_values(time))
 
     return segmented.groupBy(*keys, "_segment").applyInPandas(call, schema)

@@ -78,9 +78,10 @@ def _gap_sql(keys: str) -> str:
 gaps AS (
   SELECT {keys}, time - lag(time) OVER (PARTITION BY {keys} ORDER BY time, bid_id) AS gap
   FROM bids),
-kept AS (SELECT *, CASE WHEN gap < {b.GAP_CUTOFF} THEN gap / 1e6 END AS g FROM gaps),
+kept AS (SELECT *, CASE WHEN gap < {b.GAP_CUTOFF} THEN gap END AS g FROM gaps),
 stats AS (
-  SELECT {keys}, count(g) AS gaps, avg(g) AS avg_gap, stddev_samp(g) AS sd_gap
+  SELECT {keys}, count(g) AS gaps, CAST(sum(g) AS DOUBLE) / nullif(count(g), 0) / 1e6 AS avg_gap,
+         stddev_samp(g / 1e6) AS sd_gap
   FROM kept GROUP BY {keys})"""
 
 
@@ -460,13 +461,14 @@ def gaps_by_bidder_auction(spark, d):
             SELECT auction, outcome,
                    time - lag(time) OVER (PARTITION BY auction ORDER BY time, bid_id) AS gap
             FROM bids LEFT JOIN training USING (bidder_id)),
-          kept AS (SELECT *, CASE WHEN gap < {b.GAP_CUTOFF} THEN gap / 1e6 END AS g FROM gaps)
-          SELECT auction, count(g) FILTER (outcome = 0) AS human_gaps,
-                 round(avg(g) FILTER (outcome = 0), 6) AS human_avg,
-                 round(stddev_samp(g) FILTER (outcome = 0), 6) AS human_sd,
-                 count(g) FILTER (outcome = 1) AS bot_gaps,
-                 round(avg(g) FILTER (outcome = 1), 6) AS bot_avg,
-                 round(stddev_samp(g) FILTER (outcome = 1), 6) AS bot_sd
+          kept AS (SELECT auction, CASE WHEN outcome = 0 AND gap < {b.GAP_CUTOFF} THEN gap END AS h,
+                          CASE WHEN outcome = 1 AND gap < {b.GAP_CUTOFF} THEN gap END AS r FROM gaps)
+          SELECT auction, count(h) AS human_gaps,
+                 round(CAST(sum(h) AS DOUBLE) / nullif(count(h), 0) / 1e6, 6) AS human_avg,
+                 round(stddev_samp(h / 1e6), 6) AS human_sd,
+                 count(r) AS bot_gaps,
+                 round(CAST(sum(r) AS DOUBLE) / nullif(count(r), 0) / 1e6, 6) AS bot_avg,
+                 round(stddev_samp(r / 1e6), 6) AS bot_sd
           FROM kept GROUP BY auction""",
 )
 def auction_responder_gaps(spark, d):
@@ -495,14 +497,15 @@ def grouped_table_udf(spark, d):
     cutoff = b.GAP_CUTOFF
 
     def kept_gaps(ticks: pd.DataFrame) -> pd.DataFrame:
-        seconds = ticks["gap"][ticks["gap"] < cutoff] / 1e6
+        rows, gap = ticks["rows"].to_numpy(), ticks["gap"].to_numpy(float)
+        seconds = gap[gap < cutoff] / 1e6
         return pd.DataFrame(
             {
-                "bidder_id": [ticks["bidder_id"].iloc[0]],
-                "bids": [ticks["rows"].sum()],
-                "n": [len(seconds) + (ticks["rows"] - 1).sum()],
-                "total": [seconds.sum()],
-                "squares": [(seconds * seconds).sum()],
+                "bidder_id": ticks["bidder_id"].iloc[:1],
+                "bids": rows.sum(),
+                "n": len(seconds) + (rows - 1).sum(),
+                "total": seconds.sum(),
+                "squares": (seconds * seconds).sum(),
             }
         )
 
@@ -764,7 +767,7 @@ def _impute_sql(fit: str, target: str, key: str) -> str:
     distance = " + ".join(
         f"coalesce((q.{c} - r.{c}) * (q.{c} - r.{c}), 0)" for c in columns
     )
-    filled = ", ".join(f"round(coalesce(z.{c}, f.{c}), 9) AS {c}" for c in columns)
+    filled = ", ".join(f"round(coalesce(z.{c}, f.{c}) + 1e-10, 6) AS {c}" for c in columns)
     means = ", ".join(f"avg({c}) AS {c}" for c in columns)
     donor = ", ".join(f"r.{c} AS {c}" for c in columns)
     return f""",
@@ -779,6 +782,11 @@ f AS (SELECT {key}, {means} FROM ranked WHERE nth <= 5 GROUP BY {key})
 SELECT z.{key}, {filled} FROM z LEFT JOIN f USING ({key})"""
 
 
+def _rounded_scores(filled: DataFrame) -> DataFrame:
+    """Six digits; means of five 9-digit scores lie 2e-10 apart, and the shift keeps them off ties."""
+    return filled.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in features.NUMERIC})
+
+
 @query(
     "standardize_knn_impute",
     _with(_BIDS, _BIDDERS, _feature_sql("bidder_id"))
@@ -795,7 +803,7 @@ def standardize_knn_impute(spark, d):
     known = features.labelled_bidders(people, per_bidder)
     imputer = impute.fit_imputer(known, "bidder_id", features.NUMERIC)
     filled = imputer.transform(features.bidders_to_score(people, per_bidder))
-    return rounded(filled.select("bidder_id", *features.NUMERIC), *features.NUMERIC, digits=9)
+    return _rounded_scores(filled.select("bidder_id", *features.NUMERIC))
 
 
 @query(
@@ -814,7 +822,7 @@ def knn_impute_pairs(spark, d):
         gaps.entity_features(facts, "pair", "time", b.DISTINCT_FEATURES, b.GAP_CUTOFF, SECONDS)
     )
     filled = impute.fit_imputer(table, "pair", features.NUMERIC).transform(table)
-    return rounded(filled, *features.NUMERIC, digits=9)
+    return _rounded_scores(filled)
 
 
 # ---------------------------------------------------------------- encoding
