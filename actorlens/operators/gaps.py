@@ -46,14 +46,14 @@ def with_segments(
     return joined.withColumn("_segment", segment).drop("_first", "_width")
 
 
-def tick_gaps(
+def segmented_tick_gaps(
     facts: DataFrame,
     keys: list[str],
     time: str,
     payload: list[Column] | None = None,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """One row per (key, tick): ``rows``, the aggregates of ``payload``, and ``gap``.
+    """One row per (key, tick): ``rows``, the aggregates of ``payload``, ``gap`` and ``_segment``.
 
     ``gap`` is the distance to the key's previous tick, null for its first.
     """
@@ -71,10 +71,21 @@ def tick_gaps(
     previous = segmented.withColumn("_previous", F.lag(time).over(inside))
     joined = join_on(previous, carried, [*keys, "_segment"], "left")
     return joined.withColumn("gap", F.col(time) - F.coalesce("_previous", "_carried")).drop(
-        "_previous", "_carried", "_segment"
+        "_previous", "_carried"
     )
 
 
+def tick_gaps(
+    facts: DataFrame,
+    keys: list[str],
+    time: str,
+    payload: list[Column] | None = None,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """``segmented_tick_gaps`` without the segment."""
+    return segmented_tick_gaps(facts, keys, time, payload, segment_rows).drop("_segment")
+
+
 def with_zeros(gap: Column, zeros: Column, scale: float) -> tuple[Column, Column, Column]:
     """Aggregates count, mean and sample sd of non-null gaps plus a number of zero gaps.
 
@@ -190,11 +201,9 @@ def apply_to_segments(
     across segment borders) and returns rows of ``schema``, to be merged by a native aggregation: so no
     call ever needs all rows of a hot key.
     """
-    spans = hot_spans(facts, keys, time, segment_rows)
-    ticks = tick_gaps(facts, keys, time, segment_rows=segment_rows)
-    segmented = with_segments(ticks, keys, time, spans)
+    ticks = segmented_tick_gaps(facts, keys, time, segment_rows=segment_rows)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         return function(pdf.sort_values(time))
 
-    return segmented.groupBy(*keys, "_segment").applyInPandas(call, schema)
+    return ticks.groupBy(*keys, "_segment").applyInPandas(call, schema)

@@ -52,25 +52,22 @@ def linear_svm(vocabularies: dict[str, list[str]], **settings) -> Estimator:
     )
 
 
-def model_pipeline(
-    df: DataFrame,
+def train(
+    joined: DataFrame,
     vocabularies: dict[str, list[str]],
     model_maker: ModelMaker,
     one_hot: bool,
     dropped: Iterable[str] = DROPPED,
-) -> Pipeline:
-    """Encoding and model in one pipeline, so that training and scoring encode alike."""
-    columns = feature_columns(df, vocabularies, {*dropped, "outcome", "label"})
-    stages = encoding_stages(columns, vocabularies, one_hot)
-    return Pipeline(stages=[*stages, model_maker(vocabularies)])
-
-
-def train(
-    joined: DataFrame, vocabularies: dict[str, list[str]], model_maker: ModelMaker, one_hot: bool
 ) -> PipelineModel:
-    """Fit on the rows of bidders joined with bids."""
-    pipeline = model_pipeline(joined, vocabularies, model_maker, one_hot)
-    return pipeline.fit(labelled(joined, "outcome"))
+    """Fit on the rows of bidders joined with bids: encoding and model in one pipeline model.
+
+    Training passes over its input several times, so the joined and encoded rows are written once.
+    """
+    columns = feature_columns(joined, vocabularies, {*dropped, "outcome"})
+    encoder = Pipeline(stages=encoding_stages(columns, vocabularies, one_hot)).fit(joined)
+    encoded = labelled(encoder.transform(joined), "outcome").select("label", "features")
+    model = model_maker(vocabularies).fit(materialise(encoded))
+    return PipelineModel(stages=[*encoder.stages, model])
 
 
 def score_rows(joined: DataFrame, model: PipelineModel, keys: Iterable[str]) -> DataFrame:
