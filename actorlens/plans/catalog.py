@@ -589,6 +589,17 @@ def top_levels(spark, d):
     return frequency.top_levels(frequency.level_counts(b.bids(spark, d), "ip"), 99)
 
 
+@query(
+    "top_level_vocabulary",
+    _with(_BIDS)
+    + """ SELECT level, CAST(row_number() OVER (ORDER BY level) - 1 AS DOUBLE) AS idx FROM (
+            SELECT ip AS level, count(*) AS n FROM bids GROUP BY ip ORDER BY n DESC, level LIMIT 99)""",
+)
+def top_level_vocabulary(spark, d):
+    counts = frequency.level_counts(b.bids(spark, d), "ip")
+    return frequency.factor_map(frequency.top_levels(counts, 99))
+
+
 @query(
     "frequent_levels",
     _with(_BIDS)
@@ -720,6 +731,34 @@ def boxplot_by_label(spark, d):
     return rounded(boxes, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+@query(
+    "boxplot_gaps_by_merchandise",
+    _with(_BIDS, _BIDDERS, _TRAINING, _gap_sql("bidder_id, merchandise"))
+    + """, long AS (SELECT merchandise, outcome, round(log10(avg_gap), 6) AS v
+                    FROM stats JOIN training USING (bidder_id) WHERE avg_gap > 0),
+         boxes AS (SELECT merchandise, outcome, count(*) AS n, quantile_cont(v, 0.25) AS q1,
+                          quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+                   FROM long GROUP BY merchandise, outcome)
+         SELECT merchandise, outcome, n, round(q1 + 1e-9, 6) AS q1, round(median + 1e-9, 6) AS median,
+                round(q3 + 1e-9, 6) AS q3
+         FROM boxes""",
+)
+def boxplot_gaps_by_merchandise(spark, d):
+    keys = ["bidder_id", "merchandise"]
+    stats = gaps.gap_stats(b.bids(spark, d), keys, "time", b.GAP_CUTOFF, SECONDS)
+    labelled = stats.join(b.training(spark, d).select("bidder_id", "outcome"), "bidder_id")
+    long = labelled.filter("avg_gap > 0").withColumn("v", F.round(F.log10("avg_gap"), 6))
+    groups = ["merchandise", "outcome"]
+    boxes = quantiles.quantiles(
+        quantiles.value_distribution(long, groups, "v"),
+        groups,
+        "v",
+        {"q1": 0.25, "median": 0.5, "q3": 0.75},
+    )
+    # Quartiles of 6-digit values lie between them by quarters; the shift keeps them off ties.
+    return boxes.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("q1", "median", "q3")})
+
+
 # ---------------------------------------------------------------- splits and sampling
 
 
@@ -806,6 +845,33 @@ def standardize_knn_impute(spark, d):
     return _rounded_scores(filled.select("bidder_id", *features.NUMERIC))
 
 
+def _pair_features(spark, d):
+    """Behaviour per bidder and merchandise: many pairs have too few gaps for a mean or an sd."""
+    facts = b.bids(spark, d).withColumn("pair", F.concat_ws("/", "bidder_id", "merchandise"))
+    return gaps.entity_features(facts, "pair", "time", b.DISTINCT_FEATURES, b.GAP_CUTOFF, SECONDS)
+
+
+@query(
+    "impute_by_training_part",
+    _with(
+        _BIDS.replace("bids AS (", "raw AS (", 1),
+        "\nbids AS (SELECT *, bidder_id || '/' || merchandise AS pair FROM raw)",
+        _feature_sql("pair"),
+    )
+    + """, parts AS (SELECT *, row_number() OVER (ORDER BY md5(pair))
+                               <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER ()) AS in_train
+                     FROM features),
+         fitted AS (SELECT * FROM parts WHERE in_train),
+         applied AS (SELECT * FROM parts WHERE NOT in_train)"""
+    + _impute_sql("fitted", "applied", "pair"),
+)
+def impute_by_training_part(spark, d):
+    table = _pair_features(spark, d).withColumn("all", F.lit(0))
+    split = checkpointed(sampling.stratified_split(table, "pair", "all").drop("all"))
+    imputer = impute.fit_imputer(sampling.train_part(split), "pair", features.NUMERIC)
+    return _rounded_scores(imputer.transform(sampling.test_part(split)))
+
+
 @query(
     "knn_impute_pairs",
     _with(
@@ -816,11 +882,7 @@ def standardize_knn_impute(spark, d):
     + _impute_sql("features", "features", "pair"),
 )
 def knn_impute_pairs(spark, d):
-    # Behaviour per bidder and merchandise: many pairs have too few gaps for a mean or an sd.
-    facts = b.bids(spark, d).withColumn("pair", F.concat_ws("/", "bidder_id", "merchandise"))
-    table = checkpointed(
-        gaps.entity_features(facts, "pair", "time", b.DISTINCT_FEATURES, b.GAP_CUTOFF, SECONDS)
-    )
+    table = checkpointed(_pair_features(spark, d))
     filled = impute.fit_imputer(table, "pair", features.NUMERIC).transform(table)
     return _rounded_scores(filled)
 

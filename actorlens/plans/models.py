@@ -25,6 +25,7 @@ from actorlens.sources import delimited
 from actorlens.sources.storage import checkpointed, load_model, materialise, save_model, scratch_path
 
 ModelMaker = Callable[[dict[str, list[str]]], Estimator]
+Augment = Callable[[DataFrame], DataFrame]
 
 # The forest and SVM settings that results are compared under.
 FOREST = {"numTrees": 50, "maxDepth": 4, "impurity": "gini", "featureSubsetStrategy": "auto"}
@@ -58,15 +59,18 @@ def train(
     model_maker: ModelMaker,
     one_hot: bool,
     dropped: Iterable[str] = DROPPED,
+    augment: Augment | None = None,
 ) -> PipelineModel:
     """Fit on the rows of bidders joined with bids: encoding and model in one pipeline model.
 
     Training passes over its input several times, so the joined and encoded rows are written once.
+    ``augment`` may change the rows (label, features) before, such as oversample a rare label.
     """
     columns = feature_columns(joined, vocabularies, {*dropped, "outcome"})
     encoder = Pipeline(stages=encoding_stages(columns, vocabularies, one_hot)).fit(joined)
     encoded = labelled(encoder.transform(joined), "outcome").select("label", "features")
-    model = model_maker(vocabularies).fit(materialise(encoded))
+    rows = materialise(augment(encoded) if augment else encoded)
+    model = model_maker(vocabularies).fit(rows.select("label", "features"))
     return PipelineModel(stages=[*encoder.stages, model])
 
 
@@ -88,9 +92,10 @@ def train_and_score(
     vocabularies: dict[str, list[str]],
     model_maker: ModelMaker,
     one_hot: bool = True,
+    augment: Augment | None = None,
 ) -> DataFrame:
     """(bid_id, bidder_id, outcome, pred, p1) of the validation rows."""
-    model = train(train_rows, vocabularies, model_maker, one_hot)
+    model = train(train_rows, vocabularies, model_maker, one_hot, augment=augment)
     return score_rows(validation_rows, model, ["bid_id", "bidder_id", "outcome"])
 
 
@@ -104,6 +109,7 @@ def cross_validate(
     one_hot: bool = True,
     result_dir: str | None = None,
     parallelism: int = 4,
+    augment: Augment | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Area under the curve per fold, and the score of every validated bidder.
 
@@ -125,6 +131,7 @@ def cross_validate(
             vocabularies,
             model_maker,
             one_hot,
+            augment,
         )
         return materialise(scored, f"{result_dir}/result_{fold}").withColumn("fold", F.lit(fold))
 

@@ -82,6 +82,22 @@ def test_any_estimator_fits_in(prepared):
     assert areas.first()["auc_by_strength"] > 0.8
 
 
+def test_oversampling_the_training_rows_lifts_the_share(prepared):
+    bids, known, _ = prepared
+    folds = storage.checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 3))
+
+    def balance(rows):
+        return sampling.replicate(rows, "label", 1.0, 20)
+
+    shares = []
+    for augment in (None, balance):
+        _, scores = models.cross_validate(
+            bids, folds, prepare, LEVELS, models.random_forest, 1, False, augment=augment
+        )
+        shares.append(scores.agg(F.avg("prob")).first()[0])
+    assert shares[0] <= shares[1]
+
+
 @pytest.mark.parametrize(
     "maker, one_hot", [(models.random_forest, False), (models.linear_svm, True)]
 )
