@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,42 +20,34 @@ from actorlens.sources.storage import checkpointed
 LEAF_ROWS = 128
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
-def _square(column: Column) -> Column:
-    return column * column
-
-
 def _boxes(donors: DataFrame, dims: list[str], leaf_rows: int) -> DataFrame:
     """Count, extremes and split mark of every cell."""
-    extremes = [f(d).alias(f"_{side}_{d}") for d in dims for side, f in (("lo", F.min), ("hi", F.max))]
-    boxes = donors.groupBy("_parent", "_cell").agg(F.count("*").alias("_donors"), *extremes)
-    wide = reduce(lambda a, b: a | b, [F.col(f"_lo_{d}") < F.col(f"_hi_{d}") for d in dims])
-    return boxes.withColumn("_splits", (F.col("_donors") > leaf_rows) & wide)
+    extremes = [f"{f}(`{d}`) AS `_{side}_{d}`" for d in dims for side, f in (("lo", "min"), ("hi", "max"))]
+    wide = " OR ".join(f"`_lo_{d}` < `_hi_{d}`" for d in dims)
+    boxes = donors.groupBy("_parent", "_cell").agg(
+        F.count("*").alias("_donors"), *[F.expr(e) for e in extremes]
+    )
+    return boxes.withColumn("_splits", F.expr(f"_donors > {leaf_rows} AND ({wide})"))
 
 
 def _descend(donors: DataFrame, boxes: DataFrame, dims: list[str]) -> DataFrame:
     """Move the donors of the cells that split into their child cells."""
     split = boxes.filter("_splits").drop("_parent", "_donors", "_splits")
-    joined = donors.join(split, "_cell")
-    digits = []
-    for d in dims:
-        low, high = F.col(f"_lo_{d}"), F.col(f"_hi_{d}")
-        place = F.floor((F.col(d) - low) / F.nullif(high - low, F.lit(0.0)) * 4)
-        digits.append(F.coalesce(F.least(place, F.lit(3)), F.lit(0)).cast("string"))
-    child = F.concat(F.col("_cell"), F.lit("/"), *digits)
-    return joined.select(
-        F.col("_cell").alias("_parent"),
-        child.alias("_cell"),
-        *[c for c in donors.columns if c not in ("_cell", "_parent")],
+    quarters = ", ".join(
+        f"string(coalesce(least(int((`{d}` - `_lo_{d}`) / nullif(`_hi_{d}` - `_lo_{d}`, 0) * 4), 3), 0))"
+        for d in dims
+    )
+    kept = [f"`{c}`" for c in donors.columns if c not in ("_cell", "_parent")]
+    return donors.join(split, "_cell").selectExpr(
+        "_cell AS _parent", f"concat(_cell, '/', {quarters}) AS _cell", *kept
     )
 
 
-def build_tree(donors: DataFrame, dims: list[str], leaf_rows: int = LEAF_ROWS) -> tuple[list[DataFrame], list[DataFrame]]:
+def build_tree(
+    donors: DataFrame, dims: list[str], leaf_rows: int = LEAF_ROWS
+) -> tuple[list[DataFrame], list[DataFrame]]:
     """Boxes per level, and the donors with the level's cell as ``_cell``."""
-    level = checkpointed(donors.withColumn("_parent", F.lit("")).withColumn("_cell", F.lit("0")))
+    level = checkpointed(donors.selectExpr("'' AS _parent", "'0' AS _cell", "*"))
     boxes, members = [], []
     while True:
         box = checkpointed(_boxes(level, dims, leaf_rows))
@@ -66,6 +58,47 @@ def build_tree(donors: DataFrame, dims: list[str], leaf_rows: int = LEAF_ROWS) -
         level = checkpointed(_descend(level, box, dims))
 
 
+def _leaf_donors(boxes: list[DataFrame], members: list[DataFrame]) -> DataFrame:
+    """The donors of all leaves with their cell as ``_at``; a cell's name is unique in the tree."""
+    leaves = [
+        level.join(box.filter("NOT _splits").select("_cell"), "_cell", "left_semi")
+        for box, level in zip(boxes, members)
+    ]
+    return reduce(DataFrame.unionByName, leaves).drop("_parent").withColumnRenamed("_cell", "_at")
+
+
+def _frontier(queries: DataFrame, boxes: list[DataFrame], dims: list[str], k: int) -> DataFrame:
+    """The leaves (``_at``) that may hold a neighbour of each distinct query point (``_q_*``)."""
+    q = [f"_q_{d}" for d in dims]
+    frontier = (
+        queries.selectExpr(*[f"`{d}` AS `_q_{d}`" for d in dims])
+        .distinct()
+        .selectExpr("*", "'' AS _at", "0L AS _seen", "0D AS _far", "0D AS _near")
+    )
+    outside = [f"greatest(`_lo_{d}` - `_q_{d}`, `_q_{d}` - `_hi_{d}`, 0D)" for d in dims]
+    across = [f"greatest(`_q_{d}` - `_lo_{d}`, `_hi_{d}` - `_q_{d}`)" for d in dims]
+    near, far = (" + ".join(f"{x} * {x}" for x in side) for side in (outside, across))
+    per_query = W.partitionBy(*q)
+    nearest_first = per_query.orderBy("_far", "_at").rowsBetween(W.unboundedPreceding, 0)
+    for box in boxes:
+        children = box.withColumnRenamed("_parent", "_at").drop("_splits")
+        met = frontier.join(children, "_at", "left").selectExpr(
+            *[f"`{c}`" for c in q],
+            "coalesce(_cell, _at) AS _at",
+            "coalesce(_donors, _seen) AS _seen",
+            f"if(_cell IS NULL, _far, {far}) AS _far",
+            f"if(_cell IS NULL, _near, {near}) AS _near",
+        )
+        bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(per_query)
+        frontier = (
+            met.withColumn("_held", F.sum("_seen").over(nearest_first))
+            .withColumn("_bound", bound)
+            .filter("_bound IS NULL OR _near <= _bound")
+            .drop("_held", "_bound")
+        )
+    return frontier.select(*q, "_at")
+
+
 def nearest_neighbours(
     queries: DataFrame,
     donors: DataFrame,
@@ -83,57 +116,10 @@ def nearest_neighbours(
     at_point = W.partitionBy(*dims).orderBy(donor_key)
     kept = donors.withColumn("_nth", F.row_number().over(at_point)).filter(F.col("_nth") <= k)
     boxes, members = build_tree(kept.drop("_nth"), dims, leaf_rows)
-
-    point = [F.col(d).alias(f"_q_{d}") for d in dims]
-    q = [f"_q_{d}" for d in dims]
-    frontier = (
-        queries.select(*point)
-        .distinct()
-        .select("*", F.lit("").alias("_at"), F.lit(0).cast("bigint").alias("_seen"))
-        .withColumns({"_far": F.lit(0.0), "_near": F.lit(0.0), "_level": F.lit(0)})
-    )
-    outside = [
-        F.greatest(F.col(f"_lo_{d}") - F.col(f"_q_{d}"), F.col(f"_q_{d}") - F.col(f"_hi_{d}"), F.lit(0.0))
-        for d in dims
-    ]
-    across = [
-        F.greatest(F.col(f"_q_{d}") - F.col(f"_lo_{d}"), F.col(f"_hi_{d}") - F.col(f"_q_{d}"))
-        for d in dims
-    ]
-    per_query = W.partitionBy(*q)
-    nearest_first = per_query.orderBy("_far", "_at").rowsBetween(W.unboundedPreceding, 0)
-    for number, box in enumerate(boxes):
-        children = box.withColumnRenamed("_parent", "_at").drop("_splits")
-        met = frontier.join(children, "_at", "left")
-        moved = F.col("_cell").isNotNull()
-        met = met.select(
-            *q,
-            F.coalesce("_cell", "_at").alias("_at"),
-            F.coalesce("_donors", "_seen").alias("_seen"),
-            F.when(moved, _sum([_square(a) for a in across])).otherwise(F.col("_far")).alias("_far"),
-            F.when(moved, _sum([_square(o) for o in outside])).otherwise(F.col("_near")).alias("_near"),
-            F.when(moved, F.lit(number)).otherwise(F.col("_level")).alias("_level"),
-        )
-        enough = F.sum("_seen").over(nearest_first) >= k
-        bound = F.min(F.when(F.col("_enough"), F.col("_far"))).over(per_query)
-        frontier = (
-            met.withColumn("_enough", enough)
-            .withColumn("_bound", bound)
-            .filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-            .drop("_enough", "_bound")
-        )
-    frontier = checkpointed(frontier)
-
-    candidates = []
-    for number, level in enumerate(members):
-        leaves = level.join(
-            boxes[number].filter(~F.col("_splits")).select("_cell"), "_cell", "left_semi"
-        ).withColumnRenamed("_cell", "_at").drop("_parent")
-        candidates.append(frontier.filter(F.col("_level") == number).join(leaves, "_at"))
-    pairs = reduce(DataFrame.unionByName, candidates)
-    distance = _sum([_square(F.col(f"_q_{d}") - F.col(d)) for d in dims])
-    ranked = pairs.withColumn("_distance", distance).withColumn(
-        "_nth", F.row_number().over(per_query.orderBy("_distance", donor_key))
-    )
-    found = ranked.filter(F.col("_nth") <= k).drop(*dims, "_at", "_seen", "_far", "_near", "_level", "_nth")
+    pairs = _frontier(queries, boxes, dims, k).join(_leaf_donors(boxes, members), "_at")
+    steps = [f"(`_q_{d}` - `{d}`)" for d in dims]
+    distance = F.expr(" + ".join(f"{x} * {x}" for x in steps))
+    nearest = W.partitionBy(*[f"_q_{d}" for d in dims]).orderBy("_distance", donor_key)
+    ranked = pairs.withColumn("_distance", distance).withColumn("_nth", F.row_number().over(nearest))
+    found = ranked.filter(F.col("_nth") <= k).drop(*dims, "_at", "_nth")
     return found.withColumnsRenamed({f"_q_{d}": d for d in dims})
