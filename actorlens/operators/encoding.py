@@ -19,15 +19,18 @@ from pyspark.sql.types import NumericType, StringType
 MAX_LEVELS = 100_000
 
 
-def vocabularies(factor_maps: DataFrame, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
+def vocabularies(
+    factor_maps: DataFrame, columns: Iterable[str] = (), max_levels: int = MAX_LEVELS
+) -> dict[str, list[str]]:
     """Levels in index order per column of a (column, level, idx) table; indices are 0..n-1.
 
-    More than ``max_levels`` levels in all are refused, as the levels come to the driver.
+    Of ``columns`` those without any level get an empty vocabulary. More than ``max_levels`` levels
+    in all are refused, as the levels come to the driver.
     """
     rows = factor_maps.limit(max_levels + 1).collect()
     if len(rows) > max_levels:
         raise ValueError(f"vocabularies may hold {max_levels} levels at most")
-    result: dict[str, list[str]] = {}
+    result: dict[str, list[str]] = {column: [] for column in columns}
     for row in sorted(rows, key=lambda r: (r["column"], r["idx"])):
         levels = result.setdefault(row["column"], [])
         if row["idx"] != len(levels):
@@ -39,7 +42,7 @@ def vocabularies(factor_maps: DataFrame, max_levels: int = MAX_LEVELS) -> dict[s
 def vocabulary(factor_map: DataFrame, max_levels: int = MAX_LEVELS) -> list[str]:
     """The levels of one (level, idx) table in index order."""
     named = factor_map.withColumn("column", F.lit("levels"))
-    return vocabularies(named, max_levels).get("levels", [])
+    return vocabularies(named, ["levels"], max_levels)["levels"]
 
 
 def feature_columns(df: DataFrame, vocabularies: dict[str, list[str]], dropped: Iterable[str]) -> list[str]:
@@ -67,6 +70,9 @@ def encoding_stages(
     vector's metadata tells trees the number of categories. One-hot: a block per column, as wide as
     its vocabulary, all zero for an unknown level or null.
     """
+    if one_hot:
+        # The block of an empty vocabulary has no width.
+        columns = [c for c in columns if vocabularies.get(c, True)]
     factors = [c for c in columns if c in vocabularies]
     stages: list[Transformer | Estimator] = [
         StringIndexerModel.from_labels(

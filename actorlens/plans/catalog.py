@@ -894,7 +894,8 @@ _FREQUENT = {"device": FREQUENT, "url": FREQUENT}
 
 
 def _vocabularies(facts: DataFrame) -> dict[str, list[str]]:
-    return encoding.vocabularies(features.factor_maps(facts, b.CATEGORICAL, _FREQUENT))
+    maps = features.factor_maps(facts, b.CATEGORICAL, _FREQUENT)
+    return encoding.vocabularies(maps, b.CATEGORICAL)
 
 
 def _encoded(spark, d, one_hot):

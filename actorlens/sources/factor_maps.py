@@ -30,7 +30,7 @@ def write_factor_maps(factor_maps: DataFrame, paths: dict[str, str]) -> None:
 
 def read_vocabularies(spark: SparkSession, paths: dict[str, str]) -> dict[str, list[str]]:
     """Levels in index order for each column, from the column's factor map file."""
-    return vocabularies(long_factor_maps(spark, paths))
+    return vocabularies(long_factor_maps(spark, paths), paths)
 
 
 def long_factor_maps(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -41,6 +41,12 @@ def test_one_hot_leaves_unknown_blocks_empty(table):
     assert rows(long.filter("id = 2"), "pos", "value") == [(3, 1.5), (6, 8.0)]
 
 
+def test_empty_vocabulary_makes_every_level_unknown(table):
+    empty = {**LEVELS, "color": []}
+    assert vectors(encoding.encode(table, empty, ["id"]))[1] == [0.0, 0.5, 0.0, 7.0]
+    assert vectors(encoding.encode(table, empty, ["id"], one_hot=True))[1] == [0.5, 1.0, 0.0, 7.0]
+
+
 def test_vector_keeps_the_row_it_belongs_to(table):
     encoded = encoding.encode(table.repartition(3), LEVELS, ["id"])
     assert encoded.columns == [*table.columns, "features"]
@@ -59,6 +65,9 @@ def test_vocabulary_has_to_be_contiguous_and_bounded(spark):
     assert encoding.vocabulary(good) == ["a", "b"]
     with pytest.raises(ValueError):
         encoding.vocabulary(spark.createDataFrame([("a", 0.0), ("b", 2.0)], schema))
+    assert encoding.vocabularies(good.selectExpr("'c' AS column", "*"), ["c", "d"]) == {
+        "c": ["a", "b"], "d": [],
+    }
     with pytest.raises(ValueError):
         encoding.vocabulary(good, max_levels=1)
 
