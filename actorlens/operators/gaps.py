@@ -59,20 +59,20 @@ def segmented_tick_gaps(
     """
     ticks = facts.groupBy(*keys, time).agg(F.count("*").alias("rows"), *(payload or []))
     spans = hot_spans(facts, keys, time, segment_rows)
-    carried = (
+    last_ticks = (
         with_segments(facts.select(*keys, time), keys, time, spans, "inner")
         .groupBy(*keys, "_segment")
-        .agg(F.max(time).alias("_last_tick"))
-        .withColumn("_carried", F.lag("_last_tick").over(W.partitionBy(*keys).orderBy("_segment")))
-        .drop("_last_tick")
+        .agg(F.max(time).alias("_last"))
     )
-    inside = W.partitionBy(*keys, "_segment").orderBy(time)
-    segmented = with_segments(ticks, keys, time, spans)
-    previous = segmented.withColumn("_previous", F.lag(time).over(inside))
-    joined = join_on(previous, carried, [*keys, "_segment"], "left")
-    return joined.withColumn("gap", F.col(time) - F.coalesce("_previous", "_carried")).drop(
-        "_previous", "_carried"
+    # The last tick before a segment joins the segment as a row of its own, without any event.
+    earlier = F.lag("_last").over(W.partitionBy(*keys).orderBy("_segment"))
+    carried = last_ticks.select(*keys, "_segment", earlier.alias(time), F.lit(0).alias("rows"))
+    segmented = with_segments(ticks, keys, time, spans).unionByName(
+        carried.filter(F.col(time).isNotNull()), allowMissingColumns=True
     )
+    inside = W.partitionBy(*keys, "_segment").orderBy(time)
+    gaps = segmented.withColumn("gap", F.col(time) - F.lag(time).over(inside))
+    return gaps.filter(F.col("rows") > 0)
 
 
 def tick_gaps(
@@ -120,7 +120,7 @@ def gap_stats(
     """
     ticks = tick_gaps(facts, keys, time, segment_rows=segment_rows)
     kept = F.when(F.col("gap") < cutoff, F.col("gap"))
-    zeros = (F.col("rows") - 1) if cutoff > 0 else F.lit(0)
+    zeros = F.when(F.col(time).isNotNull() & F.lit(cutoff > 0), F.col("rows") - 1)
     count, mean, sd = with_zeros(kept, zeros, scale)
     return ticks.groupBy(*keys).agg(
         count.alias("gaps"), mean.alias("avg_gap"), sd.alias("sd_gap")
@@ -154,7 +154,8 @@ def responder_gap_stats(
     outputs = []
     for name, value, rows in (("human", 0, "_humans"), ("bot", 1, "_bots")):
         first = F.coalesce(F.col("_first_label") == value, F.lit(False))
-        zeros = (F.col(rows) - first.cast("bigint")) if cutoff > 0 else F.lit(0)
+        timed = F.col(time).isNotNull() & F.lit(cutoff > 0)
+        zeros = F.when(timed, F.col(rows) - first.cast("bigint"))
         count, mean, sd = with_zeros(F.when(first, kept), zeros, scale)
         outputs += [
             count.alias(f"{name}_gaps"),
@@ -173,18 +174,22 @@ def entity_features(
     scale: float = 1.0,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Behaviour of each entity: distinct counts, rows, log mean and log sd of its gaps."""
+    """Behaviour of each entity: distinct counts, rows, log mean and log sd of its gaps.
+
+    Facts without an entity make no row.
+    """
     counts = facts.groupBy(entity).agg(
         *[F.count_distinct(F.col(column)).alias(output) for output, column in distinct.items()],
         F.count("*").alias("bids"),
     )
     stats = gap_stats(facts, [entity], time, cutoff, scale, segment_rows)
+    # A plain join, as both sides are already partitioned by the entity.
     logs = stats.select(
         entity,
         F.log1p("avg_gap").alias("avg_bid_interval"),
         F.log1p("sd_gap").alias("sd_bid_interval"),
     )
-    return join_on(counts, logs, [entity])
+    return counts.join(logs, entity)
 
 
 def apply_to_segments(

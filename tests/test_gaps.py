@@ -45,6 +45,12 @@ def test_gap_edge_cases(spark):
     assert stats(df, segment_rows=1) == expected
 
 
+def test_rows_without_time_end_no_gap(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("a", 1), ("a", 4), ("b", None)], "k string, t bigint")
+    for segment_rows in (1, 10_000):
+        assert stats(df, segment_rows=segment_rows) == {"a": (1, 3.0, None), "b": (0, None, None)}
+
+
 @pytest.mark.parametrize("segment_rows", [1, 7, 50, 10_000])
 def test_hot_key_is_cut_without_losing_gaps(spark, segment_rows):
     rng = random.Random(segment_rows)
