@@ -22,7 +22,14 @@ from actorlens.operators.encoding import encoding_stages, feature_columns, label
 from actorlens.operators.joins import join_entities_to_facts
 from actorlens.plans.bindings import DROPPED
 from actorlens.sources import delimited
-from actorlens.sources.storage import checkpointed, load_model, materialise, save_model, scratch_path
+from actorlens.sources.storage import (
+    checkpointed,
+    load_model,
+    materialise,
+    save_model,
+    scratch_path,
+    spread,
+)
 
 ModelMaker = Callable[[dict[str, list[str]]], Estimator]
 Augment = Callable[[DataFrame], DataFrame]
@@ -70,7 +77,7 @@ def train(
     encoder = Pipeline(stages=encoding_stages(columns, vocabularies, one_hot)).fit(joined)
     encoded = labelled(encoder.transform(joined), "outcome").select("label", "features")
     rows = materialise(augment(encoded) if augment else encoded)
-    model = model_maker(vocabularies).fit(rows.select("label", "features"))
+    model = model_maker(vocabularies).fit(spread(rows.select("label", "features")))
     return PipelineModel(stages=[*encoder.stages, model])
 
 

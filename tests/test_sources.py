@@ -143,6 +143,16 @@ def test_storage(spark, tmp_path):
     assert rows(storage.checkpointed(df)) == rows(df)
 
 
+def test_spread_touches_small_tables_only(spark):
+    cores = spark.sparkContext.defaultParallelism
+    narrow = spark.range(100).coalesce(1)
+    assert storage.spread(narrow).rdd.getNumPartitions() == 1
+    assert storage.spread(narrow, 50).rdd.getNumPartitions() == 2
+    assert storage.spread(narrow, 1).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 100, 1, cores + 3)
+    assert storage.spread(wide).rdd.getNumPartitions() == cores + 3
+
+
 def test_column_helpers(spark):
     df = spark.createDataFrame(
         [("1.5", None, 2), ("2", 3.0, None)], "`a.b` string, v double, n int"
