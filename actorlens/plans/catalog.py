@@ -38,7 +38,7 @@ SQL: dict[str, str] = {}
 # Parameters that fit the row counts of the generated tables.
 FREQUENT = 100
 MIN_LEVEL_ROWS = 10
-CV_PAIRS = 3
+CV_FOLDS = 5
 SECONDS = float(b.MICROS)
 
 _BIDS = """
@@ -120,6 +120,12 @@ def _rule(facts: DataFrame) -> DataFrame:
     return facts.withColumn("pred", (F.col("auction") < 20).cast("double"))
 
 
+def _rule_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the training bidders. Bids shrink to one row per bidder before the labels join."""
+    scores = metrics.entity_scores(_rule(b.bids(spark, d)), "bidder_id", label=None)
+    return scores.join(b.training(spark, d).select("bidder_id", "outcome"), "bidder_id")
+
+
 # ---------------------------------------------------------------- tables and joins
 
 
@@ -997,7 +1003,7 @@ def _rounded_areas(areas: DataFrame) -> DataFrame:
     ALL + "," + _RULE + " SELECT bidder_id, outcome, round(prob, 9) AS prob FROM scores",
 )
 def entity_score(spark, d):
-    scores = metrics.entity_scores(_rule(_labelled_bids(spark, d)), "bidder_id")
+    scores = _rule_scores(spark, d)
     return rounded(scores, "prob", digits=9)
 
 
@@ -1006,7 +1012,7 @@ def entity_score(spark, d):
     ALL + "," + _RULE + "," + _auc_sql("", "scores") + f" SELECT {_AREAS} FROM areas",
 )
 def auc_of_entities(spark, d):
-    scores = metrics.entity_scores(_rule(_labelled_bids(spark, d)), "bidder_id")
+    scores = _rule_scores(spark, d)
     return _rounded_areas(metrics.area_under_roc(scores))
 
 
@@ -1069,7 +1075,7 @@ def row_accuracy(spark, d):
           FROM bidders LEFT JOIN scores USING (bidder_id)""",
 )
 def default_scores(spark, d):
-    scores = metrics.entity_scores(_rule(_labelled_bids(spark, d)), "bidder_id")
+    scores = _rule_scores(spark, d)
     everyone = metrics.with_default_score(b.bidders(spark, d), scores, "bidder_id", 0.0)
     return rounded(everyone, "prob", digits=9)
 
@@ -1120,13 +1126,14 @@ def _prepared(spark, d):
 
 def _cv(spark, d, model_maker, one_hot):
     facts, known, _ = _prepared(spark, d)
-    folds = checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 10))
+    # Every fold is validated, so every bidder with bids is scored once.
+    folds = checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", CV_FOLDS))
 
     def prepare(train, validation):
         return features.imputed_pair(train, validation)[:2]
 
     areas, _ = models.cross_validate(
-        facts, folds, prepare, _vocabularies(facts), model_maker, CV_PAIRS, one_hot
+        facts, folds, prepare, _vocabularies(facts), model_maker, CV_FOLDS, one_hot
     )
     return rounded(_rounded_areas(areas), "auc_by_strength", digits=9)
 

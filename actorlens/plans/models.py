@@ -176,9 +176,13 @@ def train_job(
 def submission_job(
     bids: DataFrame, bidders: DataFrame, model_path: str, output_path: str | None = None
 ) -> DataFrame:
-    """Score bidders with a saved model: (bidder_id, prob), one row per bidder with bids."""
+    """Score bidders with a saved model: (bidder_id, prob), one row per bidder with bids.
+
+    Row scores are written before the roll-up: grouping straight behind a join on the same key would
+    tie all rows of a bidder to one task, and the adaptive skew join could not split them.
+    """
     joined = join_entities_to_facts(bidders.drop("outcome"), bids, "bidder_id")
-    rows = score_rows(joined, load_model(model_path), ["bidder_id"])
+    rows = materialise(score_rows(joined, load_model(model_path), ["bidder_id"]).drop("p1"))
     scores = metrics.entity_scores(rows, "bidder_id", label=None)
     if output_path:
         delimited.write_submission(scores, output_path)
