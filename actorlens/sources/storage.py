@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -13,24 +12,44 @@ from pyspark.sql.types import StructType
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (local runs and tests) is a
-    temporary folder made and set.
+    Only where neither the setting nor a checkpoint folder exists (local runs and tests) is one
+    made below the warehouse, which goes when the session ends.
     """
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="actorlens-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir()
+    _forget_at_end(spark, folder)
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple[object, object]:
+    """Hadoop's handle of a path and of the store it lies in."""
+    handle = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _forget_at_end(spark: SparkSession, path: str) -> None:
+    handle, store = _file_system(spark, path)
+    store.deleteOnExit(handle)
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        handle, store = _file_system(spark, path)
+        store.delete(handle, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted with the session at the latest."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _forget_at_end(spark, path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
