@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,7 +30,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 8 <<
     """The batches cut so that the texts of each take about ``most`` bytes; a longer text is alone."""
     for batch in batches:
         start, used = 0, 0
-        for i, size in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if used and used + (size or 0) > most:
                 yield batch.slice(start, i - start)
                 start, used = i, 0

@@ -20,6 +20,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -204,7 +205,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
                 lists = part.column(1)
                 values = lists.flatten().to_numpy(zero_copy_only=False).tolist()
                 at, texts = 0, []
-                for length in pa.compute.list_value_length(lists).to_pylist():
+                for length in pc.list_value_length(lists).to_pylist():
                     texts.append(coder.decode(values[at : at + (length or 0)]))
                     at += length or 0
                 yield pa.RecordBatch.from_arrays(

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -279,7 +280,7 @@ def train(
         for batch in pieces(batches, column=0):
             x = features(batch.column(0))
             for column, kind in ((1, False), (2, True)):
-                taken = pa.compute.fill_null(batch.column(column), False)
+                taken = pc.fill_null(batch.column(column), False)
                 rows = x[taken.to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays(
                     [

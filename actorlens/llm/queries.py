@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.llm import bpe, line_dedup, quality
+from actorlens.llm import bpe, fingerprints, line_dedup, mixing, quality, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate"
+    )
+
+
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(read(spark, sf_dir, "pages"), rules)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches: the second one looks its lines up in the filters of the first."""
     docs = read(spark, sf_dir, "documents")
@@ -51,6 +74,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP7_SQL = f"""
+WITH cut AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+rules(rule_host, rule_path, said) AS (VALUES
+  {', '.join(str(rule) for rule in URL_RULES)}),
+ranked AS (
+  SELECT c.*, r.rule_host || r.rule_path AS rule, r.said,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS place
+  FROM cut c LEFT JOIN rules r
+    ON (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path))
+SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM ranked WHERE place = 1
+"""
+
 OP10_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -71,7 +110,10 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_url_rules": op7_url_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}
