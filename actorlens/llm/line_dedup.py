@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from actorlens.llm.arrow import arrow_schema, id_and_text, pieces
 from actorlens.llm.cuckoo import CuckooFilter
-from actorlens.sources.storage import release, scratch_path
+from actorlens.sources.storage import checkpointed, release, scratch_path
 
 BLANK = b" \t\n\r\x0b\x0c"
 #: Keys of a shard of a new index.
@@ -205,7 +205,8 @@ class LineIndex:
             return self.spark.createDataFrame([], "hi bigint, lo bigint, first bigint")
         # A key with one document that never changed needs no look at its other versions: it has none.
         several = self._counts().filter((F.col("first") < F.col("last")) | F.col("again"))
-        return self._latest(several).filter("first < last").select(*KEY, "first")
+        # Stored, so that a join on it meets a table and can split the rows of a hot key.
+        return checkpointed(self._latest(several).filter("first < last").select(*KEY, "first"))
 
     def kept(self, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """(key, kept, n_lines, n_dropped, carried columns): the lines of each row that stay.
