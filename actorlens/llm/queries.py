@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.llm import bpe, fingerprints, line_dedup, mixing, quality, url_rules
+from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, quality, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"), rules)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches: the second one looks its lines up in the filters of the first."""
     docs = read(spark, sf_dir, "documents")
@@ -74,6 +82,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP4_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+tops AS (SELECT a, min(b) AS top FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(t.top, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(t.top, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN degree d ON e.vec_id = d.a LEFT JOIN tops t ON e.vec_id = t.a
+"""
+
 OP7_SQL = f"""
 WITH cut AS (
   SELECT page_id,
@@ -110,10 +134,12 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_source_mixing": op6_source_mixing,
     "op7_url_rules": op7_url_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op4_vector_near_dedup": OP4_SQL, "op7_url_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}
