@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, quality, url_rules, vectors
+from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, pii, quality, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(read(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(i + 1).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches: the second one looks its lines up in the filters of the first."""
     docs = read(spark, sf_dir, "documents")
@@ -139,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_url_rules": op7_url_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
 }
 
