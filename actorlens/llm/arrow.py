@@ -17,9 +17,10 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def id_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Only the key and the text (as ``_text``, null as empty), so that no other column can clash."""
-    return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+def id_and_text(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the key, the text (as ``_text``, null as empty) and carried columns, so that no other can clash."""
+    carried = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    return docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *carried)
 
 
 def key_type(df: DataFrame, key: str) -> str:

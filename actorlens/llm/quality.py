@@ -117,9 +117,10 @@ class QualityModel:
     scale: tuple[float, ...]
     prior: float
 
-    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, score): the probability that the text is of the positive class."""
-        schema = f"`{key}` {key_type(docs, key)}, score double"
+    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+        """(key, score, carried columns): the probability that the text is of the positive class."""
+        carried = "".join(f", `{c}` {key_type(docs, c)}" for c in carry)
+        schema = f"`{key}` {key_type(docs, key)}, score double{carried}"
         target = arrow_schema(schema)
         weights = np.array(self.weights) / np.array(self.scale) if self.weights else None
 
@@ -130,11 +131,12 @@ class QualityModel:
                 else:
                     # Summed row by row: equal texts get equal scores whatever else is in the batch.
                     scores = _sigmoid((features(batch.column(1)) * weights).sum(axis=1))
+                columns = [batch.column(0), pa.array(scores), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(target.field(0).type), pa.array(scores)], schema=target
+                    [c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target
                 )
 
-        return id_and_text(docs, key, text).mapInArrow(run, schema)
+        return id_and_text(docs, key, text, carry).mapInArrow(run, schema)
 
 
 def _sigmoid(g: np.ndarray) -> np.ndarray:
