@@ -1,8 +1,9 @@
 """Time between consecutive events of an entity or within an auction.
 
 Rows first collapse to one per (key, tick): rows that share a tick are zero ticks apart, so a
-count replaces them. Keys with many rows are then cut into time segments, which bounds the rows
-a window sorts; the last tick before each segment is carried into it, so no gap is lost.
+count replaces them. Keys with many rows are then cut into segments of about equal count, which
+bounds the rows a window sorts; the last tick before each segment is carried into it, so no gap is
+lost.
 """
 
 from __future__ import annotations
@@ -15,35 +16,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from actorlens.functions.expressions import floor_div
 from actorlens.operators.joins import join_on
+from actorlens.operators.profiles import distinct_profile
+from actorlens.sources.storage import checkpointed
 
 SEGMENT_ROWS = 1_000_000
-# More segments than rows alone would ask for, as ticks are not spread evenly over time.
-OVERSPLIT = 8
 
 
-def hot_spans(facts: DataFrame, keys: list[str], time: str, segment_rows: int) -> DataFrame:
-    """First tick and segment width of each key that has more than ``segment_rows`` rows.
+def hot_segments(facts: DataFrame, keys: list[str], time: str, segment_rows: int) -> DataFrame | None:
+    """(keys, starts): the first ticks of the segments of each key with more than ``segment_rows`` ticks.
 
-    At most rows / segment_rows keys qualify.
+    A range partitioner cuts the hot keys' ticks into parts of about equal count, wherever in time
+    they lie. Any cut gives the same gaps, so the parts themselves need not be kept. None if no key
+    is hot.
     """
-    spans = facts.groupBy(*keys).agg(
-        F.count("*").alias("_rows"), F.min(time).alias("_first"), F.max(time).alias("_last")
-    )
-    hot = spans.filter(F.col("_rows") > segment_rows)
-    segments = F.ceil(F.col("_rows") / segment_rows) * OVERSPLIT
-    width = F.ceil((F.col("_last") - F.col("_first") + 1) / segments).cast("bigint")
-    return hot.select(*keys, "_first", F.greatest(width, F.lit(1).cast("bigint")).alias("_width"))
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > segment_rows)
+    hot = checkpointed(counts)
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    if not rows:
+        return None
+    ticks = join_on(facts.select(*keys, time).filter(F.col(time).isNotNull()), hot.select(*keys), keys)
+    parts = ticks.repartitionByRange(2 * -(-rows // segment_rows), *keys, time)
+    starts = parts.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(F.min(time).alias("_start"))
+    return checkpointed(starts.groupBy(*keys).agg(F.array_sort(F.collect_set("_start")).alias("_starts")))
 
 
 def with_segments(
-    df: DataFrame, keys: list[str], time: str, spans: DataFrame, how: str = "left"
+    df: DataFrame, keys: list[str], time: str, segments: DataFrame | None, how: str = "left"
 ) -> DataFrame:
-    """Add ``_segment``: 0 for ordinary keys, the index of the time segment for hot ones."""
-    joined = join_on(df, F.broadcast(spans), keys, how)
-    segment = F.coalesce(floor_div(F.col(time) - F.col("_first"), F.col("_width")), F.lit(0))
-    return joined.withColumn("_segment", segment).drop("_first", "_width")
+    """Add ``_segment``: 0 for ordinary keys, the number of the segment for hot ones."""
+    if segments is None:
+        return df.withColumn("_segment", F.lit(0))
+    joined = join_on(df, segments, keys, how)
+    passed = F.filter("_starts", lambda start: start <= F.col(time))
+    return joined.withColumn("_segment", F.coalesce(F.size(passed), F.lit(0))).drop("_starts")
 
 
 def segmented_tick_gaps(
@@ -58,16 +64,19 @@ def segmented_tick_gaps(
     ``gap`` is the distance to the key's previous tick, null for its first.
     """
     ticks = facts.groupBy(*keys, time).agg(F.count("*").alias("rows"), *(payload or []))
-    spans = hot_spans(facts, keys, time, segment_rows)
+    segments = hot_segments(facts, keys, time, segment_rows)
+    if segments is None:
+        gap = F.col(time) - F.lag(time).over(W.partitionBy(*keys).orderBy(time))
+        return ticks.withColumns({"_segment": F.lit(0), "gap": gap})
     last_ticks = (
-        with_segments(facts.select(*keys, time), keys, time, spans, "inner")
+        with_segments(facts.select(*keys, time), keys, time, segments, "inner")
         .groupBy(*keys, "_segment")
         .agg(F.max(time).alias("_last"))
     )
     # The last tick before a segment joins the segment as a row of its own, without any event.
     earlier = F.lag("_last").over(W.partitionBy(*keys).orderBy("_segment"))
     carried = last_ticks.select(*keys, "_segment", earlier.alias(time), F.lit(0).alias("rows"))
-    segmented = with_segments(ticks, keys, time, spans).unionByName(
+    segmented = with_segments(ticks, keys, time, segments).unionByName(
         carried.filter(F.col(time).isNotNull()), allowMissingColumns=True
     )
     inside = W.partitionBy(*keys, "_segment").orderBy(time)
@@ -178,10 +187,7 @@ def entity_features(
 
     Facts without an entity make no row.
     """
-    counts = facts.groupBy(entity).agg(
-        *[F.count_distinct(F.col(column)).alias(output) for output, column in distinct.items()],
-        F.count("*").alias("bids"),
-    )
+    counts = distinct_profile(facts, entity, distinct)
     stats = gap_stats(facts, [entity], time, cutoff, scale, segment_rows)
     # A plain join, as both sides are already partitioned by the entity.
     logs = stats.select(
@@ -198,17 +204,22 @@ def apply_to_segments(
     time: str,
     function: Callable[[pd.DataFrame], pd.DataFrame],
     schema: DataType | str,
+    merge: list[Column],
+    payload: list[Column] | None = None,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Call a pandas function per key, and per time segment of a hot key.
+    """Summarise the ticks of each key with a pandas function, and merge the summaries.
 
-    The function gets the ticks of one key or segment in order (keys, time, rows, gap; gaps reach
-    across segment borders) and returns rows of ``schema``, to be merged by a native aggregation: so no
-    call ever needs all rows of a hot key.
+    The function gets ticks of one key in order (keys, time, rows, gap and the aggregates of
+    ``payload`` per tick, such as the set of ips) and returns rows of ``schema``, keys among them. It
+    has to be partial: a key's ticks reach it in one piece or in several, gaps across their borders
+    included. ``merge`` aggregates its rows to one per key, for every key alike, so no call ever needs
+    all rows of a hot key and results do not depend on the pieces.
     """
-    ticks = segmented_tick_gaps(facts, keys, time, segment_rows=segment_rows)
+    ticks = segmented_tick_gaps(facts, keys, time, payload, segment_rows)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         return function(pdf.sort_values(time))
 
-    return ticks.groupBy(*keys, "_segment").applyInPandas(call, schema)
+    partial = ticks.groupBy(*keys, "_segment").applyInPandas(call, schema)
+    return partial.groupBy(*keys).agg(*merge)

@@ -6,22 +6,35 @@ what the training set knows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actorlens.functions.columns import continuous_columns
+from actorlens.functions.columns import continuous_columns, is_missing
 from actorlens.functions.parallel import run_jobs
-from actorlens.operators.neighbours import LEAF_ROWS, nearest_neighbours
+from actorlens.operators.neighbours import LEAF_ROWS, build_tree, distinct_points, nearest_in_tree
 from actorlens.sources.storage import checkpointed
 
+#: Digits of the z-scores that distances are taken of: the last bits of a mean depend on the order
+#: of its sum, and equal distances have to stay equal from run to run.
+RANKED_DIGITS = 9
+_RANKED = "_at_"
+
 
 def _any_null(names: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
 
 
+def _nan_as_null(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({c: F.when(~is_missing(c, df.schema[c].dataType), F.col(c)) for c in names})
+
+
+def _ranked(names: list[str]) -> list[Column]:
+    return [F.round(c, RANKED_DIGITS).alias(_RANKED + c) for c in names]
+
+
 @dataclass
 class KnnImputer:
     """Means, sample sds and complete rows of the fitted table."""
@@ -33,25 +46,21 @@ class KnnImputer:
     donors: DataFrame
     k: int = 5
     leaf_rows: int = LEAF_ROWS
+    #: Search trees over the donors by the columns they compare; tables share them.
+    trees: dict[tuple[str, ...], tuple] = field(default_factory=dict)
 
     def standardise(self, df: DataFrame) -> DataFrame:
-        """Z-scores behind the untouched columns; nulls stay null.
-
-        Scores keep 9 digits: the last bits of a mean depend on the order of its sum, and equal
-        distances have to stay equal from run to run.
-        """
+        """Z-scores behind the untouched columns; nulls and NaN are null."""
         rest = [c for c in df.columns if c not in self.columns]
-        scaled = [
-            F.round((F.col(c).cast("double") - self.means[c]) / self.sds[c], 9).alias(c)
-            for c in self.columns
-        ]
-        return df.select(*rest, *scaled)
+        scaled = [((F.col(c).cast("double") - self.means[c]) / self.sds[c]).alias(c) for c in self.columns]
+        return _nan_as_null(df, self.columns).select(*rest, *scaled)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Standardise, then replace each null by the mean of the k nearest complete rows.
 
-        Distances run over the columns a row does have. A row without any value has no neighbours
-        and is an error; fill constants before.
+        Distances run over the columns a row does have. A row without any value has no neighbours,
+        and without any complete row there are none for anyone: both are errors. Every row of the
+        table is in the result.
         """
         scaled = checkpointed(self.standardise(df))
         missing = F.array_compact(
@@ -61,6 +70,8 @@ class KnnImputer:
             r["missing"]
             for r in scaled.filter(_any_null(self.columns)).select(missing.alias("missing")).distinct().collect()
         ]
+        if patterns and self.donors.isEmpty():
+            raise ValueError("no complete row to fill the gaps of others from")
 
         def fill(absent: list[str]) -> DataFrame:
             present = [c for c in self.columns if c not in absent]
@@ -73,11 +84,21 @@ class KnnImputer:
         filled = run_jobs(df.sparkSession, fill, sorted(patterns))
         return reduce(DataFrame.unionByName, filled, complete)
 
+    def _tree(self, present: list[str]) -> tuple:
+        """The tree over these columns, built when first asked for."""
+        name = tuple(present)
+        if name not in self.trees:
+            dims = [_RANKED + c for c in present]
+            donors = self.donors.select(F.col(self.key).alias("_donor"), *_ranked(present), *self.columns)
+            self.trees[name] = build_tree(distinct_points(donors, dims, "_donor", self.k), dims, self.leaf_rows)
+        return self.trees[name]
+
     def _fill(self, rows: DataFrame, present: list[str], absent: list[str]) -> DataFrame:
-        donors = self.donors.select(F.col(self.key).alias("_donor"), *self.columns)
-        found = nearest_neighbours(rows, donors, present, "_donor", self.k, self.leaf_rows)
-        values = found.groupBy(*present).agg(*[F.avg(c).alias(c) for c in absent])
-        return rows.drop(*absent).join(values, present)
+        dims = [_RANKED + c for c in present]
+        placed = rows.select("*", *_ranked(present))
+        found = nearest_in_tree(placed, *self._tree(present), dims, "_donor", self.k)
+        values = found.groupBy(*dims).agg(*[F.avg(c).alias(c) for c in absent])
+        return placed.drop(*absent).join(values, dims, "left")
 
 
 def fit_imputer(
@@ -85,6 +106,7 @@ def fit_imputer(
 ) -> KnnImputer:
     """Fit on the columns named, or on every continuous column but the key."""
     columns = columns or [c for c in continuous_columns(df) if c != key]
+    df = _nan_as_null(df, columns)
     row = df.agg(
         *[F.avg(c).cast("double").alias(f"mean_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"sd_{c}") for c in columns],

@@ -71,7 +71,12 @@ def mean_and_sd(values: DataFrame, value: str, groups: list[str] | None = None)
     )
 
 
-def accuracy(scored: DataFrame, label: str, prediction: str, groups: list[str] | None = None) -> DataFrame:
+def accuracy(
+    scored: DataFrame, label: str, prediction: str, groups: list[str] | None = None, rows: str | None = None
+) -> DataFrame:
+    """Rows and share of rows predicted right; ``rows`` names a column that counts equal rows."""
+    weight = F.col(rows) if rows else F.lit(1)
+    right = F.when(F.col(label) == F.col(prediction), weight).otherwise(0)
     return scored.groupBy(*(groups or [])).agg(
-        F.count("*").alias("rows"), share(F.col(label) == F.col(prediction)).alias("accuracy")
+        F.sum(weight).alias("rows"), (F.sum(right) / F.sum(weight)).alias("accuracy")
     )

@@ -99,6 +99,25 @@ def _frontier(queries: DataFrame, boxes: list[DataFrame], dims: list[str], k: in
     return frontier.select(*q, "_at")
 
 
+def distinct_points(donors: DataFrame, dims: list[str], donor_key: str, k: int) -> DataFrame:
+    """Of donors at one and the same point only the k smallest keys can be anyone's neighbours."""
+    at_point = W.partitionBy(*dims).orderBy(donor_key)
+    return donors.withColumn("_nth", F.row_number().over(at_point)).filter(F.col("_nth") <= k).drop("_nth")
+
+
+def nearest_in_tree(
+    queries: DataFrame, boxes: list[DataFrame], members: list[DataFrame], dims: list[str], donor_key: str, k: int = 5
+) -> DataFrame:
+    """``nearest_neighbours`` among the donors of a tree."""
+    pairs = _frontier(queries, boxes, dims, k).join(_leaf_donors(boxes, members), "_at")
+    steps = [f"(`_q_{d}` - `{d}`)" for d in dims]
+    distance = F.expr(" + ".join(f"{x} * {x}" for x in steps))
+    nearest = W.partitionBy(*[f"_q_{d}" for d in dims]).orderBy("_distance", donor_key)
+    ranked = pairs.withColumn("_distance", distance).withColumn("_nth", F.row_number().over(nearest))
+    found = ranked.filter(F.col("_nth") <= k).drop(*dims, "_at", "_nth")
+    return found.withColumnsRenamed({f"_q_{d}": d for d in dims})
+
+
 def nearest_neighbours(
     queries: DataFrame,
     donors: DataFrame,
@@ -112,14 +131,5 @@ def nearest_neighbours(
     Distances are squared Euclidean over ``dims``; ties go to the smaller donor key. Donor columns
     that share a name with a dimension are dropped.
     """
-    # Of donors at one and the same point only the k smallest keys can be anyone's neighbours.
-    at_point = W.partitionBy(*dims).orderBy(donor_key)
-    kept = donors.withColumn("_nth", F.row_number().over(at_point)).filter(F.col("_nth") <= k)
-    boxes, members = build_tree(kept.drop("_nth"), dims, leaf_rows)
-    pairs = _frontier(queries, boxes, dims, k).join(_leaf_donors(boxes, members), "_at")
-    steps = [f"(`_q_{d}` - `{d}`)" for d in dims]
-    distance = F.expr(" + ".join(f"{x} * {x}" for x in steps))
-    nearest = W.partitionBy(*[f"_q_{d}" for d in dims]).orderBy("_distance", donor_key)
-    ranked = pairs.withColumn("_distance", distance).withColumn("_nth", F.row_number().over(nearest))
-    found = ranked.filter(F.col("_nth") <= k).drop(*dims, "_at", "_nth")
-    return found.withColumnsRenamed({f"_q_{d}": d for d in dims})
+    tree = build_tree(distinct_points(donors, dims, donor_key, k), dims, leaf_rows)
+    return nearest_in_tree(queries, *tree, dims, donor_key, k)

@@ -71,12 +71,23 @@ def distinct_profile(
 ) -> DataFrame:
     """Row count and several distinct counts per entity; ``distinct`` maps output to column.
 
-    Exact by default; ``approximate`` trades exactness for sketches that merge before the shuffle.
+    Exact by default: facts shrink to one row per (entity, column, value) and their rows, so no row
+    is expanded per distinct column behind a shuffle. ``approximate`` trades exactness for sketches
+    that merge before the shuffle.
     """
-    counter = F.approx_count_distinct if approximate else F.count_distinct
-    return facts.groupBy(entity).agg(
-        *[counter(F.col(column)).alias(output) for output, column in distinct.items()],
-        F.count("*").alias(rows),
+    if approximate or not distinct:
+        counts = [F.approx_count_distinct(F.col(column)).alias(output) for output, column in distinct.items()]
+        return facts.groupBy(entity).agg(*counts, F.count("*").alias(rows))
+    # The entity itself, as one more pair, counts the rows and keeps entities without any value.
+    pairs = F.array(
+        F.struct(F.lit("").alias("output"), F.lit(None).cast("string").alias("value")),
+        *[F.struct(F.lit(o).alias("output"), F.col(c).cast("string").alias("value")) for o, c in distinct.items()],
+    )
+    seen = facts.select(entity, F.explode(pairs).alias("_p")).groupBy(entity, "_p.output", "_p.value")
+    seen = seen.agg(F.count("*").alias("_rows"))
+    return seen.groupBy(entity).agg(
+        *[F.count_if((F.col("output") == o) & F.col("value").isNotNull()).alias(o) for o in distinct],
+        F.sum(F.when(F.col("output") == "", F.col("_rows")).otherwise(0)).alias(rows),
     )
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actorlens.functions.columns import sanitise_names
@@ -115,6 +115,15 @@ def _labelled_bids(spark: SparkSession, d: str) -> DataFrame:
     return joins.label_facts(b.bids(spark, d), labels, "bidder_id")
 
 
+def _counts_by_label(spark: SparkSession, d: str, *keys: str | Column, facts: DataFrame | None = None) -> DataFrame:
+    """Rows by keys and outcome. Bids shrink to one row per bidder and keys before the labels join."""
+    facts = b.bids(spark, d) if facts is None else facts
+    counts = profiles.count_by(facts, "bidder_id", *keys)
+    labels = b.training(spark, d).select("bidder_id", "outcome")
+    names = [c for c in counts.columns if c not in ("bidder_id", "count")]
+    return profiles.roll_up(counts.join(labels, "bidder_id"), "outcome", *names)
+
+
 def _rule(facts: DataFrame) -> DataFrame:
     """A fixed rule in place of a model, so that scores and metrics can be checked by SQL."""
     return facts.withColumn("pred", (F.col("auction") < 20).cast("double"))
@@ -172,8 +181,8 @@ def inner_join_training(spark, d):
 )
 def left_join_labels(spark, d):
     labels = b.training(spark, d).select("bidder_id", "outcome")
-    facts = joins.label_facts(b.bids(spark, d).select("bidder_id"), labels, "bidder_id", "left")
-    return profiles.count_by(facts, "outcome", name="rows")
+    counts = profiles.count_by(b.bids(spark, d), "bidder_id", name="rows")
+    return profiles.roll_up(joins.label_facts(counts, labels, "bidder_id", "left"), "outcome", name="rows")
 
 
 @query(
@@ -262,7 +271,7 @@ hist AS (
 def _bucket_counts(spark, d):
     first = b.bids(spark, d).agg(F.min("time")).scalar()
     bucket = time_bucket(F.col("time"), first, b.BUCKET_WIDTH).alias("bucket")
-    return profiles.count_by(_labelled_bids(spark, d), "outcome", "country", bucket)
+    return _counts_by_label(spark, d, "country", bucket)
 
 
 @query("count_by_country_bucket", _BUCKETS + " SELECT * FROM hist")
@@ -309,7 +318,7 @@ def rebucket_rollup(spark, d):
           WHERE bot < 20000""",
 )
 def pivot_country_label(spark, d):
-    counts = profiles.count_by(_labelled_bids(spark, d), "country", "outcome")
+    counts = _counts_by_label(spark, d, "country")
     wide = profiles.pivot_counts(counts, "country", "outcome", {0: "human", 1: "bot"})
     return profiles.below(wide, "bot", 20_000)
 
@@ -355,7 +364,8 @@ def profile_by_device(spark, d):
                  count(*) FILTER (outcome = 1) AS bots FROM di GROUP BY merchandise""",
 )
 def label_counts_by_merchandise(spark, d):
-    return profiles.label_counts(_labelled_bids(spark, d), "merchandise", "outcome")
+    counts = _counts_by_label(spark, d, "merchandise")
+    return profiles.pivot_counts(counts, "merchandise", "outcome", {0: "humans", 1: "bots"})
 
 
 _PROFILE_COLUMNS = {
@@ -517,15 +527,15 @@ def grouped_table_udf(spark, d):
 
     facts = b.bids(spark, d)
     schema = "bidder_id bigint, bids bigint, n bigint, total double, squares double"
-    partial = gaps.apply_to_segments(facts, ["bidder_id"], "time", kept_gaps, schema)
     n, total, squares = (F.sum(c) for c in ("n", "total", "squares"))
-    merged = partial.groupBy("bidder_id").agg(
+    merge = [
         F.sum("bids").alias("bids"),
         F.log1p(total / F.when(n > 0, n)).alias("avg_bid_interval"),
         F.log1p(
             F.sqrt((squares - total * total / F.when(n > 1, n)) / F.when(n > 1, n - 1))
         ).alias("sd_bid_interval"),
-    )
+    ]
+    merged = gaps.apply_to_segments(facts, ["bidder_id"], "time", kept_gaps, schema, merge)
     counts = profiles.distinct_profile(facts, "bidder_id", b.DISTINCT_FEATURES).drop("bids")
     return rounded(merged.join(counts, "bidder_id"), *features.INTERVALS)
 
@@ -581,7 +591,7 @@ def first_rank_over_share(spark, d):
           ORDER BY "count" DESC, country, outcome""",
 )
 def sorted_country_counts(spark, d):
-    counts = profiles.count_by(_labelled_bids(spark, d), "country", "outcome")
+    counts = _counts_by_label(spark, d, "country")
     return counts.orderBy(F.desc("count"), "country", "outcome")
 
 
@@ -740,20 +750,19 @@ def boxplot_by_label(spark, d):
 @query(
     "boxplot_gaps_by_merchandise",
     _with(_BIDS, _BIDDERS, _TRAINING, _gap_sql("bidder_id, merchandise"))
-    + """, long AS (SELECT merchandise, outcome, round(log10(avg_gap), 6) AS v
+    + """, long AS (SELECT merchandise, outcome, log10(avg_gap) AS v
                     FROM stats JOIN training USING (bidder_id) WHERE avg_gap > 0),
          boxes AS (SELECT merchandise, outcome, count(*) AS n, quantile_cont(v, 0.25) AS q1,
                           quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
                    FROM long GROUP BY merchandise, outcome)
-         SELECT merchandise, outcome, n, round(q1 + 1e-9, 6) AS q1, round(median + 1e-9, 6) AS median,
-                round(q3 + 1e-9, 6) AS q3
+         SELECT merchandise, outcome, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3
          FROM boxes""",
 )
 def boxplot_gaps_by_merchandise(spark, d):
     keys = ["bidder_id", "merchandise"]
     stats = gaps.gap_stats(b.bids(spark, d), keys, "time", b.GAP_CUTOFF, SECONDS)
     labelled = stats.join(b.training(spark, d).select("bidder_id", "outcome"), "bidder_id")
-    long = labelled.filter("avg_gap > 0").withColumn("v", F.round(F.log10("avg_gap"), 6))
+    long = labelled.filter("avg_gap > 0").withColumn("v", F.log10("avg_gap"))
     groups = ["merchandise", "outcome"]
     boxes = quantiles.quantiles(
         quantiles.value_distribution(long, groups, "v"),
@@ -761,8 +770,7 @@ def boxplot_gaps_by_merchandise(spark, d):
         "v",
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
     )
-    # Quartiles of 6-digit values lie between them by quarters; the shift keeps them off ties.
-    return boxes.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("q1", "median", "q3")})
+    return rounded(boxes, "q1", "median", "q3")
 
 
 # ---------------------------------------------------------------- splits and sampling
@@ -807,12 +815,12 @@ def _impute_sql(fit: str, target: str, key: str) -> str:
     """Z-scores of ``target`` by ``fit``, nulls filled from the 5 nearest complete rows."""
     columns = features.NUMERIC
     moments = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in columns)
-    scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 9) AS {c}" for c in columns)
+    scaled = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in columns)
     complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
     distance = " + ".join(
-        f"coalesce((q.{c} - r.{c}) * (q.{c} - r.{c}), 0)" for c in columns
+        f"coalesce(pow(round(q.{c}, 9) - round(r.{c}, 9), 2), 0)" for c in columns
     )
-    filled = ", ".join(f"round(coalesce(z.{c}, f.{c}) + 1e-10, 6) AS {c}" for c in columns)
+    filled = ", ".join(f"round(coalesce(z.{c}, f.{c}), 6) AS {c}" for c in columns)
     means = ", ".join(f"avg({c}) AS {c}" for c in columns)
     donor = ", ".join(f"r.{c} AS {c}" for c in columns)
     return f""",
@@ -828,8 +836,7 @@ SELECT z.{key}, {filled} FROM z LEFT JOIN f USING ({key})"""
 
 
 def _rounded_scores(filled: DataFrame) -> DataFrame:
-    """Six digits; means of five 9-digit scores lie 2e-10 apart, and the shift keeps them off ties."""
-    return filled.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in features.NUMERIC})
+    return rounded(filled, *features.NUMERIC)
 
 
 @query(
@@ -1060,10 +1067,9 @@ def fold_mean_sd(spark, d):
           FROM scored GROUP BY merchandise""",
 )
 def row_accuracy(spark, d):
-    scored = _rule(_labelled_bids(spark, d))
-    return rounded(
-        metrics.accuracy(scored, "outcome", "pred", ["merchandise"]), "accuracy", digits=9
-    )
+    counts = _counts_by_label(spark, d, "merchandise", "pred", facts=_rule(b.bids(spark, d)))
+    scores = metrics.accuracy(counts, "outcome", "pred", ["merchandise"], rows="count")
+    return rounded(scores, "accuracy", digits=9)
 
 
 @query(
@@ -1085,12 +1091,11 @@ def default_scores(spark, d):
 
 @query(
     "csv_roundtrip",
-    _with(_BIDS) + " SELECT bid_id, bidder_id, auction, merchandise, device, time, url FROM bids",
+    _with(_BIDS) + " SELECT * FROM bids",
 )
 def csv_roundtrip(spark, d):
     # Names with dots, as the schema writer has to clean them.
-    wanted = ["bid_id", "bidder_id", "auction", "merchandise", "device", "time", "url"]
-    source = b.bids(spark, d).select(*wanted).withColumnRenamed("bid_id", "bid.id")
+    source = b.bids(spark, d).withColumnRenamed("bid_id", "bid.id")
     data, schema = scratch_path(spark, "bids-csv"), scratch_path(spark, "bids-schema")
     delimited.write_table(source, data)
     schema_files.write_schema(source, schema)

@@ -9,10 +9,15 @@ from actorlens.operators.encoding import vocabularies
 
 
 def read_factor_map(spark: SparkSession, path: str) -> DataFrame:
-    """(level, idx); exactly two fields a line, and of a level given twice the last line holds."""
+    """(level, idx); exactly two fields a line, and of a level given twice the last line holds.
+
+    The last line is the one furthest down in the last file by name.
+    """
     lines = spark.read.option("mode", "FAILFAST").option("sep", "\t").option("quote", "")
     table = lines.schema("level string, idx double").csv(path)
-    placed = table.withColumn("_line", F.monotonically_increasing_id())
+    # Within a block of a file ids ascend line by line.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    placed = table.withColumn("_line", place)
     return placed.groupBy("level").agg(F.max_by("idx", "_line").alias("idx"))
 
 
