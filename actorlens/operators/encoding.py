@@ -1,56 +1,64 @@
-"""Feature vectors from a table with numeric columns and categorical columns with vocabularies.
+"""Feature vectors from a table with numeric columns and categorical columns with factor maps.
 
-A vocabulary is a list of levels in index order. It lives in the model, and a forest needs a bin
-per level, so callers bound it (most frequent levels, or levels above a count).
+A factor map gives each level of a column its index 0..n-1. Maps stay tables: rows meet their
+indices by joins, and the driver only knows how many levels a column has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-MAX_LEVELS = 100_000
 
+@dataclass
+class Vocabulary:
+    """Factor maps (column, level, idx), and the number of levels by column."""
 
-def vocabularies(
-    factor_maps: DataFrame, columns: Iterable[str] = (), max_levels: int = MAX_LEVELS
-) -> dict[str, list[str]]:
-    """Levels in index order per column of a (column, level, idx) table; indices are 0..n-1.
+    maps: DataFrame
+    sizes: dict[str, int]
 
-    Of ``columns`` those without any level get an empty vocabulary. More than ``max_levels`` levels
-    in all are refused, as the levels come to the driver.
-    """
-    rows = factor_maps.limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"vocabularies may hold {max_levels} levels at most")
-    result: dict[str, list[str]] = {column: [] for column in columns}
-    for row in sorted(rows, key=lambda r: (r["column"], r["idx"])):
-        levels = result.setdefault(row["column"], [])
-        if row["idx"] != len(levels):
-            raise ValueError("the indices of a factor map have to be 0..n-1")
-        levels.append(row["level"])
-    return result
-
-
-def vocabulary(factor_map: DataFrame, max_levels: int = MAX_LEVELS) -> list[str]:
-    """The levels of one (level, idx) table in index order."""
-    named = factor_map.withColumn("column", F.lit("levels"))
-    return vocabularies(named, ["levels"], max_levels)["levels"]
 
+def vocabulary(factor_maps: DataFrame, columns: Iterable[str]) -> Vocabulary:
+    """The maps of the columns; of ``columns`` those without any level are empty.
 
-def feature_columns(df: DataFrame, vocabularies: dict[str, list[str]], dropped: Iterable[str]) -> list[str]:
+    Indices have to be 0..n-1, which is checked by their number, distinct number and extremes.
+    """
+    columns = list(columns)
+    maps = factor_maps.filter(F.col("column").isin(columns))
+    counts = maps.groupBy("column").agg(
+        F.count("*").alias("n"), F.count_distinct("level").alias("levels"), F.count_distinct("idx").alias("places"),
+        F.min("idx").alias("low"), F.max("idx").alias("high"),
+    )
+    sizes = dict.fromkeys(columns, 0)
+    for row in counts.collect():
+        if {row["levels"], row["places"], row["high"] + 1} != {row["n"]} or row["low"] != 0:
+            raise ValueError(f"the indices of {row['column']} have to be 0..n-1, one for each level")
+        sizes[row["column"]] = row["n"]
+    return Vocabulary(maps, sizes)
+
+
+def from_lists(spark: SparkSession, levels: dict[str, list[str]]) -> Vocabulary:
+    """A vocabulary of levels listed in index order."""
+    rows = [(column, level, float(i)) for column, names in levels.items() for i, level in enumerate(names)]
+    maps = spark.createDataFrame(rows, "column string, level string, idx double")
+    return Vocabulary(maps, {column: len(names) for column, names in levels.items()})
+
+
+def feature_columns(df: DataFrame, sizes: dict[str, int], dropped: Iterable[str]) -> list[str]:
     """Columns that enter the vector, in table order; a string column needs a vocabulary."""
-    names = [c for c in df.columns if c not in set(dropped)]
+    indices = {f"{c}_idx" for c in sizes}
+    names = [c for c in df.columns if c not in set(dropped) | indices]
     for name in names:
         dtype = df.schema[name].dataType
-        if name in vocabularies:
+        if name in sizes:
             if not isinstance(dtype, StringType):
                 raise ValueError(f"categorical column {name} is not a string")
         elif not isinstance(dtype, NumericType):
@@ -58,28 +66,40 @@ def feature_columns(df: DataFrame, vocabularies: dict[str, list[str]], dropped:
     return names
 
 
+def indexed(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Add ``<column>_idx`` for every vocabulary column of the table that has none yet.
+
+    An unknown level or null gets the size of the vocabulary. The number of categories travels as
+    metadata, which trees and the one-hot encoder read.
+    """
+    for column, size in vocabulary.sizes.items():
+        name = f"{column}_idx"
+        if column not in df.columns:
+            continue
+        if name not in df.columns:
+            levels = vocabulary.maps.filter(F.col("column") == column).select(
+                F.col("level").alias("_level"), F.col("idx").alias("_idx")
+            )
+            df = df.join(levels, F.col(column) == F.col("_level"), "left").drop("_level")
+            df = df.withColumn(name, F.coalesce(F.col("_idx").cast("double"), F.lit(float(size)))).drop("_idx")
+        kind = {"ml_attr": {"type": "nominal", "name": name, "num_vals": size + 1}}
+        df = df.withMetadata(name, kind)
+    return df
+
+
 def encoding_stages(
-    columns: list[str],
-    vocabularies: dict[str, list[str]],
-    one_hot: bool = False,
-    output: str = "features",
+    columns: list[str], sizes: dict[str, int], one_hot: bool = False, output: str = "features"
 ) -> list[Transformer | Estimator]:
-    """Pipeline stages from table columns to one vector.
+    """Pipeline stages from the columns of an ``indexed`` table to one vector.
 
-    Ordinal: a level becomes its index, an unknown level or null the size of the vocabulary; the
-    vector's metadata tells trees the number of categories. One-hot: a block per column, as wide as
-    its vocabulary, all zero for an unknown level or null.
+    Ordinal: a level is its index. One-hot: a block per column, as wide as its vocabulary, all zero
+    for an unknown level or null.
     """
     if one_hot:
         # The block of an empty vocabulary has no width.
-        columns = [c for c in columns if vocabularies.get(c, True)]
-    factors = [c for c in columns if c in vocabularies]
-    stages: list[Transformer | Estimator] = [
-        StringIndexerModel.from_labels(
-            vocabularies[c], inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"
-        )
-        for c in factors
-    ]
+        columns = [c for c in columns if sizes.get(c, True)]
+    factors = [c for c in columns if c in sizes]
+    stages: list[Transformer | Estimator] = []
     suffix = "_idx"
     if one_hot and factors:
         stages.append(
@@ -90,23 +110,23 @@ def encoding_stages(
             )
         )
         suffix = "_block"
-    inputs = [c + suffix if c in vocabularies else c for c in columns]
+    inputs = [c + suffix if c in sizes else c for c in columns]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error"))
     return stages
 
 
 def encode(
     df: DataFrame,
-    vocabularies: dict[str, list[str]],
+    vocabulary: Vocabulary,
     dropped: Iterable[str] = (),
     one_hot: bool = False,
     output: str = "features",
 ) -> DataFrame:
     """The table with its feature vector appended: keys and vector stay in one row."""
-    columns = feature_columns(df, vocabularies, dropped)
-    pipeline = Pipeline(stages=encoding_stages(columns, vocabularies, one_hot, output))
-    encoded = pipeline.fit(df).transform(df)
-    return encoded.select(*df.columns, output)
+    columns = feature_columns(df, vocabulary.sizes, dropped)
+    with_indices = indexed(df, vocabulary)
+    pipeline = Pipeline(stages=encoding_stages(columns, vocabulary.sizes, one_hot, output))
+    return pipeline.fit(with_indices).transform(with_indices).select(*df.columns, output)
 
 
 def labelled(
@@ -124,7 +144,7 @@ def labelled(
 def categorical_arity(encoded: DataFrame, output: str = "features") -> dict[int, int]:
     """Vector position -> number of categories, the unknown bucket included."""
     attributes = encoded.schema[output].metadata.get("ml_attr", {}).get("attrs", {})
-    return {a["idx"]: len(a["vals"]) for a in attributes.get("nominal", [])}
+    return {a["idx"]: a.get("num_vals") or len(a["vals"]) for a in attributes.get("nominal", [])}
 
 
 def explode_vector(encoded: DataFrame, keys: list[str], output: str = "features", sparse: bool = False) -> DataFrame:

@@ -906,15 +906,15 @@ def knn_impute_pairs(spark, d):
 _FREQUENT = {"device": FREQUENT, "url": FREQUENT}
 
 
-def _vocabularies(facts: DataFrame) -> dict[str, list[str]]:
-    maps = features.factor_maps(facts, b.CATEGORICAL, _FREQUENT)
-    return encoding.vocabularies(maps, b.CATEGORICAL)
+def _vocabulary(facts: DataFrame) -> encoding.Vocabulary:
+    maps = checkpointed(features.factor_maps(facts, b.CATEGORICAL, _FREQUENT))
+    return encoding.vocabulary(maps, b.CATEGORICAL)
 
 
 def _encoded(spark, d, one_hot):
     facts = b.bids(spark, d)
     joined = joins.join_entities_to_facts(b.bidders(spark, d), facts, "bidder_id")
-    return encoding.encode(joined, _vocabularies(facts), {*b.DROPPED, "outcome"}, one_hot)
+    return encoding.encode(joined, _vocabulary(facts), {*b.DROPPED, "outcome"}, one_hot)
 
 
 def _map_sql(column: str, least: int = 0) -> str:
@@ -1138,7 +1138,7 @@ def _cv(spark, d, model_maker, one_hot):
         return features.imputed_pair(train, validation)[:2]
 
     areas, _ = models.cross_validate(
-        facts, folds, prepare, _vocabularies(facts), model_maker, CV_FOLDS, one_hot
+        facts, folds, prepare, _vocabulary(facts), model_maker, CV_FOLDS, one_hot, balanced=True
     )
     return rounded(_rounded_areas(areas), "auc_by_strength", digits=9)
 
@@ -1157,9 +1157,9 @@ def _submission(spark, d, model_maker, one_hot):
     facts, known, everyone = _prepared(spark, d)
     train, to_score, _ = features.imputed_pair(known, everyone)
     path = scratch_path(spark, "model")
-    models.train_job(facts, train, _vocabularies(facts), model_maker, one_hot, path)
+    models.train_job(facts, train, _vocabulary(facts), model_maker, one_hot, path, balanced=True)
     output = scratch_path(spark, "submission")
-    return models.submission_job(facts, to_score, path, output)
+    return models.submission_job(facts, to_score, path, output, strength=True)
 
 
 @query("rf_submission")

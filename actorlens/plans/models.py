@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from actorlens.functions.parallel import run_jobs
 from actorlens.operators import metrics, sampling
-from actorlens.operators.encoding import encoding_stages, feature_columns, labelled
+from actorlens.operators.encoding import Vocabulary, encoding_stages, feature_columns, indexed, labelled
 from actorlens.operators.joins import join_entities_to_facts
 from actorlens.plans.bindings import DROPPED
 from actorlens.sources import delimited
@@ -26,12 +26,13 @@ from actorlens.sources.storage import (
     checkpointed,
     load_model,
     materialise,
+    release,
     save_model,
     scratch_path,
-    spread,
 )
 
-ModelMaker = Callable[[dict[str, list[str]]], Estimator]
+#: Makes an estimator for vocabularies of these sizes.
+ModelMaker = Callable[[dict[str, int]], Estimator]
 Augment = Callable[[DataFrame], DataFrame]
 
 # The forest and SVM settings that results are compared under.
@@ -41,13 +42,13 @@ SVM_ITERATIONS = 100
 SVM_REGULARISATION = 0.01
 
 
-def random_forest(vocabularies: dict[str, list[str]], seed: int = 11, **settings) -> Estimator:
+def random_forest(sizes: dict[str, int], seed: int = 11, **settings) -> Estimator:
     """A forest with a bin for every level and the unknown one."""
-    bins = max([MIN_BINS, *[len(levels) + 1 for levels in vocabularies.values()]])
+    bins = max([MIN_BINS, *[size + 1 for size in sizes.values()]])
     return RandomForestClassifier(**{**FOREST, "maxBins": bins, "seed": seed, **settings})
 
 
-def linear_svm(vocabularies: dict[str, list[str]], **settings) -> Estimator:
+def linear_svm(sizes: dict[str, int], **settings) -> Estimator:
     """A linear SVM through the origin; features are standardised, as raw ticks are among them."""
     return LinearSVC(
         **{
@@ -60,33 +61,56 @@ def linear_svm(vocabularies: dict[str, list[str]], **settings) -> Estimator:
     )
 
 
+#: Rows of a partition of the fit.
+FIT_PARTITION_ROWS = 200_000
+
+
 def train(
     joined: DataFrame,
-    vocabularies: dict[str, list[str]],
+    vocabulary: Vocabulary,
     model_maker: ModelMaker,
     one_hot: bool,
     dropped: Iterable[str] = DROPPED,
     augment: Augment | None = None,
+    balanced: bool = False,
+    key: str = "bid_id",
 ) -> PipelineModel:
     """Fit on the rows of bidders joined with bids: encoding and model in one pipeline model.
 
-    Training passes over its input several times, so the joined and encoded rows are written once.
-    ``augment`` may change the rows (label, features) before, such as oversample a rare label.
+    Training passes over its input several times, so the joined and encoded rows are written once,
+    and deleted after the fit. They are laid out by ``key`` in partitions whose number follows from
+    the rows, so a model does not depend on the cores. ``augment`` may change the rows
+    (key, label, features) before, such as oversample a rare label; ``balanced`` weighs the rows so
+    that both labels count alike.
     """
-    columns = feature_columns(joined, vocabularies, {*dropped, "outcome"})
-    encoder = Pipeline(stages=encoding_stages(columns, vocabularies, one_hot)).fit(joined)
-    encoded = labelled(encoder.transform(joined), "outcome").select("label", "features")
-    rows = materialise(augment(encoded) if augment else encoded)
-    model = model_maker(vocabularies).fit(spread(rows.select("label", "features")))
+    spark = joined.sparkSession
+    columns = feature_columns(joined, vocabulary.sizes, {*dropped, "outcome"})
+    with_indices = indexed(joined, vocabulary)
+    encoder = Pipeline(stages=encoding_stages(columns, vocabulary.sizes, one_hot)).fit(with_indices)
+    encoded = labelled(encoder.transform(with_indices), "outcome").select(key, "label", "features")
+    path = scratch_path(spark, "training-rows")
+    rows = materialise(augment(encoded) if augment else encoded, path)
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = sum(totals.values())
+    estimator = model_maker(vocabulary.sizes)
+    if balanced and len(totals) > 1:
+        weights = [F.when(F.col("label") == label, n / len(totals) / rows_of) for label, rows_of in totals.items()]
+        rows = rows.withColumn("weight", F.coalesce(*weights))
+        estimator = estimator.copy({estimator.getParam("weightCol"): "weight"})
+    placed = rows.repartition(n // FIT_PARTITION_ROWS + 1, key).sortWithinPartitions(key, "label")
+    model = estimator.fit(placed)
+    release(spark, path)
     return PipelineModel(stages=[*encoder.stages, model])
 
 
-def score_rows(joined: DataFrame, model: PipelineModel, keys: Iterable[str]) -> DataFrame:
+def score_rows(
+    joined: DataFrame, model: PipelineModel, keys: Iterable[str], vocabulary: Vocabulary
+) -> DataFrame:
     """Keys with the predicted class as ``pred`` and the strength of class 1 as ``p1``.
 
     ``p1`` is the class probability, or the margin of a model that has none.
     """
-    scored = model.transform(joined)
+    scored = model.transform(indexed(joined, vocabulary))
     strength = "probability" if "probability" in scored.columns else "rawPrediction"
     return scored.select(
         *keys, F.col("prediction").alias("pred"), vector_to_array(strength)[1].alias("p1")
@@ -96,27 +120,29 @@ def score_rows(joined: DataFrame, model: PipelineModel, keys: Iterable[str]) ->
 def train_and_score(
     train_rows: DataFrame,
     validation_rows: DataFrame,
-    vocabularies: dict[str, list[str]],
+    vocabulary: Vocabulary,
     model_maker: ModelMaker,
     one_hot: bool = True,
     augment: Augment | None = None,
+    balanced: bool = False,
 ) -> DataFrame:
     """(bid_id, bidder_id, outcome, pred, p1) of the validation rows."""
-    model = train(train_rows, vocabularies, model_maker, one_hot, augment=augment)
-    return score_rows(validation_rows, model, ["bid_id", "bidder_id", "outcome"])
+    model = train(train_rows, vocabulary, model_maker, one_hot, augment=augment, balanced=balanced)
+    return score_rows(validation_rows, model, ["bid_id", "bidder_id", "outcome"], vocabulary)
 
 
 def cross_validate(
     bids: DataFrame,
     folds: DataFrame,
     prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-    vocabularies: dict[str, list[str]],
+    vocabulary: Vocabulary,
     model_maker: ModelMaker,
     pairs: int,
     one_hot: bool = True,
     result_dir: str | None = None,
     parallelism: int = 4,
     augment: Augment | None = None,
+    balanced: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Area under the curve per fold, and the score of every validated bidder.
 
@@ -125,27 +151,35 @@ def cross_validate(
 
     ``folds`` holds the bidders with a ``fold`` column; the first ``pairs`` folds are validated.
     ``prepare`` maps the raw (train, validation) bidders of a fold to model-ready ones, fitted on
-    the first only. Scored rows of a fold are written once and read back for the metric.
+    the first only. The bids meet their levels' indices once for all folds. Scored rows of a fold
+    are written once and read back for the metric; with ``result_dir`` they stay there as text, one
+    folder per fold.
     """
     spark = bids.sparkSession
-    result_dir = result_dir or scratch_path(spark, "cv-result")
+    scored_dir, facts_path = scratch_path(spark, "cv-scored"), scratch_path(spark, "cv-facts")
+    facts = materialise(indexed(bids, vocabulary), facts_path)
 
     def validate(fold: int) -> DataFrame:
         train_bidders, validation_bidders = prepare(*sampling.fold_pair(folds, fold))
         scored = train_and_score(
-            join_entities_to_facts(train_bidders, bids, "bidder_id"),
-            join_entities_to_facts(validation_bidders, bids, "bidder_id"),
-            vocabularies,
+            join_entities_to_facts(train_bidders, facts, "bidder_id"),
+            join_entities_to_facts(validation_bidders, facts, "bidder_id"),
+            vocabulary,
             model_maker,
             one_hot,
             augment,
+            balanced,
         )
-        return materialise(scored, f"{result_dir}/result_{fold}").withColumn("fold", F.lit(fold))
+        stored = materialise(scored, f"{scored_dir}/result_{fold}").withColumn("fold", F.lit(fold))
+        if result_dir:
+            delimited.write_scored(stored.drop("fold"), f"{result_dir}/result_{fold}")
+        return stored
 
     scored = reduce(DataFrame.unionByName, run_jobs(spark, validate, range(pairs), parallelism))
     bidders = checkpointed(
         metrics.entity_scores(scored, "bidder_id", groups=["fold"], probability="p1")
     )
+    release(spark, scored_dir, facts_path)
     by_share = metrics.area_under_roc(bidders, groups=["fold"])
     by_strength = metrics.area_under_roc(bidders, "mean_probability", groups=["fold"])
     areas = by_share.join(
@@ -154,39 +188,46 @@ def cross_validate(
     return areas, bidders
 
 
-def export_scored(result: DataFrame, result_dir: str) -> None:
-    """Scored rows as text, one folder per fold."""
-    for fold in [r["fold"] for r in result.select("fold").distinct().collect()]:
-        delimited.write_scored(result.filter(F.col("fold") == fold), f"{result_dir}/result_{fold}")
-
-
 def train_job(
     bids: DataFrame,
     bidders: DataFrame,
-    vocabularies: dict[str, list[str]],
+    vocabulary: Vocabulary,
     model_maker: ModelMaker,
     one_hot: bool,
     model_path: str,
+    balanced: bool = False,
 ) -> None:
-    """Fit on all labelled bidders and save the pipeline."""
+    """Fit on all labelled bidders; save the pipeline, and the factor maps beside it."""
     joined = join_entities_to_facts(bidders, bids, "bidder_id")
-    save_model(train(joined, vocabularies, model_maker, one_hot), model_path)
+    save_model(train(joined, vocabulary, model_maker, one_hot, balanced=balanced), f"{model_path}/pipeline")
+    vocabulary.maps.select("column", "level", "idx").write.mode("overwrite").parquet(f"{model_path}/factor-maps")
+    sizes = bids.sparkSession.createDataFrame(list(vocabulary.sizes.items()), "column string, size bigint")
+    sizes.write.mode("overwrite").parquet(f"{model_path}/sizes")
+
+
+def saved_vocabulary(bids: DataFrame, model_path: str) -> Vocabulary:
+    read = bids.sparkSession.read
+    sizes = {r["column"]: r["size"] for r in read.parquet(f"{model_path}/sizes").collect()}
+    schema = "column string, level string, idx double"
+    return Vocabulary(read.schema(schema).parquet(f"{model_path}/factor-maps"), sizes)
 
 
 def submission_job(
-    bids: DataFrame, bidders: DataFrame, model_path: str, output_path: str | None = None
+    bids: DataFrame, bidders: DataFrame, model_path: str, output_path: str | None = None, strength: bool = False
 ) -> DataFrame:
     """Score bidders with a saved model: (bidder_id, prob), one row per bidder with bids.
 
-    Row scores are written before the roll-up: grouping straight behind a join on the same key would
-    tie all rows of a bidder to one task, and the adaptive skew join could not split them.
+    With ``strength`` the mean strength of class 1 follows as ``mean_probability``. Row scores are
+    written before the roll-up: grouping straight behind a join on the same key would tie all rows
+    of a bidder to one task, and the adaptive skew join could not split them.
     """
     joined = join_entities_to_facts(bidders.drop("outcome"), bids, "bidder_id")
-    rows = materialise(score_rows(joined, load_model(model_path), ["bidder_id"]).drop("p1"))
-    scores = metrics.entity_scores(rows, "bidder_id", label=None)
+    model, vocabulary = load_model(f"{model_path}/pipeline"), saved_vocabulary(bids, model_path)
+    rows = materialise(score_rows(joined, model, ["bidder_id"], vocabulary))
+    scores = metrics.entity_scores(rows, "bidder_id", label=None, probability="p1")
     if output_path:
-        delimited.write_submission(scores, output_path)
-    return scores
+        delimited.write_submission(scores.select("bidder_id", "prob"), output_path)
+    return scores if strength else scores.select("bidder_id", "prob")
 
 
 def cross_validated_accuracy(

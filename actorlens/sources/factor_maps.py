@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.operators.encoding import vocabularies
+from actorlens.operators.encoding import Vocabulary, vocabulary
 
 
 def read_factor_map(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +33,9 @@ def write_factor_maps(factor_maps: DataFrame, paths: dict[str, str]) -> None:
         write_factor_map(factor_maps.filter(F.col("column") == column).drop("column"), path)
 
 
-def read_vocabularies(spark: SparkSession, paths: dict[str, str]) -> dict[str, list[str]]:
-    """Levels in index order for each column, from the column's factor map file."""
-    return vocabularies(long_factor_maps(spark, paths), paths)
+def read_vocabulary(spark: SparkSession, paths: dict[str, str]) -> Vocabulary:
+    """The vocabulary of several columns from their factor map files."""
+    return vocabulary(long_factor_maps(spark, paths), paths)
 
 
 def long_factor_maps(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql.types import StructField, StructType
 
 from actorlens.functions.columns import TYPE_WORDS, sanitise_names, type_word
 
-MAX_COLUMNS = 100_000
-
 
 def parse_schema_line(line: str) -> StructField:
     """One nullable field; anything but two words, or an unknown type word, is an error."""

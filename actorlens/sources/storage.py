@@ -69,18 +69,6 @@ def materialise(df: DataFrame, path: str | None = None, partition_by: list[str]
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, rows_per_partition: int = 25_000) -> DataFrame:
-    """A table in fewer partitions than cores over as many as its rows keep busy.
-
-    For stored tables and work that is heavy per row; a large table stays as it is.
-    """
-    cores, partitions = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if partitions >= cores:
-        return df
-    wanted = min(cores, df.count() // rows_per_partition)
-    return df.repartition(wanted) if wanted > partitions else df
-
-
 def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
     """A typed table without rows, to derive the schema of a plan before data exists."""
     return spark.createDataFrame([], schema)

@@ -117,3 +117,21 @@ def test_constant_column_is_centred_and_empty_row_is_an_error(spark):
     empty = spark.createDataFrame([("c", None)], "key string, v double")
     with pytest.raises(ValueError):
         imputer.transform(empty)
+
+
+def test_no_row_is_lost(spark):
+    table = spark.createDataFrame(
+        [("a", 1.0, 2.0), ("b", 2.0, None), ("c", float("nan"), 5.0), ("d", 4.0, 7.0), ("e", 0.0, 1.0)],
+        "key string, x double, y double",
+    )
+    filled = impute.fit_imputer(table, "key", ["x", "y"], k=2).transform(table)
+    assert filled.count() == 5
+    assert filled.filter("x IS NULL OR y IS NULL OR isnan(x) OR isnan(y)").isEmpty()
+
+
+def test_without_complete_rows_filling_is_an_error(spark):
+    table = spark.createDataFrame([("a", 1.0, None), ("b", None, 2.0), ("c", 3.0, None)], "key string, x double, y double")
+    with pytest.raises(ValueError, match="no complete row"):
+        impute.fit_imputer(table, "key", ["x", "y"]).transform(table)
+    complete = spark.createDataFrame([("z", 1.0, 2.0)], table.schema)
+    assert impute.fit_imputer(table, "key", ["x", "y"]).transform(complete).count() == 1

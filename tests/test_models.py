@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from actorlens.operators import metrics, sampling
+from actorlens.operators import encoding, metrics, sampling
 from actorlens.plans import features, models
 from actorlens.sources import storage
 from tests.conftest import rows
@@ -44,6 +44,11 @@ def auction(spark):
     )
 
 
+@pytest.fixture(scope="module")
+def words(spark):
+    return encoding.from_lists(spark, LEVELS)
+
+
 @pytest.fixture(scope="module")
 def prepared(auction):
     bids, people = auction
@@ -60,29 +65,31 @@ def prepare(train, validation):
 @pytest.mark.parametrize(
     "maker, one_hot", [(models.random_forest, False), (models.linear_svm, True)]
 )
-def test_cross_validation_ranks_bots_first(prepared, tmp_path, maker, one_hot):
+def test_cross_validation_ranks_bots_first(prepared, words, spark, tmp_path, maker, one_hot):
     bids, known, _ = prepared
     folds = storage.checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 4))
     areas, scores = models.cross_validate(
-        bids, folds, prepare, LEVELS, maker, 2, one_hot, str(tmp_path / "cv")
+        bids, folds, prepare, words, maker, 2, one_hot, str(tmp_path / "cv")
     )
     assert rows(areas, "fold") == [(0,), (1,)]
     assert metrics.mean_and_sd(areas, "auc_by_strength").first()["avg"] > 0.9
     validated = folds.filter("fold < 2").select("fold", "bidder_id")
     assert rows(scores, "fold", "bidder_id") == rows(validated, "fold", "bidder_id")
-    assert (tmp_path / "cv" / "result_0").exists()
+    lines = [tuple(r["value"].split(",")) for r in spark.read.text(str(tmp_path / "cv" / "result_0")).collect()]
+    known_bids = bids.join(folds.filter("fold = 0"), "bidder_id").select("bid_id", "bidder_id", "outcome")
+    assert sorted(line[:3] for line in lines) == sorted(tuple(map(str, r)) for r in known_bids.collect())
 
 
-def test_any_estimator_fits_in(prepared):
+def test_any_estimator_fits_in(prepared, words):
     bids, known, _ = prepared
     folds = storage.checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 3))
     areas, _ = models.cross_validate(
-        bids, folds, prepare, LEVELS, lambda _: LogisticRegression(maxIter=10), 1
+        bids, folds, prepare, words, lambda _: LogisticRegression(maxIter=10), 1
     )
     assert areas.first()["auc_by_strength"] > 0.8
 
 
-def test_oversampling_the_training_rows_lifts_the_share(prepared):
+def test_oversampling_the_training_rows_lifts_the_share(prepared, words):
     bids, known, _ = prepared
     folds = storage.checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 3))
 
@@ -92,7 +99,7 @@ def test_oversampling_the_training_rows_lifts_the_share(prepared):
     shares = []
     for augment in (None, balance):
         _, scores = models.cross_validate(
-            bids, folds, prepare, LEVELS, models.random_forest, 1, False, augment=augment
+            bids, folds, prepare, words, models.random_forest, 1, False, augment=augment
         )
         shares.append(scores.agg(F.avg("prob")).first()[0])
     assert shares[0] <= shares[1]
@@ -101,11 +108,11 @@ def test_oversampling_the_training_rows_lifts_the_share(prepared):
 @pytest.mark.parametrize(
     "maker, one_hot", [(models.random_forest, False), (models.linear_svm, True)]
 )
-def test_train_then_submit(spark, prepared, tmp_path, maker, one_hot):
+def test_train_then_submit(spark, prepared, words, tmp_path, maker, one_hot):
     bids, known, everyone = prepared
     train, to_score, _ = features.imputed_pair(known, everyone)
     model, output = str(tmp_path / "model"), str(tmp_path / "out")
-    models.train_job(bids, train, LEVELS, maker, one_hot, model)
+    models.train_job(bids, train, words, maker, one_hot, model)
     scores = models.submission_job(bids, to_score, model, output)
     assert scores.columns == ["bidder_id", "prob"]
     # One row per bidder with bids: the four idle ones have none.
@@ -128,9 +135,9 @@ def test_validation_rows_do_not_reach_the_imputer(prepared):
 
 
 def test_forest_has_bins_for_every_level():
-    forest = models.random_forest({"url": [f"u{i}" for i in range(250)]})
+    forest = models.random_forest({"url": 250})
     assert forest.getMaxBins() == 251
-    assert models.random_forest(LEVELS).getMaxBins() == 100
+    assert models.random_forest({"url": 3}).getMaxBins() == 100
 
 
 def test_multiclass_accuracy(spark):
@@ -147,10 +154,43 @@ def test_multiclass_accuracy(spark):
     assert metrics.mean_and_sd(per_fold, "accuracy").first()["avg"] > 0.9
 
 
-def test_scored_export(spark, tmp_path):
-    df = spark.createDataFrame(
-        [(0, 1, "a", 1, 1.0), (1, 2, "b", 0, 0.0)],
-        "fold int, bid_id bigint, bidder_id string, outcome int, pred double",
+def _rare_bots(spark):
+    """One bidder in twenty is a bot; its device tells, but not always."""
+    rng = random.Random(21)
+    people = [(f"p{i:03d}", "acc", "addr", int(i % 20 == 0)) for i in range(300)]
+    bids = []
+    for key, _, _, bot in people:
+        for _ in range(10):
+            device = "d0" if rng.random() < (0.6 if bot else 0.1) else rng.choice(["d1", "d2"])
+            bids.append((len(bids), key, 1, "auto", device, rng.randrange(10_000), "at", "ip", "u0"))
+    return (
+        spark.createDataFrame(
+            bids,
+            "bid_id bigint, bidder_id string, auction int, merchandise string, device string,"
+            " time bigint, country string, ip string, url string",
+        ),
+        spark.createDataFrame(people, "bidder_id string, payment_account string, address string, outcome int"),
     )
-    models.export_scored(df, str(tmp_path / "cv"))
-    assert spark.read.text(str(tmp_path / "cv" / "result_1")).first()[0] == "2,b,0,0.0"
+
+
+@pytest.mark.parametrize("maker, one_hot", [(models.random_forest, False), (models.linear_svm, True)])
+def test_balanced_models_find_rare_bots(spark, words, tmp_path, maker, one_hot):
+    bids, people = _rare_bots(spark)
+    model = str(tmp_path / "model")
+    models.train_job(bids, people, words, maker, one_hot, model, balanced=True)
+    scores = models.submission_job(bids, people, model, strength=True)
+    assert scores.select("prob").distinct().count() > 3
+    labelled = scores.join(people.select("bidder_id", "outcome"), "bidder_id")
+    for score in ("prob", "mean_probability"):
+        assert metrics.area_under_roc(labelled, score).first()["auc"] > 0.8
+
+
+def test_forest_does_not_depend_on_the_layout(spark, words):
+    bids, people = _rare_bots(spark)
+    joined = people.withColumnRenamed("bidder_id", "bidder_id_left").join(bids, F.col("bidder_id_left") == F.col("bidder_id"))
+    dropped = [*models.DROPPED, "bidder_id_left"]
+    texts = {
+        models.train(joined.repartition(n), words, models.random_forest, False, dropped).stages[-1].toDebugString.split("\n", 1)[1]
+        for n in (1, 3, 11)
+    }
+    assert len(texts) == 1

@@ -120,7 +120,9 @@ def test_factor_map_files(spark, tmp_path):
     path = str(tmp_path / "country.map")
     factor_maps.write_factor_map(factor_map(levels), path)
     assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["at\t0", "in\t1", "us\t2"]
-    assert factor_maps.read_vocabularies(spark, {"country": path}) == {"country": ["at", "in", "us"]}
+    words = factor_maps.read_vocabulary(spark, {"country": path})
+    assert words.sizes == {"country": 3}
+    assert rows(words.maps) == [("country", "at", 0.0), ("country", "in", 1.0), ("country", "us", 2.0)]
     long = factor_maps.long_factor_maps(spark, {"country": path, "again": path})
     assert long.count() == 6
 
@@ -128,6 +130,11 @@ def test_factor_map_files(spark, tmp_path):
 def test_last_duplicate_of_a_factor_map_wins(spark, tmp_path):
     path = put(tmp_path, "d.map", "a\t0\nb\t1\na\t2\n")
     assert rows(factor_maps.read_factor_map(spark, path)) == [("a", 2.0), ("b", 1.0)]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    put(folder, "part-0", "x\t0\n")
+    put(folder, "part-1", "x\t9\n" + "".join(f"y{i}\t{i}\n" for i in range(50)))
+    assert ("x", 9.0) in rows(factor_maps.read_factor_map(spark, str(folder)))
     with pytest.raises(FAILURES):
         factor_maps.read_factor_map(spark, put(tmp_path, "e.map", "a\t0\t9\n")).collect()
 
@@ -143,14 +150,13 @@ def test_storage(spark, tmp_path):
     assert rows(storage.checkpointed(df)) == rows(df)
 
 
-def test_spread_touches_small_tables_only(spark):
-    cores = spark.sparkContext.defaultParallelism
-    narrow = spark.range(100).coalesce(1)
-    assert storage.spread(narrow).rdd.getNumPartitions() == 1
-    assert storage.spread(narrow, 50).rdd.getNumPartitions() == 2
-    assert storage.spread(narrow, 1).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 3)
-    assert storage.spread(wide).rdd.getNumPartitions() == cores + 3
+def test_scratch_lies_below_the_shared_folder_and_can_be_released(spark):
+    path = storage.scratch_path(spark, "gone")
+    assert path.startswith(storage.shared_folder(spark))
+    storage.materialise(spark.range(3), path)
+    storage.release(spark, path)
+    with pytest.raises(FAILURES):
+        spark.read.parquet(path)
 
 
 def test_column_helpers(spark):
