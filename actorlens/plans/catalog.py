@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actorlens.functions import trees
 from actorlens.functions.columns import sanitise_names
 from actorlens.functions.expressions import time_bucket
 from actorlens.operators import (
@@ -973,6 +974,50 @@ def onehot_features(spark, d):
     return encoding.explode_vector(_encoded(spark, d, one_hot=True), ["bid_id"], sparse=True)
 
 
+@query(
+    "feature_arity",
+    _MAPS
+    + """ SELECT 0 AS pos, n_merchandise + 1 AS arity FROM sizes UNION ALL SELECT 1, n_device + 1 FROM sizes
+          UNION ALL SELECT 3, n_country + 1 FROM sizes UNION ALL SELECT 4, n_url + 1 FROM sizes""",
+)
+def feature_arity(spark, d):
+    """Categories per vector position, as the trees are told."""
+    arity = encoding.categorical_arity(_encoded(spark, d, one_hot=False))
+    return spark.createDataFrame(sorted(arity.items()), "pos int, arity bigint")
+
+
+@query(
+    "labelled_features",
+    _MAPS
+    + """ SELECT bid_id, CAST(outcome AS DOUBLE) AS label, CAST(time AS DOUBLE) AS time,
+                 CAST(coalesce(idx_country, n_country) AS DOUBLE) AS country_idx
+          FROM mapped JOIN bidders USING (bidder_id)""".replace("SELECT bid_id", "SELECT mapped.bid_id"),
+)
+def labelled_features(spark, d):
+    encoded = encoding.labelled(_encoded(spark, d, one_hot=False), "outcome")
+    x = vector_to_array("features")
+    return encoded.select("bid_id", "label", x[2].alias("time"), x[3].alias("country_idx"))
+
+
+@query(
+    "informative_device_encoding",
+    f"""WITH found AS (SELECT * FROM ({_negentropy_sql("device")})
+              WHERE bots >= 1 AND humans + bots > {MIN_LEVEL_ROWS} AND negentropy > -0.5),
+        known AS (SELECT device AS level, row_number() OVER (ORDER BY device) - 1 AS idx FROM found),
+        facts AS (SELECT event_id AS bid_id, 'd' || (event_id % 37) AS device FROM events)
+        SELECT bid_id, CAST(coalesce(idx, (SELECT count(*) FROM known)) AS DOUBLE) AS device_idx
+        FROM facts LEFT JOIN known ON device = level""",
+)
+def informative_device_encoding(spark, d):
+    """Devices whose label share tells something among the training bidders, as a vocabulary."""
+    levels = profiles.attribute_informativeness(_profile(spark, d, "device"))
+    chosen = levels.filter((F.col("bots") >= 1) & (F.col("humans") + F.col("bots") > MIN_LEVEL_ROWS))
+    chosen = chosen.filter("negentropy > -0.5").select(F.col("device").alias("level"))
+    maps = frequency.factor_map(chosen).select(F.lit("device").alias("column"), "level", "idx")
+    words = encoding.vocabulary(checkpointed(maps), ["device"])
+    return encoding.indexed(b.bids(spark, d).select("bid_id", "device"), words).select("bid_id", "device_idx")
+
+
 # ---------------------------------------------------------------- scores and metrics
 
 
@@ -1119,6 +1164,40 @@ def factor_map_roundtrip(spark, d):
     return factor_maps.long_factor_maps(spark, paths)
 
 
+@query(
+    "csv_header_roundtrip",
+    _with(_BIDS) + " SELECT bid_id, merchandise, country, auction / 4.0 AS quarter FROM bids",
+)
+def csv_header_roundtrip(spark, d):
+    """Names and types come from the file, which is compressed."""
+    path = scratch_path(spark, "header-csv")
+    table = b.bids(spark, d).select("bid_id", "merchandise", "country", (F.col("auction") / 4).alias("quarter"))
+    table.write.option("header", "true").option("compression", "gzip").csv(path)
+    return delimited.read_with_header(spark, path).withColumn("bid_id", F.col("bid_id").cast("bigint"))
+
+
+@query(
+    "text_sinks",
+    ALL + "," + _RULE + """ SELECT 'scored' AS sink, count(*) AS "lines",
+               CAST(sum(length(bid_id || ',' || bidder_id || ',' || outcome || ',') + 3) AS BIGINT) AS characters
+          FROM scored
+          UNION ALL SELECT 'submission', count(*), 0 FROM scores""",
+)
+def text_sinks(spark, d):
+    """Lines of the scored rows, compressed, and of a submission, read back as text."""
+    scored_path, submission_path = scratch_path(spark, "scored"), scratch_path(spark, "submission")
+    delimited.write_scored(_rule(_labelled_bids(spark, d)), scored_path)
+    delimited.write_submission(_rule_scores(spark, d), submission_path)
+    size = F.sum(F.char_length("value"))
+    scored = delimited.read_lines(spark, scored_path).agg(F.count("*").alias("lines"), size.alias("characters"))
+    submission = delimited.read_lines(spark, submission_path).agg(
+        F.count("*").alias("lines"), F.lit(0).cast("bigint").alias("characters")
+    )
+    return sampling.union_all(
+        [scored.withColumn("sink", F.lit("scored")), submission.withColumn("sink", F.lit("submission"))]
+    )
+
+
 # ---------------------------------------------------------------- models
 
 
@@ -1179,3 +1258,55 @@ def rf_multiclass_accuracy(spark, d):
     )
     forest = RandomForestClassifier(numTrees=10, maxDepth=4, maxBins=100, seed=11)
     return models.cross_validated_accuracy(table, "vec_id", "label", ["vector"], forest, 10)
+
+
+@query(
+    "fold_population",
+    _with(_BIDS, _BIDDERS)
+    + f""", known AS (SELECT * FROM bidders WHERE bidder_id IN (SELECT bidder_id FROM bids)),
+          folds AS (SELECT *, (row_number() OVER (PARTITION BY outcome
+                       ORDER BY md5(CAST(bidder_id AS VARCHAR))) - 1) % {CV_FOLDS} AS fold FROM known)
+          SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (outcome = 1) AS positives,
+                 count(*) FILTER (outcome = 0) AS negatives FROM folds GROUP BY fold""",
+)
+def fold_population(spark, d):
+    """Who is validated in which fold of the cross-validation jobs."""
+    _, known, _ = _prepared(spark, d)
+    folds = sampling.stratified_folds(known, "bidder_id", "outcome", CV_FOLDS)
+    counts = [F.count_if(F.col("outcome") == v).alias(n) for v, n in ((1, "positives"), (0, "negatives"))]
+    return folds.groupBy(F.col("fold").cast("int").alias("fold")).agg(*counts)
+
+
+_AGREEING = _with(_BIDS, _BIDDERS) + """
+SELECT bidder_id, count(*) AS "rows", CAST(1 AS DOUBLE) AS agreeing FROM bids JOIN bidders USING (bidder_id) GROUP BY bidder_id"""
+
+
+def _agreeing(spark, d, model_maker, one_hot, recomputed):
+    """Share of each scored bidder's rows whose score equals one recomputed from the model's parts."""
+    facts, known, everyone = _prepared(spark, d)
+    train, to_score, _ = features.imputed_pair(known, everyone)
+    words = _vocabulary(facts)
+    model = models.train(
+        joins.join_entities_to_facts(train, facts, "bidder_id"), words, model_maker, one_hot, balanced=True
+    )
+    joined = encoding.indexed(joins.join_entities_to_facts(to_score, facts, "bidder_id"), words)
+    scored = model.transform(joined)
+    strength = "probability" if "probability" in scored.columns else "rawPrediction"
+    said = vector_to_array(strength)[1]
+    again = recomputed(model.stages[-1], vector_to_array("features"))
+    same = F.abs(said - again) <= 1e-9 * (1 + F.abs(again))
+    threshold = 0.5 if strength == "probability" else 0.0
+    same &= (F.col("prediction") == 1) == (again > threshold)
+    return scored.groupBy("bidder_id").agg(
+        F.count("*").alias("rows"), (F.count_if(same) / F.count("*")).alias("agreeing")
+    )
+
+
+@query("svm_scores_recomputed", _AGREEING)
+def svm_scores_recomputed(spark, d):
+    return _agreeing(spark, d, models.linear_svm, True, trees.linear_margin)
+
+
+@query("forest_scores_recomputed", _AGREEING)
+def forest_scores_recomputed(spark, d):
+    return _agreeing(spark, d, models.random_forest, False, trees.forest_probability)
