@@ -9,8 +9,8 @@ lists are cut into blocks by size and position, and blocks that cannot hold a pa
 Set relations. Equal sets are one class from the start. Every list has a pivot, the set that looks
 most typical, and each set of the list is compared with it. What these answers connect needs no
 comparison any more. For any other pair of the list the two overlaps with the pivot bound the
-overlap of the pair from both sides: many pairs are decided by that alone, and only the rest is
-compared. So a group of thousands of near copies costs about one comparison per copy.
+overlap of the pair from both sides: many pairs are decided by that alone. Of the rest those whose
+prefixes share too little are out, and only what is left is compared. So a group of thousands of near copies costs about one comparison per copy.
 
 The result is exact up to equal 64-bit hashes of different shingles.
 
@@ -118,8 +118,8 @@ def _crowding(tables: DataFrame) -> np.ndarray:
     for row in tables.select("slab", "counts").repartition("slab").mapInArrow(run, schema).toLocalIterator():
         counts[row["slab"]] = _unpacked(row["counts"])
     flat = counts.ravel()
-    usual = max(8.0, 2 * flat.mean())
-    return np.floor(2 * np.log2(np.maximum(1.0, flat / usual))).astype(np.uint8)
+    usual = flat.mean() + 3 * np.sqrt(flat.mean()) + 4
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1.0, flat / usual)))).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, crowding: np.ndarray) -> DataFrame:
@@ -198,19 +198,38 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return texts.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough for a link.
+
+    Of the set whose prefix ends first in the common order, what the sets share in its prefix lies
+    in both prefixes; the rest of it bounds the overlap behind. The larger rest bounds both cases.
+    """
+    sides = [
+        prefixes.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"tokens_{k}"))
+        for k in "ab"
+    ]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    larger = F.greatest("n_a", "n_b")
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    behind = F.ceil(F.lit(percent) * larger / 100) - 1
+    return both.filter(shared + behind >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _candidates(postings: DataFrame) -> DataFrame:
     """(token, doc, n, pos, pivot, n_p) of all lists with two sets or more."""
+    # One shuffle serves both: the exchange is the same as long as both read the same columns.
     dealt = postings.repartition("token")
     lists = (
         dealt.groupBy("token")
         .agg(
             F.count("*").alias("_sets"),
+            F.max("pos").alias("_furthest"),
             F.max_by(F.struct("doc", "n"), F.struct("typical", -F.col("doc"))).alias("_p"),
         )
-        .filter("_sets > 1")
+        .filter("_sets > 1 and _furthest >= 0")
         .select("token", F.col("_p.doc").alias("pivot"), F.col("_p.n").alias("n_p"))
     )
-    return materialise(dealt.join(lists, "token").select("token", "doc", "n", "pos", "pivot", "n_p"))
+    return materialise(dealt.join(lists, "token").select("token", "doc", "n", "typical", "pos", "pivot", "n_p"))
 
 
 def _open_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
@@ -253,12 +272,13 @@ def near_components(
     classes = materialise(full.groupBy("hi", "lo").agg(F.min("doc").alias("class")))
     crowding = _crowding(first.filter("slab is not null"))
     prefixes = _prefixes(rows, width, percent, crowding).filter("n > 0 and doc is not null")
-    chosen = prefixes.join(classes.select(F.col("class").alias("doc")).distinct(), "doc", "left_semi")
+    chosen = materialise(prefixes.join(classes.select(F.col("class").alias("doc")), "doc", "left_semi"))
     postings = chosen.select("doc", "n", "typical", F.posexplode("tokens").alias("pos", "token"))
-    candidates = _candidates(postings, percent)
+    candidates = _candidates(postings)
 
     reach = (F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * percent) & (F.col("doc") != F.col("pivot"))
     stars = candidates.filter(reach).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = materialise(_promising(stars, chosen, percent))
     answers = materialise(overlaps(rows, stars, width).distinct())
     links = answers.filter(_similar(percent)).select("a", "b")
     tops = materialise(components(links))
@@ -278,7 +298,8 @@ def near_components(
     pairs = materialise(_open_pairs(materialise(open_lists), percent))
     # Pairs that are pivot and set have been compared.
     either = answers.select("a", "b").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = materialise(pairs.filter("not sure").select("a", "b").join(either, ["a", "b"], "left_anti"))
+    undecided = pairs.filter("not sure").select("a", "b").join(either, ["a", "b"], "left_anti")
+    rest = materialise(_promising(undecided, chosen, percent))
     more = pairs.filter("sure").select("a", "b")
     if not rest.isEmpty():
         more = more.unionByName(overlaps(rows, rest, width).filter(_similar(percent)).select("a", "b"))
