@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actorlens.operators.joins import join_on
-from actorlens.operators.ordering import BEFORE, digest, ordered_index, running_before
+from actorlens.operators.ordering import BEFORE, SLICE_DIGITS, digest, ordered_index, running_before
 
 
 def level_counts(df: DataFrame, column: str) -> DataFrame:
@@ -25,7 +25,7 @@ def sorted_counts(counts: DataFrame, descending: bool = False) -> DataFrame:
     return counts.orderBy(F.desc("count") if descending else F.asc("count"), "level")
 
 
-def cumulative_share(counts: DataFrame, hex_digits: int = 3) -> DataFrame:
+def cumulative_share(counts: DataFrame, hex_digits: int = SLICE_DIGITS) -> DataFrame:
     """Add ``rank``, ``cumulative`` and ``ratio`` over ascending count; ties go by MD5 of the level.
 
     Levels of one count form a class. A table of N rows has at most sqrt(2N) different counts, so

@@ -35,8 +35,9 @@ def salted_join(
 ) -> DataFrame:
     """Inner or left join of facts to entities with the facts of hot keys spread over salts.
 
-    Each hot key gets one salt per ``hot_rows`` rows; its entity row is repeated once per salt,
-    so every fact still meets its entity exactly once.
+    Each hot key gets one salt per ``hot_rows`` rows; its entity row is repeated once per salt, so
+    every fact still meets its entity exactly once. The table of hot keys grows with the facts, so
+    how it is joined is left to its measured size.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join supports inner and left, not {how}")
@@ -44,7 +45,6 @@ def salted_join(
         F.col(key).alias("_hot_key"),
         F.ceil(F.col("key_rows") / hot_rows).cast("int").alias("_salts"),
     )
-    hot = F.broadcast(hot)
     spread = facts.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(

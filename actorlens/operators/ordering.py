@@ -20,6 +20,9 @@ from actorlens.sources.storage import checkpointed
 
 BEFORE = (W.unboundedPreceding, -1)
 
+#: 65,536 slices per group: a group of 10^12 keys has slices of 15 million, which one task can sort.
+SLICE_DIGITS = 4
+
 
 def digest(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
@@ -43,7 +46,7 @@ def _slice_offsets(sliced: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = 3) -> DataFrame:
+def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = SLICE_DIGITS) -> DataFrame:
     """Add ``rank`` (1..n by MD5 of ``key`` within the groups) and ``group_rows`` (n).
 
     ``key`` has to be unique within a group.
@@ -58,7 +61,7 @@ def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = 3)
 
 
 def first_by_digest(
-    df: DataFrame, groups: list[str], key: str, share: float, output: str, hex_digits: int = 3
+    df: DataFrame, groups: list[str], key: str, share: float, output: str, hex_digits: int = SLICE_DIGITS
 ) -> DataFrame:
     """Mark the first floor(share * n) rows of each group by MD5 of ``key``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,17 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _poisson_thresholds(rate: float) -> list[float]:
+    """Cumulative probabilities of 0, 1, ... draws, up to a negligible rest."""
+    term = total = math.exp(-rate)
+    out = [total]
+    while 1 - total > 1e-12 and len(out) < 100:
+        term *= rate / len(out)
+        total += term
+        out.append(total)
+    return out
+
+
 def oversample(
     df: DataFrame,
     label: str,
@@ -57,10 +69,23 @@ def oversample(
     accept_rate: float = 0.9,
     seed: int = 10,
     include_original: bool = False,
+    key: list[str] | None = None,
 ) -> DataFrame:
-    """``times`` draws with replacement of the rows with one label, each with its own seed."""
+    """``times`` draws with replacement of the rows with one label, each with its own seed.
+
+    How often a row is drawn follows from a hash of its ``key`` columns (all by default), so draws do
+    not depend on partitions. Rows with equal keys are drawn alike.
+    """
     minority = df.filter(F.col(label) == value)
-    draws = [minority.sample(True, accept_rate, seed + i) for i in range(times)]
+
+    def draw(number: int) -> DataFrame:
+        hashed = F.xxhash64(F.lit(seed + number), *(key or df.columns))
+        uniform = F.pmod(hashed, F.lit(1 << 53)) / float(1 << 53)
+        copies = F.size(F.filter(F.array(*map(F.lit, _poisson_thresholds(accept_rate))), lambda p: p < uniform))
+        repeated = F.explode(F.array_repeat(F.lit(1), copies))
+        return minority.withColumn("_draw", repeated).drop("_draw")
+
+    draws = [draw(i) for i in range(times)]
     if include_original:
         draws = [df, *draws]
     return union_all(draws) if draws else minority.limit(0)
