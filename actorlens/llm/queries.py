@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, pii, quality, url_rules, vectors
+from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, pii, quality, substring_dedup, url_rules, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage that an earlier document holds, too."""
+    marked = substring_dedup.mark_repeats(read(spark, sf_dir, "documents"))
+    return marked.select("doc_id", F.explode("repeats").alias("r")).select(
+        "doc_id",
+        "r.first_doc_id",
+        "r.start",
+        "r.stop",
+        F.sha2("r.passage", 256).alias("passage_sha256"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -147,6 +159,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_fingerprints": op5_fingerprints,
