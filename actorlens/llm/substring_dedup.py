@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text (16 bits, so 16 bytes back). A chunk ends where the hash
-is smallest among the REACH positions on either side: chunks are longer than REACH bytes, about
-twice as long on average, and an insertion moves no border further than REACH + 16 bytes away. Chunks
+is smallest among the REACH positions on either side: chunks have about twice as many bytes on
+average, and an insertion moves no border further than REACH + 16 bytes away. In a text that repeats
+one short piece each of its periods is a chunk, so that such stretches match at any length. Chunks
 are told apart by a 128-bit digest. A chunk that an earlier document holds, too, is a repeat, and
 repeats that follow each other and have ``least`` bytes together are a repeated passage. A passage
 of 280 bytes, some 50 words, holds several whole chunks wherever it stands.
@@ -60,12 +61,11 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _ends(data: np.ndarray) -> np.ndarray:
-    """Positions whose hash is smaller than all in reach before and none in reach after."""
+    """Positions whose hash is the smallest in reach, before and after; equal ones count alike."""
     edge = np.full(REACH, np.iinfo(np.uint16).max, np.uint16)
-    # Values are shifted down so that an edge is larger than any of them.
-    h = _hashes(data) >> np.uint16(1)
+    h = _hashes(data)
     lows = _smallest(np.concatenate([edge, h, edge]), REACH)
-    return np.flatnonzero((lows[: len(h)] > h) & (lows[REACH + 1 : REACH + 1 + len(h)] >= h))
+    return np.flatnonzero((lows[: len(h)] >= h) & (lows[REACH + 1 : REACH + 1 + len(h)] >= h))
 
 
 def borders(data: bytes) -> list[int]:
