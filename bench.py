@@ -31,6 +31,11 @@ HEADLINE = [
     "auc_of_entities",
     "auc_by_group",
     "rf_cv_auc",
+    "svm_cv_auc",
+    "rf_submission",
+    "svm_submission",
+    "standardize_knn_impute",
+    "rf_multiclass_accuracy",
 ]
 
 
