@@ -2,7 +2,8 @@
 
 1. ``quality``: positive-unlabelled classifier; documents scored below 0.7 go.
 2. ``lines``: lines that documents share stay in the first of them only.
-3. ``near_copies``: of each group of linked documents the one with the smallest doc_id stays.
+3. ``near_copies``: documents that share 80 percent of their five-word shingles are linked; of each
+   group of linked documents the one with the smallest doc_id stays.
 4. ``mix``: documents are repeated or left out, so that the sources meet their target weights.
 5. ``tokens``: byte-level BPE ids of every remaining document.
 
@@ -47,7 +48,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_components(docs)
+    groups = jaccard.near_components(docs, width=5, percent=80)
     # A document without a key is in no group, so it stays.
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -29,3 +29,13 @@ def test_run_equals_its_stages(spark, data_dir):
     rows = sorted((r["doc_id"], r["n_tokens"]) for r in first.collect())
     assert rows and rows == sorted((r["doc_id"], r["n_tokens"]) for r in again.collect())
     assert max(rows.count(r) for r in set(rows)) == 2
+
+
+def test_near_copies_share_five_word_shingles(spark, data_dir):
+    """176 of 216 five-word shingles (0.815) make a near copy, though only 181 of 213 of four words are shared."""
+    words = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(words)]
+    far = [f"x{i}" if i in (30, 60, 90, 120, 150, 180) else w for i, w in enumerate(words)]
+    docs = documents(spark, [" ".join(words), " ".join(copy), " ".join(f"y{w}" for w in words), " ".join(f"y{w}" for w in far)])
+    kept = corpus_pipeline.near_copies_stage(spark, docs, data_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
