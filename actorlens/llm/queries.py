@@ -31,7 +31,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per passage that an earlier document holds, too."""
-    marked = substring_dedup.mark_repeats(read(spark, sf_dir, "documents"))
+    marked = substring_dedup.mark_passages(read(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.explode("repeats").alias("r")).select(
         "doc_id",
         "r.first_doc_id",

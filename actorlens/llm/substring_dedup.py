@@ -5,8 +5,10 @@ is smallest among the REACH positions on either side: chunks have about twice as
 average, and an insertion moves no border further than REACH + 16 bytes away. In a text that repeats
 one short piece each of its periods is a chunk, so that such stretches match at any length. Chunks
 are told apart by a 128-bit digest. A chunk that an earlier document holds, too, is a repeat, and
-repeats that follow each other and have ``least`` bytes together are a repeated passage. A passage
-of 280 bytes, some 50 words, holds several whole chunks wherever it stands.
+repeats that follow each other and have ``least`` bytes together are a repeated passage.
+``mark_repeats`` leaves it at whole chunks. ``mark_passages`` takes them as anchors: it compares the
+bytes before and after with those of the first document, so that a passage reaches to its true ends,
+and only then asks for ``least`` bytes. One whole chunk in the passage is enough.
 
 Digests meet their first document in one aggregation, which combines before its shuffle; only
 (document, digest) pairs and the texts themselves are shuffled, and no step gathers the documents
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from actorlens.llm.arrow import arrow_schema, id_and_text, pieces
 from actorlens.sources.storage import checkpointed
 
-REACH = 24
+REACH = 12
 WINDOW = 16
 #: Bytes of repeated chunks in a row that make a passage.
 LEAST = 80
@@ -127,6 +129,119 @@ def passages(text: str, first_of: dict[bytes, int], least: int = LEAST) -> list[
     return found
 
 
+def _surroundings(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(hi, first, around, at): each shared chunk in its first document, with the bytes beside it.
+
+    Those are the chunks on either side and as far beyond as a border can depend on: where texts
+    agree further, they agree on the border, too, and the next chunk is shared.
+    """
+    schema = "hi bigint, first bigint, around binary, at int"
+    target = arrow_schema(schema)
+    margin = REACH + WINDOW + 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows = []
+            for doc, value, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                left, data = set(wanted), value.encode()
+                cuts = borders(data) if data else []
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    hi = _hi(xxhash.xxh3_128_digest(data[a:b]))
+                    if hi in left:
+                        left.remove(hi)
+                        low = max(0, cuts[max(0, i - 1)] - margin)
+                        rows.append((hi, doc, data[low : cuts[min(len(cuts) - 1, i + 2)] + margin], a - low))
+            made = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, target, strict=True)], schema=target)
+
+    wanted = shared.groupBy(F.col("first").alias("doc")).agg(F.collect_list("hi").alias("_wanted"))
+    found = texts.join(wanted, "doc").select("doc", "_text", "_wanted").mapInArrow(run, schema)
+    return found.groupBy("hi", "first").agg(F.min(F.struct("around", "at")).alias("_s")).select("hi", "first", "_s.*")
+
+
+def _hi(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """Bytes that two strings share at the start."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(differ[0]) if len(differ) else n
+
+
+def whole_passages(
+    text: str, held: dict[int, tuple[int, bytes, int]], least: int = LEAST
+) -> list[tuple[int, int, int]]:
+    """(start, stop, first document) in bytes of each repeated passage, to its true ends.
+
+    ``held`` has (first document, its bytes around the chunk, place of the chunk in them).
+    """
+    data, runs, run = text.encode(), [], []
+    for a, b, digest in [*chunks(text), (0, 0, b"")]:
+        first, around, at = held.get(_hi(digest), (0, b"", 0)) if digest else (0, b"", 0)
+        if around and around[at : at + b - a] == data[a:b]:
+            run.append((a, b, first, around, at))
+            continue
+        if run:
+            (start, _, _, before, place), (last, stop, _, after, there) = run[0], run[-1]
+            start -= _alike(data[max(0, start - place) : start][::-1], before[:place][::-1])
+            rest = after[there + stop - last :]
+            stop += _alike(data[stop : stop + len(rest)], rest)
+            while data[start] & 0xC0 == 0x80:
+                start += 1
+            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                stop -= 1
+            best = max(run, key=lambda c: (c[1] - c[0], -c[2]))
+            best = (best[1] - best[0], -best[2])
+            if runs and start <= runs[-1][1]:
+                start, stop, best = runs[-1][0], max(stop, runs[-1][1]), max(best, runs[-1][2])
+                runs.pop()
+            runs.append((start, stop, best))
+        run = []
+    return [(a, b, -best[1]) for a, b, best in runs if b - a >= least]
+
+
+def mark_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, repeats) of every row: (start, stop, first_doc_id, passage) in code points, to the true ends."""
+    # Half a digest is enough, as the bytes of the chunks are compared.
+    keys = chunk_keys(docs, key, text).select("hi", "doc")
+    several = keys.groupBy("hi").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    shared = checkpointed(several.select("hi", "first"))
+    texts = id_and_text(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text)), "doc", text)
+    around = checkpointed(_surroundings(texts.filter("doc IS NOT NULL"), shared))
+    repeated = (
+        keys.join(around, "hi")
+        .filter("doc > first")
+        .groupBy(F.col("doc").alias("_doc"))
+        .agg(F.collect_list(F.struct("hi", "first", "around", "at")).alias("_held"))
+    )
+    rows = docs.select(docs[key].alias("_key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
+    joined = rows.join(repeated, F.col("_key").cast("bigint") == F.col("_doc"), "left").select("_key", "_text", "_held")
+    schema = (
+        f"`{key}` {docs.schema[key].dataType.simpleString()},"
+        " repeats array<struct<start:bigint,stop:bigint,first_doc_id:bigint,passage:string>>"
+    )
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            repeats = []
+            for value, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held = {h["hi"]: (h["first"], h["around"], h["at"]) for h in found or ()}
+                data, at, chars, out = value.encode() if held else b"", 0, 0, []
+                for a, b, first in whole_passages(value, held, least) if held else ():
+                    passage = data[a:b].decode()
+                    start = chars + len(data[at:a].decode())
+                    at, chars = b, start + len(passage)
+                    out.append({"start": start, "stop": chars, "first_doc_id": first, "passage": passage})
+                repeats.append(out)
+            made = [batch.column(0), pa.array(repeats, target.field(1).type)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target, strict=True)], schema=target)
+
+    return joined.mapInArrow(run, schema)
+
+
 def mark_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, carry: tuple[str, ...] = ()
 ) -> DataFrame:

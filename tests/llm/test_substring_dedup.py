@@ -106,3 +106,24 @@ def test_digests_are_of_the_bytes():
     parts = list(sd.chunks(text))
     assert "".join(text.encode()[a:b].decode() for a, b, _ in parts) == text
     assert all(d == xxhash.xxh3_128_digest(text.encode()[a:b]) for a, b, d in parts)
+
+
+def test_passages_of_short_words_to_their_ends(spark):
+    """51 words of 1 to 3 letters, some of them of two bytes, are found whole."""
+    draw = random.Random(11)
+    short = lambda n: " ".join("".join(draw.choice("abcdefghijklmnoprstuvwß") for _ in range(draw.randint(1, 3))) for _ in range(n))
+    texts, planted = [], []
+    for _ in range(100):
+        passage = short(51)
+        for side in "[{":
+            planted.append((len(texts), passage))
+            texts.append(f"{short(40)} {side}{passage}{side} {short(40)}")
+    texts += [None, "", texts[0]]
+    rows = {r["doc_id"]: [tuple(s) for s in r["repeats"]] for r in sd.mark_passages(documents(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for doc, passage in planted[1::2]:
+        start = texts[doc].index(passage)
+        assert rows[doc] == [(start, start + len(passage), doc - 1, passage)]
+    assert all(not rows[doc] for doc, _ in planted[::2]) and not rows[200] and not rows[201]
+    assert rows[202] == [(0, len(texts[0]), 0, texts[0])]
+    assert sd.mark_passages(empty_documents(spark)).count() == 0
