@@ -13,7 +13,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its
     smallest one, then its smaller neighbours. Both only pair a node with a minimum, so the number
-    of links never grows, and a hub is combined before its shuffle.
+    of links never grows, and a hub is combined before its shuffle. Fails if ``rounds`` are too few.
     """
     edges = checkpointed(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -36,5 +36,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)

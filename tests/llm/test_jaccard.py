@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from actorlens.llm import jaccard
 from actorlens.llm.components import components
 from tests.llm.helpers import ascii_words, documents, empty_documents
@@ -86,3 +88,10 @@ def test_components(spark):
             top[a] = top[b] = min(top[a], top[b])
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert found == {i: t for i, t in top.items() if i in linked}
+
+
+def test_too_few_rounds_fail(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        components(links, rounds=1).collect()
+    assert {c for _, c in components(links).collect()} == {0}
