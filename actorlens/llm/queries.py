@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actorlens.llm import bpe, fingerprints, jaccard, line_dedup, mixing, pii, quality, substring_dedup, url_rules, vectors
+from actorlens.llm import (
+    alignment,
+    bpe,
+    fingerprints,
+    jaccard,
+    line_dedup,
+    mixing,
+    pii,
+    positional,
+    quality,
+    resampling,
+    substring_dedup,
+    url_rules,
+    vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +119,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.kept(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(read(spark, sf_dir, "documents"), *paths)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -157,6 +193,64 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+#: Words of op12 and op13: what is left when all else becomes white space, A-Z lower-cased.
+WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP12_SQL = f"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+cut AS (
+  SELECT 0 AS part, doc_id, text, {WORDS} AS w FROM documents
+  UNION ALL SELECT 1, item_id, text, {WORDS} FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS ref, * FROM cut),
+features AS (
+  SELECT ref, part, unnest(w) AS f FROM numbered
+  UNION ALL SELECT ref, part, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM numbered),
+counted AS (SELECT ref, part, f, count(*) AS n FROM features GROUP BY ALL),
+named AS (
+  SELECT f, list_transform(range(octet_length(encode(f))),
+    lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes
+  FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM named, bits),
+held AS (SELECT ref, part, b, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+buckets AS (
+  SELECT b, coalesce(sum(n) FILTER (part = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (part = 1), 0)::DOUBLE AS t FROM held GROUP BY b),
+gains AS (
+  SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM buckets),
+weights AS (SELECT ref, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM held JOIN gains USING (b) WHERE part = 0 GROUP BY ref),
+scored AS (
+  SELECT c.ref, c.doc_id, len(w) AS n_words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM numbered c LEFT JOIN weights x ON c.ref = x.ref WHERE part = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_words >= 20) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= eligible * 25 // 100 THEN place END AS rank
+FROM ranked
+"""
+
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS ref, doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS} AS w FROM benchmark),
+cut AS (
+  SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM items WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM cut),
+places AS (
+  SELECT ref, w, k.n, unnest(range(1, len(w) - k.n + 2)) AS s
+  FROM docs, (SELECT DISTINCT n FROM phrases) k WHERE len(w) >= k.n),
+met AS (
+  SELECT DISTINCT p.ref, p.s, p.n, x.item
+  FROM (SELECT ref, s, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM places) p JOIN phrases x ON p.n = x.n AND p.phrase = x.phrase),
+hit AS (SELECT ref, count(DISTINCT spot) AS n_hit FROM (SELECT ref, unnest(range(s, s + n)) AS spot FROM met) GROUP BY ref),
+named AS (SELECT ref, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT ref, item FROM met) GROUP BY ref)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit ON docs.ref = hit.ref LEFT JOIN named ON docs.ref = named.ref
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
@@ -168,6 +262,15 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {"op4_vector_near_dedup": OP4_SQL, "op7_url_rules": OP7_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {
+    "op4_vector_near_dedup": OP4_SQL,
+    "op7_url_rules": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_benchmark_decontamination": OP13_SQL,
+}
