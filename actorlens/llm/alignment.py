@@ -7,8 +7,9 @@ of B both end cut the tokens into groups; an A and a B token are linked where th
 
 Inside a text neither tokenizer joins anything across a space between two visible characters: A's
 splitting pattern starts anew there, and B has no piece with a space behind another character. So the
-stretch from one such space to the next is aligned once and remembered by the worker. Of a text in
-which the tokens of some stretch do not spell its bytes, both tokenizers see the whole.
+stretch from one such space to the next is tokenised once and remembered by the worker. Of a text in
+which the tokens of some stretch do not spell its bytes, both tokenizers see the whole. Texts are
+then aligned by array operations on the bytes of a whole batch.
 
 A pair's count needs all documents, the sum over a document's links needs the counts of all its pairs.
 Rows of (document, pair) would be many times the texts, so texts are handled in batches of bounded
@@ -28,10 +29,12 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,7 +47,7 @@ from actorlens.sources.storage import materialise
 #: Bytes of text aligned together; a longer text is a batch of its own.
 BATCH = 4 << 20
 #: Stretches a worker remembers; a full memory is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 LONGEST = 64
 #: A space between two characters that surely are neither white space nor empty.
 BORDER = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
@@ -59,8 +62,52 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: how byte-level tokenizers split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _plain_coder(described: dict, bytes_a: dict[int, bytes]) -> object | None:
+    """A faster coder for ASCII, where A is plain byte-level BPE whose ids are in the order of its merges; else None.
+
+    Beyond ASCII libraries may disagree on what a letter is.
+    """
+    model, before = described["model"], described.get("pre_tokenizer") or {}
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type") != "BPE" or not level or described.get("normalizer") or model.get("dropout"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m)) for m in merges]
+    if None in made or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        return None
+    import tiktoken
+
+    special = {t["id"] for t in described.get("added_tokens", ())}
+    ranks = {token: i for i, token in bytes_a.items() if i not in special}
+    return tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+class Strings:
+    """Byte strings by number, joined by array operations."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, numbers: np.ndarray, most: int = 1 << 19) -> bytes:
+        """The strings of the numbers, one after the other; ``most`` at a time."""
+        parts = []
+        for at in range(0, len(numbers), most):
+            some = numbers[at : at + most]
+            lengths = self.lengths[some]
+            total = np.cumsum(lengths)
+            places = np.repeat(self.starts[some] - total + lengths, lengths) + np.arange(int(total[-1]))
+            parts.append(self.data[places].tobytes())
+        return b"".join(parts)
+
+
 class TokenizerPair:
-    """Both tokenizers, and what they make of a stretch of text."""
+    """Both tokenizers, and the tokens they make of stretches of text. Side 0 is A, side 1 is B."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,83 +122,112 @@ class TokenizerPair:
             described = json.load(file)
         bytes_a = {i: bytes(letters[c] for c in token) for token, i in described["model"]["vocab"].items()}
         bytes_a |= {t["id"]: t["content"].encode() for t in described.get("added_tokens", ()) if t["id"] not in bytes_a}
-        self.bytes_a = [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [
-            bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode()
-            for i, name in enumerate(names)
-        ]
+        self.spelt = (
+            [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)],
+            [
+                bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode()
+                for i, name in enumerate(names)
+            ],
+        )
+        self.size_b = len(names)
+        self.bytes_of = tuple(Strings(side) for side in self.spelt)
+        # Ids in decimal with what follows them: a comma, or what ends their side of a group.
+        self.written = Strings(
+            [f"{i}{end}".encode() for side, ends in zip(self.spelt, (",|", ",;"), strict=True) for i in range(len(side)) for end in ends]
+        )
+        self.plain = _plain_coder(described, bytes_a)
         # Otherwise B could join across a border, and every text has to be seen whole.
         self.cuts = not any("▁" in name.lstrip("▁") for name in names)
-        self.size_b = len(names)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}  # stretch -> its place in the lists below
-        self.groups: list[str] = []
-        self.sizes = array("q")  # tokens of A, tokens of B and groups, one after the other
-        self.strange: set[int] = set()  # stretches that are not spelt
-        self.pairs = array("q", [0])  # linked pairs of all stretches, behind one that belongs to none
-        self.ends = array("q", [1])  # where the pairs of each stretch end
-
-    def align(self, ids_a: list[int], ids_b: list[int], data: bytes) -> tuple[str, int, list[int]] | None:
-        """Groups as text, their number, and the linked pairs; None where tokens do not spell the bytes."""
-        spelt_a, spelt_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(spelt_a) != data or b"".join(spelt_b) != data:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, spelt_a))), list(accumulate(map(len, spelt_b)))
-        groups, pairs, size = [], [], self.size_b
-        i = j = from_a = from_b = 0
-        while i < len(ids_a) and j < len(ids_b):
-            pairs.append(ids_a[i] * size + ids_b[j])
-            end_a, end_b = ends_a[i], ends_b[j]
-            i += end_a <= end_b
-            j += end_b <= end_a
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-                from_a, from_b = i, j
-        return ";".join(groups), len(groups), pairs
-
-    def learn(self, parts: list[str]) -> list[int]:
-        """Align stretches and keep them; returns their places."""
-        in_a = self.a.encode_batch([" " + part for part in parts], add_special_tokens=False)
-        in_b = self.b.encode(parts, num_threads=1)
-        places = []
-        for part, a, ids_b in zip(parts, in_a, in_b, strict=True):
-            ids_a = a.ids
-            aligned = self.align(ids_a, ids_b, b" " + part.encode())
-            places.append(len(self.groups))
-            if aligned is None:
-                self.strange.add(len(self.groups))
-                self.groups.append("")
-                self.sizes.extend((0, 0, 0))
-            else:
-                groups, count, pairs = aligned
-                self.groups.append(groups)
-                self.sizes.extend((len(ids_a), len(ids_b), count))
-                self.pairs.extend(pairs)
-            self.ends.append(len(self.pairs))
-        return places
+        self.number: dict[str, int] = {}  # stretch -> its place
+        self.ids = (array("i"), array("i"))  # tokens of all stretches
+        self.ends = (array("q", [0]), array("q", [0]))  # where the tokens of each place end
+
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of a space and each part; B puts the space there itself."""
+        in_a: list = [None] * len(parts)
+        rest = range(len(parts))
+        if self.plain is not None:
+            code, rest = self.plain.encode_ordinary, [i for i, part in enumerate(parts) if not part.isascii()]
+            in_a = [code(" " + part) if part.isascii() else None for part in parts]
+        others = self.a.encode_batch([" " + parts[i] for i in rest], add_special_tokens=False)
+        for i, encoding in zip(rest, others, strict=True):
+            in_a[i] = encoding.ids
+        return in_a, self.b.encode(parts, num_threads=1)
+
+    def learn(self, parts: list[str]) -> range:
+        """Tokenise stretches and keep them; returns their places."""
+        first = len(self.ends[0]) - 1
+        for side, found in enumerate(self.encode(parts)):
+            ids, ends, end = self.ids[side], self.ends[side], self.ends[side][-1]
+            ids.extend(chain.from_iterable(found))
+            ends.extend(end + count for count in accumulate(map(len, found)))
+        return range(first, first + len(parts))
 
     def places(self, texts: list[str]) -> list[list[int]]:
-        """For every text the places of its stretches; empty for one whose tokens do not spell it."""
-        if len(self.groups) >= REMEMBERED:
+        """For every text the places of its stretches."""
+        if len(self.number) >= REMEMBERED:
             self.forget()
         cut = [BORDER.split(text) if self.cuts else [text] for text in texts]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if len(p) <= LONGEST and p not in self.number))
-        self.number.update(zip(new, self.learn(new), strict=True))
         number, found = self.number, []
-        for text, parts in zip(texts, cut, strict=True):
+        new = [p for p in set(chain.from_iterable(cut)).difference(number) if len(p) <= LONGEST]
+        number.update(zip(new, self.learn(new), strict=True))
+        for parts in cut:
             at = list(map(number.get, parts))
             if None in at:
                 long = [i for i, place in enumerate(at) if place is None]
                 for i, place in zip(long, self.learn([parts[i] for i in long]), strict=True):
                     at[i] = place
-            if not self.strange.isdisjoint(at):
-                at = self.learn([text])
-            found.append(at if self.strange.isdisjoint(at) else [])
+            found.append(at)
         return found
 
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both sides the tokens of all texts, and where each text's end; none of a text they do not spell."""
+        places = self.places(texts)
+        flat = np.fromiter(chain.from_iterable(places), np.int64)
+        until = np.cumsum([len(at) for at in places])
+        sides = []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            ends = np.frombuffer(ends, np.int64)
+            begin, count = ends[flat], ends[flat + 1] - ends[flat]
+            total = np.cumsum(count)
+            chosen = np.repeat(begin - total + count, count) + np.arange(int(total[-1]))
+            sides.append((np.frombuffer(ids, np.int32)[chosen].astype(np.int64), total[until - 1]))
+        data = [b" " + text.encode() for text in texts]
+        if all(self._spell(side, *sides[side], data) for side in (0, 1)):
+            return sides
+        return self._only_spelt(sides, texts, data)
+
+    def _spell(self, side: int, ids: np.ndarray, until: np.ndarray, data: list[bytes]) -> bool:
+        """Whether the tokens of all texts spell them."""
+        sizes = np.concatenate([[0], np.cumsum(self.bytes_of[side].lengths[ids])])
+        if not np.array_equal(sizes[until], np.cumsum([len(d) for d in data])):
+            return False
+        return self.bytes_of[side].join(ids) == b"".join(data)
+
+    def _only_spelt(self, sides: list[tuple[np.ndarray, np.ndarray]], texts: list[str], data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Where stretches do not spell a text, both tokenizers see the whole; if that does not either, it has no tokens."""
+        kept: tuple[list, list] = ([], [])
+        start = [0, 0]
+        for i, (text, spelling) in enumerate(zip(texts, data, strict=True)):
+            found = [ids[start[side] : until[i]].tolist() for side, (ids, until) in enumerate(sides)]
+            start = [int(until[i]) for _, until in sides]
+            for again in (False, True):
+                if again:
+                    found = [side[0] for side in self.encode([text])]
+                if all(b"".join(map(self.spelt[side].__getitem__, found[side])) == spelling for side in (0, 1)):
+                    break
+            else:
+                found = [[], []]
+            for side in (0, 1):
+                kept[side].append(found[side])
+        return [
+            (np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum([len(ids) for ids in lists])) for lists in kept
+        ]
+
 
 @lru_cache(maxsize=1)
 def loaded(path_a: str, path_b: str) -> TokenizerPair:
@@ -171,48 +247,75 @@ def _slices(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype())))
 
 
+@dataclass
+class Alignment:
+    """Of all texts of a batch: the linked pairs in order, the written groups, and per text where they end."""
+
+    pairs: np.ndarray
+    pairs_until: np.ndarray
+    written: np.ndarray
+    written_until: np.ndarray
+    groups: np.ndarray
+
+
+def align(coder: TokenizerPair, sides: list[tuple[np.ndarray, np.ndarray]]) -> Alignment:
+    """Both sides run over the same bytes, so a byte tells by marks and running counts which tokens it is in."""
+    ends = [np.cumsum(spelt.lengths[ids]) for spelt, (ids, _) in zip(coder.bytes_of, sides, strict=True)]
+    (ids_a, until_a), (ids_b, until_b) = sides
+    size = int(ends[0][-1]) if len(ids_a) else 0
+    marks = [np.zeros(size + 1, bool) for _ in ends]
+    for mark, at in zip(marks, ends, strict=True):
+        mark[at] = True
+    # Tokens that end before a byte, which is the number of the token that holds it.
+    counts = [np.cumsum(mark, dtype=np.int32) for mark in marks]
+    some, both = np.flatnonzero(marks[0] | marks[1]), marks[0] & marks[1]
+    pairs = ids_a[counts[0][some - 1]] * coder.size_b + ids_b[counts[1][some - 1]]
+    groups_before = np.cumsum(both, dtype=np.int32)
+    text_ends = np.concatenate([[0], ends[0]])[until_a]
+    pairs_until = np.searchsorted(some, text_ends, "right")
+    groups = np.diff(groups_before[text_ends], prepend=0) if len(text_ends) else np.empty(0, np.int64)
+    # A group's tokens of A are written before its tokens of B.
+    in_group = [groups_before[at - 1] for at in ends]
+    number = int(groups_before[-1])
+    held_a, held_b = (np.bincount(g, minlength=number) for g in in_group)
+    written = np.empty(len(ids_a) + len(ids_b), np.int64)
+    written[np.arange(len(ids_a)) + (np.cumsum(held_b) - held_b)[in_group[0]]] = 2 * ids_a + both[ends[0]]
+    written[np.arange(len(ids_b)) + np.cumsum(held_a)[in_group[1]]] = 2 * (len(coder.spelt[0]) + ids_b) + both[ends[1]]
+    return Alignment(pairs, pairs_until, written, until_a + until_b, groups)
+
+
 def _align_batch(coder: TokenizerPair, number: int, batch: pa.RecordBatch, target: pa.Schema) -> pa.RecordBatch:
     digests, texts, copies = (batch.column(i) for i in range(3))
-    places = coder.places(texts.to_pylist())
-    groups = coder.groups
-    shas = [
-        hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest() if at else ""
-        for at in places
-    ]
-    lengths = np.array([len(at) for at in places], np.int64)
-    flat = np.fromiter((i for at in places for i in at), np.int64, int(lengths.sum()))
-    of_text = np.repeat(np.arange(len(places)), lengths)
-    sizes = np.frombuffer(coder.sizes, np.int64).reshape(-1, 3)
-    ends = np.frombuffer(coder.ends, np.int64)
-    totals = np.zeros((len(places), 3), np.int64)
-    for column in range(3):
-        totals[:, column] = np.bincount(of_text, sizes[flat, column], len(places)).astype(np.int64)
-    begin, count = ends[flat], ends[flat + 1] - ends[flat]
-    shift = np.cumsum(count) - count
-    links = np.frombuffer(coder.pairs, np.int64)[np.repeat(begin - shift, count) + np.arange(int(count.sum()))]
-    link_text = np.repeat(of_text, count)
+    sides = coder.tokens(texts.to_pylist())
+    found, rows = align(coder, sides), batch.num_rows
+    shas, start = [], 0
+    for stop in found.written_until.tolist():
+        line = coder.written.join(found.written[start:stop])
+        shas.append(hashlib.sha256(line[:-1]).hexdigest() if line else "")
+        start = stop
+    n_links = np.diff(found.pairs_until, prepend=0)
     # Numbers of pairs within the batch, then distinct (text, pair) with their occurrences.
-    pairs, at = np.unique(links, return_inverse=True)
-    held, times = np.unique(link_text * max(len(pairs), 1) + at, return_counts=True)
+    at, pairs = pd.factorize(found.pairs)
+    held, times = np.unique(np.repeat(np.arange(rows), n_links) * max(len(pairs), 1) + at, return_counts=True)
     held_text, held_at = np.divmod(held, max(len(pairs), 1))
     weight = copies.to_numpy(zero_copy_only=False)
-    documents = np.bincount(held_at, weight[held_text], len(pairs)).astype(np.int64)
-    bounds = np.searchsorted(held_text, np.arange(len(places) + 1))
-    once = np.full(len(places) + 1, len(pairs))
+    documents = np.bincount(held_at, weight[held_text], len(pairs))
+    bounds = np.searchsorted(held_text, np.arange(rows + 1))
+    once = np.full(rows + 1, len(pairs))
     once[0] = 0
     columns = [
-        pa.array(np.full(len(places), number, np.int64)),
+        pa.array(np.full(rows, number, np.int64)),
         digests,
         copies,
-        *[pa.array(totals[:, i]) for i in range(3)],
-        pa.array(np.bincount(link_text, minlength=len(places)).astype(np.int64)),
+        *[pa.array(np.diff(until, prepend=0)) for _, until in sides],
+        pa.array(found.groups.astype(np.int64)),
+        pa.array(n_links),
         pa.array(shas, pa.string()),
         _slices(held_at, bounds, pa.int32()),
         _slices(times, bounds, pa.int32()),
         _slices(pairs, once, pa.int64()),
         _slices(documents, once, pa.int64()),
     ]
-    del sizes, ends, links  # the arrays may grow again
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
 

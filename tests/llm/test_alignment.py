@@ -1,6 +1,8 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -129,26 +131,36 @@ def test_null_keys_and_empty_tables(spark, plain):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="aehinorst  .1'\n\t Äß漢🎉▁", max_size=120))
-def test_stretches_make_whole_texts(text):
-    """What is remembered of stretches is what both tokenizers make of the whole text."""
-    coder = alignment.loaded(A, B)
-    if not text:
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="aehinorst  .1'\n\t Äß漢🎉▁", max_size=120), min_size=1, max_size=4))
+def test_stretches_make_whole_texts(texts):
+    """The tokens put together from stretches are what both tokenizers make of the whole text."""
+    coder, texts = alignment.loaded(A, B), [t for t in texts if t]
+    if not texts:
         return
-    at = coder.places([text])[0]
-    whole = coder.align(coder.a.encode(" " + text, add_special_tokens=False).ids, coder.b.encode(text), b" " + text.encode())
-    if whole is None:
-        assert at == []
-    else:
-        assert ";".join(coder.groups[i] for i in at) == whole[0]
+    found = [np.split(ids, until[:-1]) for ids, until in coder.tokens(texts)]
+    for i, text in enumerate(texts):
+        whole = [coder.a.encode(" " + text, add_special_tokens=False).ids, coder.b.encode(text)]
+        spelt = all(b"".join(coder.spelt[s][t] for t in whole[s]) == b" " + text.encode() for s in (0, 1))
+        assert [side[i].tolist() for side in found] == (whole if spelt else [[], []])
 
 
-def test_memory_is_emptied(spark, plain, monkeypatch):
+def test_plain_coder_equals_the_tokenizer():
+    """Every word the vocabulary is made of, runs of every ASCII character, and odd mixtures of them."""
+    coder, draw = alignment.loaded(A, B), random.Random(4)
+    assert coder.plain is not None
+    texts = [token.decode("ascii") for token in coder.spelt[0] if token.isascii()]
+    texts += [chr(i) * n for i in range(128) for n in (1, 2, 3, 17)]
+    texts += ["".join(draw.choices(texts, k=5)) for _ in range(20_000)]
+    plain = [e.ids for e in coder.a.encode_batch(texts, add_special_tokens=False)]
+    assert [coder.plain.encode_ordinary(t) for t in texts] == plain
+
+
+def test_memory_is_emptied(monkeypatch):
     coder = alignment.TokenizerPair(A, B)
     monkeypatch.setattr(alignment, "REMEMBERED", 3)
-    for text in ("one two three four five", "six seven eight nine", "one two six"):
-        groups = [coder.groups[i] for i in coder.places([text])[0]]
-        assert ";".join(groups) == coder.align(coder.a.encode(" " + text).ids, coder.b.encode(text), b" " + text.encode())[0]
+    for text in ("one two three four five", "six seven eight nine", "one two six", "x" * 500):
+        assert [ids.tolist() for ids, _ in coder.tokens([text])] == [coder.a.encode(" " + text).ids, coder.b.encode(text)]
+    assert len(coder.number) < 5
 
 
 def test_hot_texts_and_small_batches(spark, plain, monkeypatch):
