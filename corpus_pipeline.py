@@ -1,11 +1,12 @@
 """A training-data pipeline of five stages, each over all that its predecessor kept.
 
 1. ``quality``: positive-unlabelled classifier; documents scored below 0.7 go.
-2. ``lines``: lines that documents share stay in the first of them only.
+2. ``lines``: lines that documents share stay in the first of them only; documents that lose all
+   their words by that go.
 3. ``near_copies``: documents that share 80 percent of their five-word shingles are linked; of each
    group of linked documents the one with the smallest doc_id stays.
 4. ``mix``: documents are repeated or left out, so that the sources meet their target weights.
-5. ``tokens``: byte-level BPE ids of every remaining document.
+5. ``tokens``: byte-level BPE ids of every remaining document, and the digest of the bytes they decode to.
 
 All stages but the last return the columns of ``documents``. Null and empty texts pass like others;
 rows that repeat a doc_id pass stages 1 and 2 each, share their decision in stage 3 and are
@@ -42,7 +43,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = line_dedup.LineIndex.create(spark).insert(docs)
     kept = index.kept(docs, carry=("lang", "source"))
-    return kept.select(
+    # A document all of whose lines others hold is a copy of them; one that was blank before stays.
+    emptied = (F.col("n_dropped") > 0) & F.col("kept").rlike(r"\A[\x20\x09-\x0D]*\z")
+    return kept.filter(~emptied).select(
         "doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("bigint").alias("n_chars")
     )
 
@@ -69,7 +72,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    decoded = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 STAGES: list[tuple[str, Stage]] = [
