@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from actorlens.functions.expressions import negentropy
 from actorlens.operators.joins import join_on
-from actorlens.operators.ordering import BEFORE, SLICE_DIGITS, digest, ordered_index, running_before
+from actorlens.operators.ordering import BEFORE, SLICE_ROWS, ordered_index, running_before, with_slices
+from actorlens.sources.storage import materialise
 
 
 def level_counts(df: DataFrame, column: str) -> DataFrame:
@@ -25,16 +27,14 @@ def sorted_counts(counts: DataFrame, descending: bool = False) -> DataFrame:
     return counts.orderBy(F.desc("count") if descending else F.asc("count"), "level")
 
 
-def cumulative_share(counts: DataFrame, hex_digits: int = SLICE_DIGITS) -> DataFrame:
+def cumulative_share(counts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``rank``, ``cumulative`` and ``ratio`` over ascending count; ties go by MD5 of the level.
 
     Levels of one count form a class. A table of N rows has at most sqrt(2N) different counts, so
     the running total over the classes is small whatever N is; within a class every level weighs
     the same, so MD5 slices number its levels in parallel.
     """
-    sliced = counts.withColumn("_digest", digest("level")).withColumn(
-        "_slice", F.substring("_digest", 1, hex_digits)
-    )
+    sliced = with_slices(counts, ["count"], "level", slice_rows)
     slices = sliced.groupBy("count", "_slice").agg(F.count("*").alias("_levels"))
     slices = slices.withColumn(
         "_offset",
@@ -89,6 +89,42 @@ def top_levels(counts: DataFrame, n: int = 99) -> DataFrame:
     return sorted_counts(counts, descending=True).limit(n)
 
 
+#: Cells that levels are hashed into; the summary of a table of any size has no more rows.
+CELLS = 1 << 18
+
+
+def cell_counts(df: DataFrame, column: str, cells: int = CELLS) -> DataFrame:
+    """(cell, rows): how many rows have a level of each cell. Summaries of several tables merge by their sums.
+
+    No level of a cell has more rows than the cell, which is what the summary tells for sure.
+    """
+    return df.groupBy(_cell(column, cells).alias("cell")).agg(F.count("*").alias("rows"))
+
+
+def _cell(column: str, cells: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(cells))
+
+
+def _levels_in(df: DataFrame, column: str, chosen: DataFrame, cells: int) -> DataFrame:
+    """Exact counts of the levels whose cells are chosen; the cells are few by their number alone."""
+    rows = df.select(F.col(column).alias("level"), _cell(column, cells).alias("cell"))
+    return level_counts(rows.join(F.broadcast(chosen.select("cell")), "cell", "left_semi"), "level")
+
+
+def heavy_levels(df: DataFrame, column: str, n: int = 99, cells: int = CELLS) -> DataFrame:
+    """``top_levels`` of the counts, without counting the many rare levels.
+
+    The levels in the n largest cells are counted, and the n-th of these counts is one that the n-th
+    level overall has at least. Cells with fewer rows in all cannot hold a top level, so only the
+    levels of the others are counted: exactly, so the result is exact.
+    """
+    summary = materialise(cell_counts(df, column, cells))
+    largest = summary.orderBy(F.desc("rows"), "cell").limit(n)
+    sure = top_levels(_levels_in(df, column, largest, cells), n).agg(F.count("*").alias("n"), F.min("count").alias("least")).first()
+    least = sure["least"] if sure["n"] == n else 0
+    return top_levels(_levels_in(df, column, summary.filter(F.col("rows") >= least), cells), n)
+
+
 def frequent_levels(counts: DataFrame, threshold: int = 1000) -> DataFrame:
     """Levels that occur at least ``threshold`` times."""
     return counts.filter(F.col("count") >= threshold)
@@ -113,6 +149,60 @@ def factor_maps(levels: DataFrame) -> DataFrame:
     return numbered.select("column", "level", F.col("before__one").cast("double").alias("idx"))
 
 
+def out_of_fold(counts: DataFrame, keys: list[str], totals: list[str], folds: int) -> DataFrame:
+    """Totals per keys over all folds but one, for each ``fold`` left out: what its training part knows.
+
+    ``counts`` has (keys, fold, totals). One pass gives the totals, from which a fold's own are
+    subtracted; no fold is counted again. A key is there for a fold only if others have rows of it.
+    """
+    whole = counts.groupBy(*keys).agg(
+        *[F.sum(c).alias(f"_all_{c}") for c in totals],
+        # As many entries as there are folds at most.
+        F.map_from_entries(F.collect_list(F.struct(F.col("fold"), F.struct(*totals)))).alias("_own"),
+    )
+    per_fold = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    own = F.try_element_at("_own", F.col("fold"))
+    left = [(F.col(f"_all_{c}") - F.coalesce(own[c], F.lit(0))).alias(c) for c in totals]
+    outside = per_fold.select("fold", *keys, *left)
+    return outside.filter(sum((F.col(c) for c in totals), F.lit(0)) > 0)
+
+
+def fold_vocabulary(levels: DataFrame) -> DataFrame:
+    """(fold, column, level, idx) with idx 0..n-1 in level order within each fold and column."""
+    ones = levels.select("fold", "column", "level", F.lit(1).cast("bigint").alias("_one"))
+    numbered = running_before(ones, ["level"], ["_one"], ["fold", "column"])
+    return numbered.select("fold", "column", "level", F.col("before__one").cast("double").alias("idx"))
+
+
+def informative_by_fold(
+    facts: DataFrame,
+    folds: DataFrame,
+    columns: list[str],
+    entity: str,
+    label: str,
+    k: int,
+    min_rows: int = 100,
+    min_negentropy: float = -0.7,
+) -> DataFrame:
+    """(fold, column, level, humans, bots, negentropy): levels that tell something in each fold's training part.
+
+    ``folds`` has (entity, label, fold). Facts shrink to one row per (entity, level) before they meet
+    it. A level has at least one row of label 1, more than ``min_rows`` in all and a clear enough share.
+    """
+    long = facts.select(entity, *columns).unpivot(entity, columns, "column", "level")
+    pairs = long.dropna(subset=["level"]).groupBy(entity, "column", "level").agg(F.count("*").alias("_rows"))
+    met = pairs.join(folds.select(entity, label, "fold"), entity)
+    counts = met.groupBy("column", "level", "fold").agg(
+        F.sum(F.when(F.col(label) == 0, F.col("_rows")).otherwise(0)).alias("humans"),
+        F.sum(F.when(F.col(label) == 1, F.col("_rows")).otherwise(0)).alias("bots"),
+    )
+    outside = out_of_fold(counts, ["column", "level"], ["humans", "bots"], k)
+    scored = outside.withColumn("negentropy", negentropy(F.col("bots"), F.col("humans") + F.col("bots")))
+    return scored.filter(
+        (F.col("bots") >= 1) & (F.col("humans") + F.col("bots") > min_rows) & (F.col("negentropy") > min_negentropy)
+    )
+
+
 def share_of_rows(counts: DataFrame, selected: DataFrame) -> DataFrame:
     """Share of all rows that a selection of levels covers."""
     marked = join_on(counts, selected.select("level").withColumn("_in", F.lit(1)), ["level"], "left")

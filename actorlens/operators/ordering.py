@@ -4,7 +4,8 @@ Two ways, both exact:
 
 * ``digest_rank`` and ``first_by_digest`` order by the MD5 of a key. A digest's leading hex digits
   cut any set of distinct keys into equal slices, so the plan stays lazy: count the slices, add up
-  the slices before each, and number the rows inside a slice.
+  the slices before each, and number the rows inside a slice. How many digits are taken follows
+  from the size of the group: one of few rows is one slice.
 * ``running_before`` orders by values. It range-partitions, which also balances skewed values,
   writes the partitioned rows once, and adds the totals of the partitions before.
 """
@@ -16,22 +17,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actorlens.operators.joins import join_on
-from actorlens.sources.storage import checkpointed
+from actorlens.sources.storage import materialise
 
 BEFORE = (W.unboundedPreceding, -1)
 
-#: 65,536 slices per group: a group of 10^12 keys has slices of 15 million, which one task can sort.
-SLICE_DIGITS = 4
+#: Rows up to which a group is one slice. A larger one has slices of a sixteenth of this at least.
+SLICE_ROWS = 4096
 
 
 def digest(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
-def _with_slices(df: DataFrame, key: str, hex_digits: int) -> DataFrame:
-    return df.withColumn("_digest", digest(key)).withColumn(
-        "_slice", F.substring("_digest", 1, hex_digits)
-    )
+def with_slices(df: DataFrame, groups: list[str], key: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_digest`` and ``_slice``: as many of its leading digits as the group's size asks for.
+
+    Only large groups are looked up; there are at most rows / ``slice_rows`` of them.
+    """
+    large = df.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_rows)
+    digits = F.ceil(F.log(16.0, F.col("_n") / slice_rows)).cast("int")
+    marked = join_on(df, large.select(*groups, F.least(digits, F.lit(32)).alias("_digits")), groups, "left")
+    sliced = marked.withColumn("_digest", digest(key))
+    part = F.substring(F.col("_digest"), F.lit(1), F.coalesce(F.col("_digits"), F.lit(0)))
+    return sliced.withColumn("_slice", part).drop("_digits")
 
 
 def _slice_offsets(sliced: DataFrame, groups: list[str]) -> DataFrame:
@@ -46,12 +54,12 @@ def _slice_offsets(sliced: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = SLICE_DIGITS) -> DataFrame:
+def digest_rank(df: DataFrame, groups: list[str], key: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``rank`` (1..n by MD5 of ``key`` within the groups) and ``group_rows`` (n).
 
     ``key`` has to be unique within a group.
     """
-    sliced = _with_slices(df, key, hex_digits)
+    sliced = with_slices(df, groups, key, slice_rows)
     slices = _slice_offsets(sliced, groups).drop("_rows")
     joined = join_on(sliced, slices, [*groups, "_slice"])
     inside = W.partitionBy(*groups, "_slice").orderBy("_digest", key)
@@ -61,14 +69,14 @@ def digest_rank(df: DataFrame, groups: list[str], key: str, hex_digits: int = SL
 
 
 def first_by_digest(
-    df: DataFrame, groups: list[str], key: str, share: float, output: str, hex_digits: int = SLICE_DIGITS
+    df: DataFrame, groups: list[str], key: str, share: float, output: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Mark the first floor(share * n) rows of each group by MD5 of ``key``.
 
     Only the one slice of a group that the limit falls into is sorted, to find the digest at the
     limit; all other rows are compared with that digest where they are, without a shuffle.
     """
-    sliced = _with_slices(df, key, hex_digits)
+    sliced = with_slices(df, groups, key, slice_rows)
     limit = F.floor(F.lit(share) * F.col("group_rows"))
     cut_slices = (
         _slice_offsets(sliced.select(*groups, "_slice"), groups)
@@ -99,7 +107,7 @@ def running_before(
     groups = groups or []
     direction = F.desc if descending else F.asc
     ordering = [*[F.asc(g) for g in groups], *[direction(c) for c in order]]
-    parts = checkpointed(
+    parts = materialise(
         df.repartitionByRange(*ordering).withColumn("_part", F.spark_partition_id())
     )
     earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(*BEFORE)

@@ -12,11 +12,11 @@ def md5(value):
     return hashlib.md5(str(value).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_digest_rank_numbers_every_group(spark, digits):
+@pytest.mark.parametrize("slice_rows", [1, 40, 4096])
+def test_digest_rank_numbers_every_group(spark, slice_rows):
     people = [(i, random.Random(i).choice([0, 0, 0, 1, None])) for i in range(500)]
     df = spark.createDataFrame(people, "id bigint, y int")
-    out = ordering.digest_rank(df, ["y"], "id", digits)
+    out = ordering.digest_rank(df, ["y"], "id", slice_rows)
     for label in (0, 1, None):
         expected = sorted((i for i, y in people if y == label), key=md5)
         found = [r for r in out.collect() if r["y"] == label]
@@ -25,6 +25,14 @@ def test_digest_rank_numbers_every_group(spark, digits):
         assert {r["group_rows"] for r in found} == {len(expected)}
 
 
+def test_slices_follow_the_size_of_the_group(spark):
+    df = spark.range(21_000).selectExpr("id", "if(id < 20000, 'large', 'small') AS g")
+    sizes = ordering.with_slices(df, ["g"], "id", 1_000).groupBy("g", "_slice").count().collect()
+    assert [r["count"] for r in sizes if r["g"] == "small"] == [1_000]
+    large = [r["count"] for r in sizes if r["g"] == "large"]
+    assert len(large) == 256 and max(large) < 1_000
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_before_spans_partitions(spark, descending):
     rng = random.Random(5)
@@ -82,6 +90,45 @@ def test_top_and_frequent_levels(spark):
     assert frequency.share_of_rows(df, chosen).first()[0] == pytest.approx(40 / 130)
 
 
+def test_heavy_levels_among_a_million_rare_ones(spark):
+    """The cells rule almost all rare levels out, and the result is that of counting them all."""
+    rare = spark.range(1_000_000).selectExpr("concat('r', id) AS level")
+    heavy = spark.range(40).selectExpr("explode(array_repeat(concat('h', id), int(20 + id % 30))) AS level")
+    nulls = spark.range(33).selectExpr("cast(null AS string) AS level")
+    df = rare.union(heavy).union(nulls)
+    expected = [tuple(r) for r in frequency.top_levels(frequency.level_counts(df, "level"), 30).collect()]
+    assert [tuple(r) for r in frequency.heavy_levels(df, "level", 30).collect()] == expected
+    summary = frequency.cell_counts(df, "level")
+    kept = summary.filter(f"rows >= {expected[-1][1]}")
+    assert kept.count() < 200 and summary.agg(F.sum("rows")).first()[0] == df.count()
+
+
+@pytest.mark.parametrize("cells", [1, 8, 1 << 18])
+def test_heavy_levels_with_ties_and_few_levels(spark, cells):
+    df = spark.createDataFrame([(x,) for x in "aabbccdde"] + [(None,), (None,)], "level string")
+    counts = frequency.level_counts(df, "level")
+    for n in (1, 3, 5, 6, 20):
+        assert frequency.heavy_levels(df, "level", n, cells).collect() == frequency.top_levels(counts, n).collect()
+    assert frequency.heavy_levels(df.limit(0), "level", 3, cells).count() == 0
+
+
+def test_out_of_fold_totals(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("abc"), rng.randrange(4), rng.randrange(3)) for _ in range(60)] + [("only", 2, 5)]
+    df = spark.createDataFrame(data, "level string, fold int, n bigint")
+    counts = df.groupBy("level", "fold").agg(F.sum("n").alias("n"))
+    expected = []
+    for fold in range(4):
+        for level in ("a", "b", "c", "only"):
+            total = sum(n for x, f, n in data if x == level and f != fold)
+            expected += [(fold, level, total)] if total else []
+    assert rows(frequency.out_of_fold(counts, ["level"], ["n"], 4), "fold", "level", "n") == sorted(expected, key=repr)
+    words = frequency.fold_vocabulary(
+        spark.createDataFrame([(0, "c", "b"), (0, "c", "a"), (1, "c", "b"), (1, "d", "x")], "fold int, column string, level string")
+    )
+    assert rows(words) == [(0, "c", "a", 0.0), (0, "c", "b", 1.0), (1, "c", "b", 0.0), (1, "d", "x", 0.0)]
+
+
 def test_factor_map(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
     levels = frequency.sorted_levels(df, "c")
