@@ -1,9 +1,9 @@
 """Time between consecutive events of an entity or within an auction.
 
 Rows first collapse to one per (key, tick): rows that share a tick are zero ticks apart, so a
-count replaces them. Keys with many rows are then cut into segments of about equal count, which
-bounds the rows a window sorts; the last tick before each segment is carried into it, so no gap is
-lost.
+count replaces them. The ticks of keys with many rows are then swept: a range partitioner lays them
+out in order, cut into segments of equal count, and the last tick of a key in one moves on to the
+next, so no window sorts a whole hot key and no gap is lost.
 """
 
 from __future__ import annotations
@@ -18,38 +18,41 @@ from pyspark.sql.types import DataType
 
 from actorlens.operators.joins import join_on
 from actorlens.operators.profiles import distinct_profile
-from actorlens.sources.storage import checkpointed
+from actorlens.sources.storage import materialise
 
 SEGMENT_ROWS = 1_000_000
+PARTS_PER_CORE = 4
 
 
-def hot_segments(facts: DataFrame, keys: list[str], time: str, segment_rows: int) -> DataFrame | None:
-    """(keys, starts): the first ticks of the segments of each key with more than ``segment_rows`` ticks.
-
-    A range partitioner cuts the hot keys' ticks into parts of about equal count, wherever in time
-    they lie. Any cut gives the same gaps, so the parts themselves need not be kept. None if no key
-    is hot.
-    """
+def _hot_keys(facts: DataFrame, keys: list[str], segment_rows: int) -> tuple[DataFrame, int]:
+    """Keys with more than ``segment_rows`` rows, and how many rows these have in all."""
     counts = facts.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > segment_rows)
-    hot = checkpointed(counts)
-    rows = hot.agg(F.sum("_rows")).first()[0]
-    if not rows:
-        return None
-    ticks = join_on(facts.select(*keys, time).filter(F.col(time).isNotNull()), hot.select(*keys), keys)
-    parts = ticks.repartitionByRange(2 * -(-rows // segment_rows), *keys, time)
-    starts = parts.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(F.min(time).alias("_start"))
-    return checkpointed(starts.groupBy(*keys).agg(F.array_sort(F.collect_set("_start")).alias("_starts")))
+    hot = materialise(counts)
+    return hot.select(*keys), hot.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
 
 
-def with_segments(
-    df: DataFrame, keys: list[str], time: str, segments: DataFrame | None, how: str = "left"
-) -> DataFrame:
-    """Add ``_segment``: 0 for ordinary keys, the number of the segment for hot ones."""
-    if segments is None:
-        return df.withColumn("_segment", F.lit(0))
-    joined = join_on(df, segments, keys, how)
-    passed = F.filter("_starts", lambda start: start <= F.col(time))
-    return joined.withColumn("_segment", F.coalesce(F.size(passed), F.lit(0))).drop("_starts")
+def sweep(ticks: DataFrame, keys: list[str], time: str, rows: int, segment_rows: int) -> DataFrame:
+    """``ticks`` in order of keys and time with ``_segment``: numbers of runs of ``segment_rows``, rising with the order.
+
+    A range partitioner lays the ticks out, wherever in time they lie, in no more parts than the
+    cluster works on at a time; each part is cut in order. The result is stored, as the segments have
+    to stay the same for the ticks and for what is carried from one to the next.
+    """
+    most = PARTS_PER_CORE * ticks.sparkSession.sparkContext.defaultParallelism
+    placed = ticks.repartitionByRange(max(1, min(-(-rows // segment_rows), most)), *keys, time)
+    # The upper bits of the id are the part, the lower ones count its rows.
+    part = F.shiftright(F.col("_at"), 33)
+    run = F.floor((F.col("_at") - F.shiftleft(part, 33)) / segment_rows)
+    numbered = placed.sortWithinPartitions(*keys, time).withColumn("_at", F.monotonically_increasing_id())
+    return materialise(numbered.withColumn("_segment", F.shiftleft(part, 33) + run).drop("_at"))
+
+
+def _carried(placed: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """The last tick of a key before each segment that goes on with the key, as a row without events."""
+    ends = placed.groupBy(*keys, "_segment").agg(F.max(time).alias("_last"))
+    earlier = F.lag("_last").over(W.partitionBy(*keys).orderBy("_segment"))
+    rows = ends.select(*keys, "_segment", earlier.alias(time), F.lit(0).cast("bigint").alias("rows"))
+    return rows.filter(F.col(time).isNotNull())
 
 
 def segmented_tick_gaps(
@@ -61,27 +64,24 @@ def segmented_tick_gaps(
 ) -> DataFrame:
     """One row per (key, tick): ``rows``, the aggregates of ``payload``, ``gap`` and ``_segment``.
 
-    ``gap`` is the distance to the key's previous tick, null for its first.
+    ``gap`` is the distance to the key's previous tick, null for its first. Ordinary keys are one
+    segment each, hot ones are swept in several.
     """
-    ticks = facts.groupBy(*keys, time).agg(F.count("*").alias("rows"), *(payload or []))
-    segments = hot_segments(facts, keys, time, segment_rows)
-    if segments is None:
-        gap = F.col(time) - F.lag(time).over(W.partitionBy(*keys).orderBy(time))
-        return ticks.withColumns({"_segment": F.lit(0), "gap": gap})
-    last_ticks = (
-        with_segments(facts.select(*keys, time), keys, time, segments, "inner")
-        .groupBy(*keys, "_segment")
-        .agg(F.max(time).alias("_last"))
-    )
-    # The last tick before a segment joins the segment as a row of its own, without any event.
-    earlier = F.lag("_last").over(W.partitionBy(*keys).orderBy("_segment"))
-    carried = last_ticks.select(*keys, "_segment", earlier.alias(time), F.lit(0).alias("rows"))
-    segmented = with_segments(ticks, keys, time, segments).unionByName(
-        carried.filter(F.col(time).isNotNull()), allowMissingColumns=True
-    )
-    inside = W.partitionBy(*keys, "_segment").orderBy(time)
-    gaps = segmented.withColumn("gap", F.col(time) - F.lag(time).over(inside))
-    return gaps.filter(F.col("rows") > 0)
+
+    def ticks(some: DataFrame) -> DataFrame:
+        return some.groupBy(*keys, time).agg(F.count("*").alias("rows"), *(payload or []))
+
+    def gap(*within: str) -> Column:
+        return F.col(time) - F.lag(time).over(W.partitionBy(*within).orderBy(time))
+
+    hot, rows = _hot_keys(facts, keys, segment_rows)
+    if not rows:
+        return ticks(facts).withColumns({"_segment": F.lit(0).cast("bigint"), "gap": gap(*keys)})
+    cold = ticks(join_on(facts, hot, keys, "left_anti"))
+    placed = sweep(ticks(join_on(facts, hot, keys, "left_semi")), keys, time, rows, segment_rows)
+    swept = placed.unionByName(_carried(placed, keys, time), allowMissingColumns=True)
+    swept = swept.withColumn("gap", gap(*keys, "_segment")).filter(F.col("rows") > 0)
+    return cold.withColumns({"_segment": F.lit(0).cast("bigint"), "gap": gap(*keys)}).unionByName(swept)
 
 
 def tick_gaps(

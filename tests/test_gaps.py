@@ -1,5 +1,6 @@
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +68,23 @@ def test_hot_key_is_cut_without_losing_gaps(spark, segment_rows):
 def test_hot_key_is_cut_by_count(spark, tick):
     """Evenly spread ticks, one early outlier, one burst."""
     df = spark.range(10_000).select(F.lit("hot").alias("k"), F.expr(tick).cast("bigint").alias("t"))
-    cuts = gaps.hot_segments(df, ["k"], "t", 1_000)
-    segments = gaps.with_segments(df, ["k"], "t", cuts).groupBy("_segment").count()
-    assert segments.count() >= 10
-    assert segments.agg(F.max("count")).first()[0] <= 2_000
+    swept = gaps.sweep(df, ["k"], "t", 10_000, 1_000)
+    segments = swept.groupBy("_segment").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    found = segments.orderBy("_segment").collect()
+    assert len(found) >= 10 and max(r["n"] for r in found) <= 1_000
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+
+
+def test_segments_of_a_hot_key_give_the_same(spark):
+    """A hundred thousand ticks of one key in 2,000 segments, against the same in one."""
+    df = spark.range(100_000).select(F.lit("hot").alias("k"), (F.col("id") * 37 % 100_003).alias("t"))
+    seconds, found = {}, {}
+    for segment_rows in (1_000_000, 50):
+        start = time.perf_counter()
+        found[segment_rows] = stats(df, segment_rows=segment_rows)
+        seconds[segment_rows] = time.perf_counter() - start
+    assert found[50] == found[1_000_000]
+    print(f"sweep in parts: {seconds}")
 
 
 @pytest.mark.parametrize("segment_rows", [2, 10_000])
