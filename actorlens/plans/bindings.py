@@ -13,6 +13,8 @@ DAY = 86_400 * MICROS
 # Gaps of a day and more are breaks in the log, not reactions.
 GAP_CUTOFF = DAY
 BUCKET_WIDTH = 6 * 3_600 * MICROS
+# Spans of time whose ticks are read again when a late bid falls into them.
+FEATURE_BLOCK = 7 * DAY
 
 # Columns that identify rows or entities and never enter a feature vector.
 DROPPED = [
