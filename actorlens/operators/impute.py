@@ -6,16 +6,16 @@ what the training set knows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actorlens.functions.columns import continuous_columns, is_missing
-from actorlens.functions.parallel import run_jobs
+from actorlens.operators.joins import join_on
 from actorlens.operators.neighbours import LEAF_ROWS, build_tree, distinct_points, nearest_in_tree
-from actorlens.sources.storage import checkpointed
+from actorlens.sources.storage import materialise
 
 #: Digits of the z-scores that distances are taken of: the last bits of a mean depend on the order
 #: of its sum, and equal distances have to stay equal from run to run.
@@ -46,8 +46,8 @@ class KnnImputer:
     donors: DataFrame
     k: int = 5
     leaf_rows: int = LEAF_ROWS
-    #: Search trees over the donors by the columns they compare; tables share them.
-    trees: dict[tuple[str, ...], tuple] = field(default_factory=dict)
+    #: Search tree over the donors; all tables share it.
+    tree: tuple | None = None
 
     def standardise(self, df: DataFrame) -> DataFrame:
         """Z-scores behind the untouched columns; nulls and NaN are null."""
@@ -62,43 +62,32 @@ class KnnImputer:
         and without any complete row there are none for anyone: both are errors. Every row of the
         table is in the result.
         """
-        scaled = checkpointed(self.standardise(df))
-        missing = F.array_compact(
-            F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in self.columns])
-        )
-        patterns = [
-            r["missing"]
-            for r in scaled.filter(_any_null(self.columns)).select(missing.alias("missing")).distinct().collect()
-        ]
-        if patterns and self.donors.isEmpty():
+        scaled = materialise(self.standardise(df))
+        rows = scaled.filter(_any_null(self.columns))
+        nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in self.columns])
+        gaps = rows.agg(F.count("*").alias("rows"), F.count_if(nothing).alias("empty")).first()
+        if gaps["rows"] and self.donors.isEmpty():
             raise ValueError("no complete row to fill the gaps of others from")
+        if gaps["empty"]:
+            raise ValueError("a row has no value in any column to impute")
+        complete = scaled.filter(~_any_null(self.columns))
+        return complete.unionByName(self._fill(rows).select(scaled.columns)) if gaps["rows"] else complete
 
-        def fill(absent: list[str]) -> DataFrame:
-            present = [c for c in self.columns if c not in absent]
-            if not present:
-                raise ValueError("a row has no value in any column to impute")
-            rows = scaled.filter(missing == F.array(*[F.lit(c) for c in absent]))
-            return self._fill(rows, present, absent).select(scaled.columns)
+    def _donor_tree(self) -> tuple:
+        """The tree over all columns, built when first asked for; it serves rows with any gaps."""
+        if self.tree is None:
+            dims = [_RANKED + c for c in self.columns]
+            donors = self.donors.select(F.col(self.key).alias("_donor"), *_ranked(self.columns), *self.columns)
+            self.tree = build_tree(distinct_points(donors, dims, "_donor", self.k), dims, self.leaf_rows)
+        return self.tree
 
-        complete = scaled.filter(~_any_null(self.columns))
-        filled = run_jobs(df.sparkSession, fill, sorted(patterns))
-        return reduce(DataFrame.unionByName, filled, complete)
-
-    def _tree(self, present: list[str]) -> tuple:
-        """The tree over these columns, built when first asked for."""
-        name = tuple(present)
-        if name not in self.trees:
-            dims = [_RANKED + c for c in present]
-            donors = self.donors.select(F.col(self.key).alias("_donor"), *_ranked(present), *self.columns)
-            self.trees[name] = build_tree(distinct_points(donors, dims, "_donor", self.k), dims, self.leaf_rows)
-        return self.trees[name]
-
-    def _fill(self, rows: DataFrame, present: list[str], absent: list[str]) -> DataFrame:
-        dims = [_RANKED + c for c in present]
-        placed = rows.select("*", *_ranked(present))
-        found = nearest_in_tree(placed, *self._tree(present), dims, "_donor", self.k)
-        values = found.groupBy(*dims).agg(*[F.avg(c).alias(c) for c in absent])
-        return placed.drop(*absent).join(values, dims, "left")
+    def _fill(self, rows: DataFrame) -> DataFrame:
+        dims = [_RANKED + c for c in self.columns]
+        placed = rows.select("*", *_ranked(self.columns))
+        found = nearest_in_tree(placed, *self._donor_tree(), dims, "_donor", self.k)
+        values = found.groupBy(*dims).agg(*[F.avg(c).alias(f"_near_{c}") for c in self.columns])
+        joined = join_on(placed, values, dims, "left")
+        return joined.withColumns({c: F.coalesce(c, f"_near_{c}") for c in self.columns})
 
 
 def fit_imputer(
@@ -119,5 +108,5 @@ def fit_imputer(
         raise ValueError(f"columns without any value cannot be fitted: {empty}")
     imputer = KnnImputer(key, columns, means, sds, df, k, leaf_rows)
     complete = imputer.standardise(df.select(key, *columns)).filter(~_any_null(columns))
-    imputer.donors = checkpointed(complete)
+    imputer.donors = materialise(complete)
     return imputer

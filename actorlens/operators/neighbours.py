@@ -1,10 +1,13 @@
 """Exact k nearest neighbours between two tables, by equi-joins only.
 
 Donors are cut into a tree of cells: a cell with more than ``leaf_rows`` donors splits its own
-bounding box in four along every dimension. A query walks down the tree, one join per level, and
-keeps the cells whose box comes closer than the distance within which the cells seen so far are
+bounding box in slices along its widest dimension. A query walks down the tree, one join per level,
+and keeps the cells whose box comes closer than the distance within which the cells seen so far are
 sure to hold k donors. Only the donors of the last few leaves are compared one by one. Boxes hold
 the donors' true extremes, so no neighbour can be missed.
+
+A query need not have all coordinates: distances and bounds then run over those it has, so queries
+with different gaps walk down one and the same tree together.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from actorlens.sources.storage import checkpointed
+from actorlens.sources.storage import materialise
 
 LEAF_ROWS = 128
+#: Slices of a cell that splits.
+SLICES = 16
 
 
 def _boxes(donors: DataFrame, dims: list[str], leaf_rows: int) -> DataFrame:
@@ -33,29 +38,27 @@ def _boxes(donors: DataFrame, dims: list[str], leaf_rows: int) -> DataFrame:
 def _descend(donors: DataFrame, boxes: DataFrame, dims: list[str]) -> DataFrame:
     """Move the donors of the cells that split into their child cells."""
     split = boxes.filter("_splits").drop("_parent", "_donors", "_splits")
-    quarters = ", ".join(
-        f"string(coalesce(least(int((`{d}` - `_lo_{d}`) / nullif(`_hi_{d}` - `_lo_{d}`, 0) * 4), 3), 0))"
-        for d in dims
-    )
+    widths = ", ".join(f"`_hi_{d}` - `_lo_{d}`" for d in dims)
+    widest = f"array_position(array({widths}), array_max(array({widths})))"
+    inside = [f"when {widest} = {i} then (`{d}` - `_lo_{d}`) / (`_hi_{d}` - `_lo_{d}`)" for i, d in enumerate(dims, 1)]
+    part = f"string(least(int(case {' '.join(inside)} end * {SLICES}), {SLICES - 1}))"
     kept = [f"`{c}`" for c in donors.columns if c not in ("_cell", "_parent")]
-    return donors.join(split, "_cell").selectExpr(
-        "_cell AS _parent", f"concat(_cell, '/', {quarters}) AS _cell", *kept
-    )
+    return donors.join(split, "_cell").selectExpr("_cell AS _parent", f"concat(_cell, '/', {part}) AS _cell", *kept)
 
 
 def build_tree(
     donors: DataFrame, dims: list[str], leaf_rows: int = LEAF_ROWS
 ) -> tuple[list[DataFrame], list[DataFrame]]:
     """Boxes per level, and the donors with the level's cell as ``_cell``."""
-    level = checkpointed(donors.selectExpr("'' AS _parent", "'0' AS _cell", "*"))
+    level = materialise(donors.selectExpr("'' AS _parent", "'0' AS _cell", "*"))
     boxes, members = [], []
     while True:
-        box = checkpointed(_boxes(level, dims, leaf_rows))
+        box = materialise(_boxes(level, dims, leaf_rows))
         boxes.append(box)
         members.append(level)
         if box.filter("_splits").isEmpty():
             return boxes, members
-        level = checkpointed(_descend(level, box, dims))
+        level = materialise(_descend(level, box, dims))
 
 
 def _leaf_donors(boxes: list[DataFrame], members: list[DataFrame]) -> DataFrame:
@@ -75,8 +78,9 @@ def _frontier(queries: DataFrame, boxes: list[DataFrame], dims: list[str], k: in
         .distinct()
         .selectExpr("*", "'' AS _at", "0L AS _seen", "0D AS _far", "0D AS _near")
     )
-    outside = [f"greatest(`_lo_{d}` - `_q_{d}`, `_q_{d}` - `_hi_{d}`, 0D)" for d in dims]
-    across = [f"greatest(`_q_{d}` - `_lo_{d}`, `_hi_{d}` - `_q_{d}`)" for d in dims]
+    # A missing coordinate is no distance away from anything.
+    outside = [f"coalesce(greatest(`_lo_{d}` - `_q_{d}`, `_q_{d}` - `_hi_{d}`, 0D), 0D)" for d in dims]
+    across = [f"coalesce(greatest(`_q_{d}` - `_lo_{d}`, `_hi_{d}` - `_q_{d}`), 0D)" for d in dims]
     near, far = (" + ".join(f"{x} * {x}" for x in side) for side in (outside, across))
     per_query = W.partitionBy(*q)
     nearest_first = per_query.orderBy("_far", "_at").rowsBetween(W.unboundedPreceding, 0)
@@ -110,7 +114,7 @@ def nearest_in_tree(
 ) -> DataFrame:
     """``nearest_neighbours`` among the donors of a tree."""
     pairs = _frontier(queries, boxes, dims, k).join(_leaf_donors(boxes, members), "_at")
-    steps = [f"(`_q_{d}` - `{d}`)" for d in dims]
+    steps = [f"coalesce(`_q_{d}` - `{d}`, 0D)" for d in dims]
     distance = F.expr(" + ".join(f"{x} * {x}" for x in steps))
     nearest = W.partitionBy(*[f"_q_{d}" for d in dims]).orderBy("_distance", donor_key)
     ranked = pairs.withColumn("_distance", distance).withColumn("_nth", F.row_number().over(nearest))
@@ -128,8 +132,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The k donors nearest to every distinct query point, as (dims, donor columns, ``_distance``).
 
-    Distances are squared Euclidean over ``dims``; ties go to the smaller donor key. Donor columns
-    that share a name with a dimension are dropped.
+    Distances are squared Euclidean over those of ``dims`` that the query has; ties go to the smaller
+    donor key. Donor columns that share a name with a dimension are dropped.
     """
     tree = build_tree(distinct_points(donors, dims, donor_key, k), dims, leaf_rows)
     return nearest_in_tree(queries, *tree, dims, donor_key, k)

@@ -39,6 +39,23 @@ def test_neighbours_equal_brute_force(spark, leaf_rows):
         assert sorted(keys) == brute_neighbours(point, donors, 5)
 
 
+@pytest.mark.parametrize("leaf_rows", [4, 100_000])
+def test_queries_with_gaps_share_one_tree(spark, leaf_rows):
+    rng = random.Random(18)
+    donors = clouds(rng, 60)
+    queries = [tuple(None if rng.random() < 0.4 else rng.uniform(-2, 2) for _ in range(3)) for _ in range(40)]
+    queries = sorted({q for q in queries if any(v is not None for v in q)}, key=repr)
+    q = spark.createDataFrame(queries, "x double, y double, z double")
+    d = spark.createDataFrame(donors, "key string, x double, y double, z double")
+    result = {}
+    for r in neighbours.nearest_neighbours(q, d, ["x", "y", "z"], "key", 5, leaf_rows).collect():
+        result.setdefault((r["x"], r["y"], r["z"]), []).append(r["key"])
+    assert set(result) == set(queries)
+    for point, keys in result.items():
+        near = sorted(donors, key=lambda p: (sum((a - v) * (a - v) for a, v in zip(point, p[1:]) if a is not None), p[0]))
+        assert sorted(keys) == sorted(r[0] for r in near[:5])
+
+
 def test_fewer_donors_than_neighbours(spark):
     q = spark.createDataFrame([(0.0,)], "x double")
     d = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "key string, x double")
