@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from actorlens.operators.joins import join_on
 from actorlens.operators.ordering import running_before
-from actorlens.sources.storage import checkpointed
+from actorlens.sources.storage import materialise
 
 
 def value_distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -42,7 +42,7 @@ def quantiles(distribution: DataFrame, groups: list[str], value: str, probs: dic
 
 def boxplot_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, and outliers."""
-    distribution = checkpointed(value_distribution(df, groups, value))
+    distribution = materialise(value_distribution(df, groups, value))
     boxes = quantiles(distribution, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value).cast("double")

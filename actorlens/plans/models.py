@@ -61,8 +61,14 @@ def linear_svm(sizes: dict[str, int], **settings) -> Estimator:
     )
 
 
-#: Rows of a partition of the fit.
-FIT_PARTITION_ROWS = 200_000
+#: Rows of a partition of the fit, and of the partitions beyond MANY_PARTITIONS.
+FIT_PARTITION_ROWS, LARGE_PARTITION_ROWS = 25_000, 1_000_000
+MANY_PARTITIONS = 400
+
+
+def fit_partitions(rows: int) -> int:
+    """Partitions of the training rows: their number follows from the rows, not from the cluster."""
+    return max(min(rows // FIT_PARTITION_ROWS, MANY_PARTITIONS), rows // LARGE_PARTITION_ROWS) + 1
 
 
 def train(
@@ -74,22 +80,26 @@ def train(
     augment: Augment | None = None,
     balanced: bool = False,
     key: str = "bid_id",
+    laid_out: bool = False,
 ) -> PipelineModel:
     """Fit on the rows of bidders joined with bids: encoding and model in one pipeline model.
 
     Training passes over its input several times, so the joined and encoded rows are written once,
     and deleted after the fit. They are laid out by ``key`` in partitions whose number follows from
-    the rows, so a model does not depend on the cores. ``augment`` may change the rows
-    (key, label, features) before, such as oversample a rare label; ``balanced`` weighs the rows so
-    that both labels count alike.
+    the rows, so a model does not depend on the cores. Bids that are ``laid_out`` already are neither
+    written nor moved: every pass joins and encodes them where they are. ``augment`` may change the
+    rows (key, label, features) before, such as oversample a rare label; ``balanced`` weighs the rows
+    so that both labels count alike.
     """
     spark = joined.sparkSession
     columns = feature_columns(joined, vocabulary.sizes, {*dropped, "outcome"})
     with_indices = indexed(joined, vocabulary)
     encoder = Pipeline(stages=encoding_stages(columns, vocabulary.sizes, one_hot)).fit(with_indices)
     encoded = labelled(encoder.transform(with_indices), "outcome").select(key, "label", "features")
-    path = scratch_path(spark, "training-rows")
-    rows = materialise(augment(encoded) if augment else encoded, path)
+    rows, path = augment(encoded) if augment else encoded, None
+    if not laid_out:
+        path = scratch_path(spark, "training-rows")
+        rows = materialise(rows, path)
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
     estimator = model_maker(vocabulary.sizes)
@@ -97,8 +107,9 @@ def train(
         weights = [F.when(F.col("label") == label, n / len(totals) / rows_of) for label, rows_of in totals.items()]
         rows = rows.withColumn("weight", F.coalesce(*weights))
         estimator = estimator.copy({estimator.getParam("weightCol"): "weight"})
-    placed = rows.repartition(n // FIT_PARTITION_ROWS + 1, key).sortWithinPartitions(key, "label")
-    model = estimator.fit(placed)
+    if laid_out:
+        return PipelineModel(stages=[*encoder.stages, estimator.fit(rows)])
+    model = estimator.fit(rows.repartition(fit_partitions(n), key).sortWithinPartitions(key, "label"))
     release(spark, path)
     return PipelineModel(stages=[*encoder.stages, model])
 
@@ -117,20 +128,6 @@ def score_rows(
     )
 
 
-def train_and_score(
-    train_rows: DataFrame,
-    validation_rows: DataFrame,
-    vocabulary: Vocabulary,
-    model_maker: ModelMaker,
-    one_hot: bool = True,
-    augment: Augment | None = None,
-    balanced: bool = False,
-) -> DataFrame:
-    """(bid_id, bidder_id, outcome, pred, p1) of the validation rows."""
-    model = train(train_rows, vocabulary, model_maker, one_hot, augment=augment, balanced=balanced)
-    return score_rows(validation_rows, model, ["bid_id", "bidder_id", "outcome"], vocabulary)
-
-
 def cross_validate(
     bids: DataFrame,
     folds: DataFrame,
@@ -151,25 +148,30 @@ def cross_validate(
 
     ``folds`` holds the bidders with a ``fold`` column; the first ``pairs`` folds are validated.
     ``prepare`` maps the raw (train, validation) bidders of a fold to model-ready ones, fitted on
-    the first only. The bids meet their levels' indices once for all folds. Scored rows of a fold
-    are written once and read back for the metric; with ``result_dir`` they stay there as text, one
-    folder per fold.
+    the first only. The bids meet their levels' indices and are laid out for training once for all
+    folds; a fold is the bidders that mask them, and rewrites no bid. Scored rows of a fold are
+    written once and read back for the metric; with ``result_dir`` they stay there as text, one folder
+    per fold.
     """
     spark = bids.sparkSession
-    scored_dir, facts_path = scratch_path(spark, "cv-scored"), scratch_path(spark, "cv-facts")
-    facts = materialise(indexed(bids, vocabulary), facts_path)
+    scored_dir = scratch_path(spark, "cv-scored")
+    placed = indexed(bids, vocabulary).repartition(fit_partitions(bids.count()), "bid_id")
+    # A checkpoint, as its partitions and their order stay as they are.
+    facts = checkpointed(placed.sortWithinPartitions("bid_id"))
 
     def validate(fold: int) -> DataFrame:
-        train_bidders, validation_bidders = prepare(*sampling.fold_pair(folds, fold))
-        scored = train_and_score(
+        train_bidders, validation_bidders = map(materialise, prepare(*sampling.fold_pair(folds, fold)))
+        model = train(
             join_entities_to_facts(train_bidders, facts, "bidder_id"),
-            join_entities_to_facts(validation_bidders, facts, "bidder_id"),
             vocabulary,
             model_maker,
             one_hot,
-            augment,
-            balanced,
+            augment=augment,
+            balanced=balanced,
+            laid_out=True,
         )
+        joined = join_entities_to_facts(validation_bidders, facts, "bidder_id")
+        scored = score_rows(joined, model, ["bid_id", "bidder_id", "outcome"], vocabulary)
         stored = materialise(scored, f"{scored_dir}/result_{fold}").withColumn("fold", F.lit(fold))
         if result_dir:
             delimited.write_scored(stored.drop("fold"), f"{result_dir}/result_{fold}")
@@ -179,7 +181,7 @@ def cross_validate(
     bidders = checkpointed(
         metrics.entity_scores(scored, "bidder_id", groups=["fold"], probability="p1")
     )
-    release(spark, scored_dir, facts_path)
+    release(spark, scored_dir)
     by_share = metrics.area_under_roc(bidders, groups=["fold"])
     by_strength = metrics.area_under_roc(bidders, "mean_probability", groups=["fold"])
     areas = by_share.join(
