@@ -33,15 +33,15 @@ def vocabulary(factor_maps: DataFrame, columns: Iterable[str]) -> Vocabulary:
     """
     columns = list(columns)
     maps = factor_maps.filter(F.col("column").isin(columns))
-    counts = maps.groupBy("column").agg(
-        F.count("*").alias("n"), F.count_distinct("level").alias("levels"), F.count_distinct("idx").alias("places"),
-        F.min("idx").alias("low"), F.max("idx").alias("high"),
-    )
+    counts = maps.groupBy("column").agg(F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    # Counted by level and by index in turn, as no row has to be expanded then.
+    levels, places = ({r["column"]: r["count"] for r in maps.select("column", c).distinct().groupBy("column").count().collect()} for c in ("level", "idx"))
     sizes = dict.fromkeys(columns, 0)
     for row in counts.collect():
-        if {row["levels"], row["places"], row["high"] + 1} != {row["n"]} or row["low"] != 0:
-            raise ValueError(f"the indices of {row['column']} have to be 0..n-1, one for each level")
-        sizes[row["column"]] = row["n"]
+        column = row["column"]
+        if {levels[column], places[column], row["high"] + 1} != {row["n"]} or row["low"] != 0:
+            raise ValueError(f"the indices of {column} have to be 0..n-1, one for each level")
+        sizes[column] = row["n"]
     return Vocabulary(maps, sizes)
 
 
@@ -87,6 +87,20 @@ def indexed(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return df
 
 
+def indexed_by_fold(df: DataFrame, fold_maps: DataFrame, column: str) -> DataFrame:
+    """Add ``<column>_idx`` by the map of each row's own ``fold``; an unknown level gets the size of that map.
+
+    ``fold_maps`` has (fold, column, level, idx), so rows meet a vocabulary made without them.
+    """
+    maps = fold_maps.filter(F.col("column") == column)
+    sizes = maps.groupBy(F.col("fold").alias("_fold")).agg(F.count("*").cast("double").alias("_size"))
+    levels = maps.select(F.col("fold").alias("_in"), F.col("level").alias("_level"), F.col("idx").alias("_idx"))
+    met = df.join(levels, (F.col("fold") == F.col("_in")) & (F.col(column) == F.col("_level")), "left")
+    met = met.join(sizes, F.col("fold") == F.col("_fold"), "left")
+    index = F.coalesce("_idx", "_size", F.lit(0.0))
+    return met.withColumn(f"{column}_idx", index).drop("_in", "_level", "_idx", "_fold", "_size")
+
+
 def encoding_stages(
     columns: list[str], sizes: dict[str, int], one_hot: bool = False, output: str = "features"
 ) -> list[Transformer | Estimator]:

@@ -6,6 +6,8 @@ one partial row per task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,22 +73,21 @@ def distinct_profile(
 ) -> DataFrame:
     """Row count and several distinct counts per entity; ``distinct`` maps output to column.
 
-    Exact by default: facts shrink to one row per (entity, column, value) and their rows, so no row
-    is expanded per distinct column behind a shuffle. ``approximate`` trades exactness for sketches
-    that merge before the shuffle.
+    Exact by default: for each column, facts shrink to one row per (entity, value) in their tasks.
+    ``approximate`` trades exactness for sketches that merge before the shuffle.
     """
     if approximate or not distinct:
         counts = [F.approx_count_distinct(F.col(column)).alias(output) for output, column in distinct.items()]
         return facts.groupBy(entity).agg(*counts, F.count("*").alias(rows))
-    # The entity itself, as one more pair, counts the rows and keeps entities without any value.
-    pairs = F.array(
-        F.struct(F.lit("").alias("output"), F.lit(None).cast("string").alias("value")),
-        *[F.struct(F.lit(o).alias("output"), F.col(c).cast("string").alias("value")) for o, c in distinct.items()],
-    )
-    seen = facts.select(entity, F.explode(pairs).alias("_p")).groupBy(entity, "_p.output", "_p.value")
-    seen = seen.agg(F.count("*").alias("_rows"))
-    return seen.groupBy(entity).agg(
-        *[F.count_if((F.col("output") == o) & F.col("value").isNotNull()).alias(o) for o in distinct],
+    # A scan per column reads that column only; nothing is expanded. The rows count under no output.
+    entities = facts.select(entity, F.lit("").alias("output"), F.lit(None).cast("string").alias("value"))
+    values = [
+        facts.select(entity, F.lit(o).alias("output"), F.col(c).cast("string").alias("value")).filter("value IS NOT NULL")
+        for o, c in distinct.items()
+    ]
+    counted = [p.groupBy(entity, "output", "value").agg(F.count("*").alias("_rows")) for p in (entities, *values)]
+    return reduce(DataFrame.unionByName, counted).groupBy(entity).agg(
+        *[F.count_if(F.col("output") == o).alias(o) for o in distinct],
         F.sum(F.when(F.col("output") == "", F.col("_rows")).otherwise(0)).alias(rows),
     )
 
@@ -107,10 +108,6 @@ def informative(profile: DataFrame, min_rows: int = 100, min_negentropy: float =
     )
 
 
-def value_counts(df: DataFrame, column: str, name: str = "levels") -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias(name))
-
-
 def coverage(selected: DataFrame) -> DataFrame:
     """How many levels were selected and how many bot rows they cover."""
     return selected.agg(

@@ -93,3 +93,12 @@ def test_labels_from_numbers_and_from_levels(spark, table):
     assert dict(encoding.labelled(table, "n").dtypes)["label"] == "double"
     with pytest.raises(Exception):
         encoding.labelled(table, "color", ["red"]).collect()
+
+
+def test_rows_are_encoded_by_the_map_of_their_fold(spark):
+    maps = spark.createDataFrame(
+        [(0, "c", "a", 0.0), (0, "c", "b", 1.0), (1, "c", "b", 0.0), (1, "d", "a", 0.0)], "fold int, column string, level string, idx double"
+    )
+    df = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 1, "a"), (4, 1, "b"), (5, 2, "a"), (6, 0, None)], "id int, fold int, c string")
+    out = encoding.indexed_by_fold(df, maps, "c")
+    assert rows(out, "id", "c_idx") == [(1, 0.0), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0), (6, 2.0)]

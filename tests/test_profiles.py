@@ -32,7 +32,6 @@ def test_label_profile(facts, people):
     assert profiles.coverage(chosen).first().asDict() == {"levels": 1, "bots": 2}
     none = profiles.informative(levels, min_rows=100)
     assert profiles.coverage(none).first().asDict() == {"levels": 0, "bots": 0}
-    assert rows(profiles.value_counts(levels, "distinct_bots")) == [(0, 1), (1, 2)]
 
 
 def test_pivot_fills_absent_pairs_with_zero(facts, people):
