@@ -10,26 +10,32 @@ from collections.abc import Callable
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from actorlens.functions import trees
-from actorlens.functions.columns import sanitise_names
+from actorlens.functions.columns import continuous_columns, sanitise_names
 from actorlens.functions.expressions import time_bucket
 from actorlens.operators import (
+    copartitioned,
     encoding,
     frequency,
     gaps,
     impute,
     joins,
+    maintained,
     metrics,
     profiles,
     quantiles,
     sampling,
+    sets,
+    sketches,
 )
 from actorlens.plans import bindings as b
 from actorlens.plans import features, models
-from actorlens.sources import delimited, factor_maps, schema_files
-from actorlens.sources.storage import checkpointed, scratch_path
+from actorlens.sources import delimited, factor_maps, rejects, schema_files
+from actorlens.sources.storage import empty_table, load_model, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +208,29 @@ def left_join_features(spark, d):
     return rounded(table, *features.INTERVALS)
 
 
+@query(
+    "bucketed_bidder_activity",
+    _with(_BIDS, _BIDDERS)
+    + """, activity AS (SELECT bidder_id, count(*) AS bids, min(time) AS first_time, max(time) AS last_time
+                       FROM bids GROUP BY bidder_id)
+          SELECT x.*, bids, first_time, last_time FROM bidders x LEFT JOIN activity USING (bidder_id)""",
+)
+def bucketed_bidder_activity(spark, d):
+    """Bidders with what their bids amount to, from tables in equal buckets that are not moved again."""
+    stored = copartitioned.CoPartitioned.build(b.bids(spark, d), b.bidders(spark, d), "bidder_id", buckets=8)
+    return stored.attach(
+        [F.count("*").alias("bids"), F.min("time").alias("first_time"), F.max("time").alias("last_time")]
+    )
+
+
+@query(
+    "bucketed_join_bidders",
+    _with(_BIDS, _BIDDERS) + " SELECT * FROM bids JOIN bidders USING (bidder_id)",
+)
+def bucketed_join_bidders(spark, d):
+    return copartitioned.CoPartitioned.build(b.bids(spark, d), b.bidders(spark, d), "bidder_id", buckets=8).join()
+
+
 @query(
     "active_bidders",
     _with(_BIDS, _BIDDERS, _feature_sql("bidder_id"))
@@ -406,6 +435,63 @@ def bidder_auctions(spark, d):
     return counts.join(b.training(spark, d).select("bidder_id", "outcome"), "bidder_id")
 
 
+@query(
+    "bidder_sets_by_country",
+    _with(_BIDS) + """ SELECT country, count(DISTINCT bidder_id) AS bidders,
+                              count(DISTINCT bidder_id) FILTER (auction < 50) AS early_bidders FROM bids GROUP BY country""",
+)
+def bidder_sets_by_country(spark, d):
+    """Exact sets of bidders, made by country and auction, rolled up as bitmaps."""
+    facts = b.bids(spark, d)
+    everyone = materialise(frequency.factor_map(facts.select(F.col("bidder_id").cast("string").alias("level")).distinct()))
+    stored = materialise(sets.level_sets(facts, ["country", "auction"], "bidder_id", everyone))
+    by_country = sets.merge(stored, ["country"]).groupBy("country").agg(sets.set_size().alias("bidders"))
+    early = sets.merge(stored.filter("auction < 50"), ["country"]).groupBy("country").agg(sets.set_size().alias("early_bidders"))
+    return by_country.join(early, "country", "left").fillna(0, ["early_bidders"])
+
+
+@query(
+    "sketches_by_merchandise",
+    _with(_BIDS) + """ SELECT merchandise, count(*) AS "rows", count(DISTINCT ip) AS ips, count(DISTINCT bidder_id) AS bidders,
+                              true AS ips_near, true AS bidders_near, true AS median_near, true AS p90_near
+                       FROM bids GROUP BY merchandise""",
+)
+def sketches_by_merchandise(spark, d):
+    """Sketches by day, rolled up, beside the exact counts and ranks they have to come near."""
+    facts = b.bids(spark, d)
+    distinct, shares = {"ips": "ip", "bidders": "bidder_id"}, {"times": {"median": 0.5, "p90": 0.9}}
+    daily = facts.withColumn("day", F.floor(F.col("time") / b.DAY))
+    table = sketches.sketch_table(daily, ["day", "merchandise"], distinct, {"times": "time"})
+    rolled = sketches.roll_up(table, ["merchandise"], list(distinct), list(shares))
+    told = materialise(sketches.estimates(rolled, ["merchandise"], list(distinct), shares))
+    exact = profiles.distinct_profile(facts, "merchandise", distinct, "rows")
+    places = facts.join(told.select("merchandise", "median", "p90"), "merchandise").groupBy("merchandise").agg(
+        *[(F.count_if(F.col("time") <= F.col(name)) / F.count("*")).alias(f"_{name}") for name in shares["times"]]
+    )
+    near = [(F.abs(F.col(f"_about_{o}") / F.col(o) - 1) <= 0.02).alias(f"{o}_near") for o in distinct]
+    near += [(F.abs(F.col(f"_{name}") - share) <= 0.02).alias(f"{name}_near") for name, share in shares["times"].items()]
+    about = told.select("merchandise", *[F.col(o).alias(f"_about_{o}") for o in distinct])
+    return exact.join(about, "merchandise").join(places, "merchandise").select("merchandise", "rows", *distinct, *near)
+
+
+@query(
+    "numeric_summary",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg(CAST({c} AS DOUBLE)), 4) AS mean FROM lineitem"""
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    )
+    + ")",
+)
+def numeric_summary(spark, d):
+    """Count and mean of every column that its type says is continuous."""
+    table = b.table(spark, d, "lineitem")
+    names = continuous_columns(table)
+    long = quantiles.unpivot_metrics(table.select(*names).withColumn("all", F.lit(0)), ["all"], names)
+    means = long.groupBy(F.col("metric").alias("column")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return rounded(means, "mean", digits=4)
+
+
 @query(
     "document_profile",
     """WITH docs AS (SELECT source, lang, toxic FROM documents JOIN labels USING (doc_id)),
@@ -507,6 +593,19 @@ def per_bidder_features(spark, d):
     return rounded(features.per_bidder(b.bids(spark, d), scale=SECONDS), *features.INTERVALS)
 
 
+@query("features_by_batches", _with(_BIDS, _feature_sql("bidder_id")) + _FEATURES_OUT)
+def features_by_batches(spark, d):
+    """The same features, kept up to date by three batches whose times interleave."""
+    facts = b.bids(spark, d)
+    state = maintained.MaintainedFeatures(
+        spark, "bidder_id", "time", b.DISTINCT_FEATURES, b.GAP_CUTOFF, width=b.FEATURE_BLOCK
+    )
+    batch = F.pmod(F.xxhash64("bid_id"), F.lit(3))
+    for number in range(3):
+        state = state.add(facts.filter(batch == number))
+    return rounded(state.features(SECONDS), *features.INTERVALS)
+
+
 @query("grouped_table_udf", _with(_BIDS, _feature_sql("bidder_id")) + _FEATURES_OUT)
 def grouped_table_udf(spark, d):
     import pandas as pd
@@ -617,6 +716,17 @@ def top_level_vocabulary(spark, d):
     return frequency.factor_map(frequency.top_levels(counts, 99))
 
 
+@query(
+    "heavy_levels",
+    _with(_BIDS)
+    + """ SELECT ip AS level, count(*) AS "count" FROM bids GROUP BY ip
+          ORDER BY "count" DESC, level LIMIT 99""",
+)
+def heavy_levels(spark, d):
+    """The most frequent ips, without counting the rare ones."""
+    return frequency.heavy_levels(b.bids(spark, d).select("ip"), "ip", 99)
+
+
 @query(
     "frequent_levels",
     _with(_BIDS)
@@ -851,7 +961,7 @@ def _rounded_scores(filled: DataFrame) -> DataFrame:
     + _impute_sql("active", "everyone", "bidder_id"),
 )
 def standardize_knn_impute(spark, d):
-    per_bidder = checkpointed(features.per_bidder(b.bids(spark, d), scale=SECONDS))
+    per_bidder = materialise(features.per_bidder(b.bids(spark, d), scale=SECONDS))
     people = b.bidders(spark, d)
     known = features.labelled_bidders(people, per_bidder)
     imputer = impute.fit_imputer(known, "bidder_id", features.NUMERIC)
@@ -881,7 +991,7 @@ def _pair_features(spark, d):
 )
 def impute_by_training_part(spark, d):
     table = _pair_features(spark, d).withColumn("all", F.lit(0))
-    split = checkpointed(sampling.stratified_split(table, "pair", "all").drop("all"))
+    split = materialise(sampling.stratified_split(table, "pair", "all").drop("all"))
     imputer = impute.fit_imputer(sampling.train_part(split), "pair", features.NUMERIC)
     return _rounded_scores(imputer.transform(sampling.test_part(split)))
 
@@ -896,7 +1006,7 @@ def impute_by_training_part(spark, d):
     + _impute_sql("features", "features", "pair"),
 )
 def knn_impute_pairs(spark, d):
-    table = checkpointed(_pair_features(spark, d))
+    table = materialise(_pair_features(spark, d))
     filled = impute.fit_imputer(table, "pair", features.NUMERIC).transform(table)
     return _rounded_scores(filled)
 
@@ -908,7 +1018,7 @@ _FREQUENT = {"device": FREQUENT, "url": FREQUENT}
 
 
 def _vocabulary(facts: DataFrame) -> encoding.Vocabulary:
-    maps = checkpointed(features.factor_maps(facts, b.CATEGORICAL, _FREQUENT))
+    maps = materialise(features.factor_maps(facts, b.CATEGORICAL, _FREQUENT))
     return encoding.vocabulary(maps, b.CATEGORICAL)
 
 
@@ -990,13 +1100,27 @@ def feature_arity(spark, d):
     "labelled_features",
     _MAPS
     + """ SELECT bid_id, CAST(outcome AS DOUBLE) AS label, CAST(time AS DOUBLE) AS time,
-                 CAST(coalesce(idx_country, n_country) AS DOUBLE) AS country_idx
+                 CAST(coalesce(idx_merchandise, n_merchandise) AS DOUBLE) AS merchandise_idx,
+                 CAST(coalesce(idx_device, n_device) AS DOUBLE) AS device_idx,
+                 CAST(coalesce(idx_country, n_country) AS DOUBLE) AS country_idx,
+                 CAST(coalesce(idx_url, n_url) AS DOUBLE) AS url_idx
           FROM mapped JOIN bidders USING (bidder_id)""".replace("SELECT bid_id", "SELECT mapped.bid_id"),
 )
 def labelled_features(spark, d):
     encoded = encoding.labelled(_encoded(spark, d, one_hot=False), "outcome")
     x = vector_to_array("features")
-    return encoded.select("bid_id", "label", x[2].alias("time"), x[3].alias("country_idx"))
+    names = ["merchandise_idx", "device_idx", "time", "country_idx", "url_idx"]
+    return encoded.select("bid_id", "label", *[x[i].alias(n) for i, n in enumerate(names)])
+
+
+@query(
+    "forest_bins",
+    _MAPS + f" SELECT greatest({models.MIN_BINS}, n_merchandise + 1, n_device + 1, n_country + 1, n_url + 1) AS bins FROM sizes",
+)
+def forest_bins(spark, d):
+    """The bins that a forest over these columns needs."""
+    sizes = _vocabulary(b.bids(spark, d)).sizes
+    return spark.createDataFrame([(models.random_forest(sizes).getMaxBins(),)], "bins bigint")
 
 
 @query(
@@ -1014,10 +1138,64 @@ def informative_device_encoding(spark, d):
     chosen = levels.filter((F.col("bots") >= 1) & (F.col("humans") + F.col("bots") > MIN_LEVEL_ROWS))
     chosen = chosen.filter("negentropy > -0.5").select(F.col("device").alias("level"))
     maps = frequency.factor_map(chosen).select(F.lit("device").alias("column"), "level", "idx")
-    words = encoding.vocabulary(checkpointed(maps), ["device"])
+    words = encoding.vocabulary(materialise(maps), ["device"])
     return encoding.indexed(b.bids(spark, d).select("bid_id", "device"), words).select("bid_id", "device_idx")
 
 
+_FOLDED = f"""
+folds AS (SELECT bidder_id, outcome, (row_number() OVER (PARTITION BY outcome
+            ORDER BY md5(CAST(bidder_id AS VARCHAR))) - 1) % {CV_FOLDS} AS fold FROM training),
+long AS (SELECT bidder_id, 'device' AS "column", device AS level FROM bids
+         UNION ALL SELECT bidder_id, 'country', country FROM bids),
+outside AS (SELECT k.fold, "column", level, count(*) FILTER (outcome = 0) AS humans, count(*) FILTER (outcome = 1) AS bots
+            FROM long JOIN folds USING (bidder_id), (SELECT unnest(range({CV_FOLDS})) AS fold) k
+            WHERE folds.fold <> k.fold GROUP BY ALL),
+shared AS (SELECT *, CASE WHEN bots = 0 OR humans = 0 THEN 0.0
+                          ELSE p * log2(p) + (1 - p) * log2(1 - p) END AS negentropy
+           FROM (SELECT *, bots / CAST(humans + bots AS DOUBLE) AS p FROM outside)),
+found AS (SELECT * FROM shared WHERE bots >= 1 AND humans + bots > {MIN_LEVEL_ROWS} AND negentropy > -0.46),
+words AS (SELECT *, row_number() OVER (PARTITION BY fold, "column" ORDER BY level) - 1 AS idx FROM found)"""
+
+
+def _fold_words(spark, d):
+    """Folds of the training bidders, and what tells something about a label in each one's training part."""
+    people = b.training(spark, d).select("bidder_id", "outcome")
+    folds = materialise(sampling.stratified_folds(people, "bidder_id", "outcome", CV_FOLDS))
+    found = materialise(
+        frequency.informative_by_fold(
+            b.bids(spark, d), folds, ["device", "country"], "bidder_id", "outcome", CV_FOLDS, MIN_LEVEL_ROWS, -0.46
+        )
+    )
+    return folds, found, frequency.fold_vocabulary(found)
+
+
+@query(
+    "informative_levels_by_fold",
+    _with(_BIDS, _BIDDERS, _TRAINING, _FOLDED)
+    + """ SELECT CAST(fold AS INTEGER) AS fold, "column", level, CAST(idx AS DOUBLE) AS idx, humans, bots,
+                 round(negentropy, 9) AS negentropy FROM words""",
+)
+def informative_levels_by_fold(spark, d):
+    _, found, words = _fold_words(spark, d)
+    return rounded(found.join(words, ["fold", "column", "level"]), "negentropy", digits=9)
+
+
+@query(
+    "informative_encoding_by_fold",
+    _with(_BIDS, _BIDDERS, _TRAINING, _FOLDED)
+    + """ SELECT bid_id, CAST(folds.fold AS INTEGER) AS fold,
+                 CAST(coalesce(idx, (SELECT count(*) FROM words s WHERE s.fold = folds.fold AND s."column" = 'device'), 0)
+                      AS DOUBLE) AS device_idx
+          FROM bids JOIN folds USING (bidder_id)
+               LEFT JOIN words ON words.fold = folds.fold AND words."column" = 'device' AND words.level = device""",
+)
+def informative_encoding_by_fold(spark, d):
+    """Every bid of a training bidder, encoded by the levels that the other folds tell."""
+    folds, _, words = _fold_words(spark, d)
+    facts = b.bids(spark, d).select("bid_id", "bidder_id", "device").join(folds.select("bidder_id", "fold"), "bidder_id")
+    return encoding.indexed_by_fold(facts, words, "device").select("bid_id", "fold", "device_idx")
+
+
 # ---------------------------------------------------------------- scores and metrics
 
 
@@ -1158,24 +1336,79 @@ def csv_roundtrip(spark, d):
 )
 def factor_map_roundtrip(spark, d):
     columns = ["country", "device", "url"]
-    maps = checkpointed(features.factor_maps(b.bids(spark, d), columns, _FREQUENT))
+    maps = materialise(features.factor_maps(b.bids(spark, d), columns, _FREQUENT))
     paths = {column: scratch_path(spark, f"{column}-map") for column in columns}
     factor_maps.write_factor_maps(maps, paths)
     return factor_maps.long_factor_maps(spark, paths)
 
 
+_BAD_LINES = """
+lines AS (
+  SELECT CASE WHEN bid_id % 101 = 0 THEN bid_id || ',' || merchandise
+              WHEN bid_id % 97 = 0 THEN bid_id || ',' || merchandise || ',t' || time || ',' || auction
+              WHEN bid_id % 89 = 0 THEN bid_id || ',' || merchandise || ',' || time || ',' || auction || ',x'
+              ELSE bid_id || ',' || merchandise || ',' || time || ',' || auction END AS text, * FROM bids)"""
+
+
+@query(
+    "rejected_lines",
+    _with(_BIDS, _BAD_LINES)
+    + """ SELECT text, CASE WHEN bid_id % 101 <> 0 AND bid_id % 97 = 0 THEN 'time' END AS "column",
+                 CASE WHEN bid_id % 101 = 0 THEN '2 values instead of 4'
+                      WHEN bid_id % 97 = 0 THEN 'no decimal(38,0): t' || time ELSE '5 values instead of 4' END AS reason, 1 AS places
+          FROM lines WHERE bid_id % 101 = 0 OR bid_id % 97 = 0 OR bid_id % 89 = 0""",
+)
+def rejected_lines(spark, d):
+    """Bad lines of a file with short and long rows and bad numbers; no two share file and line."""
+    good = F.concat_ws(",", "bid_id", "merchandise", "time", "auction")
+    text = (
+        F.when(F.col("bid_id") % 101 == 0, F.concat_ws(",", "bid_id", "merchandise"))
+        .when(F.col("bid_id") % 97 == 0, F.concat_ws(",", "bid_id", "merchandise", F.concat(F.lit("t"), "time"), "auction"))
+        .when(F.col("bid_id") % 89 == 0, F.concat_ws(",", good, F.lit("x")))
+        .otherwise(good)
+    )
+    path = scratch_path(spark, "bad-lines")
+    b.bids(spark, d).select(text).write.text(path)
+    schema = StructType([schema_files.parse_schema_line(x) for x in ("bid_id decimal", "merchandise string", "time decimal", "auction int")])
+    found = rejects.read_checked(spark, path, schema, "NA").rejects
+    places = found.groupBy("file", "line").agg(F.count("*").cast("int").alias("places"))
+    return found.join(places, ["file", "line"]).select("text", "column", "reason", "places")
+
+
 @query(
     "csv_header_roundtrip",
-    _with(_BIDS) + " SELECT bid_id, merchandise, country, auction / 4.0 AS quarter FROM bids",
+    _with(_BIDS) + " SELECT *, auction / 4.0 AS quarter FROM bids",
 )
 def csv_header_roundtrip(spark, d):
     """Names and types come from the file, which is compressed."""
     path = scratch_path(spark, "header-csv")
-    table = b.bids(spark, d).select("bid_id", "merchandise", "country", (F.col("auction") / 4).alias("quarter"))
+    table = b.bids(spark, d).withColumn("quarter", F.col("auction") / 4)
     table.write.option("header", "true").option("compression", "gzip").csv(path)
-    return delimited.read_with_header(spark, path).withColumn("bid_id", F.col("bid_id").cast("bigint"))
+    longs = {c: F.col(c).cast("bigint") for c in ("bid_id", "bidder_id")}
+    return delimited.read_with_header(spark, path).withColumns(longs)
 
 
+@query(
+    "submission_read_back",
+    ALL + "," + _RULE + " SELECT bidder_id, round(prob, 9) AS prob FROM scores",
+)
+def submission_read_back(spark, d):
+    """A submission by the values that its text holds."""
+    path = scratch_path(spark, "submission")
+    delimited.write_submission(_rule_scores(spark, d), path)
+    schema = StructType([schema_files.parse_schema_line(x) for x in ("bidder_id decimal", "prob double")])
+    table = delimited.require_values(delimited.read_table(spark, path, schema))
+    return rounded(table.withColumn("bidder_id", F.col("bidder_id").cast("bigint")), "prob", digits=9)
+
+
+@query("bids_in_parts", _with(_BIDS) + " SELECT * FROM bids")
+def bids_in_parts(spark, d):
+    """Bids added part by part to a typed table that is empty at first, by way of a stored table in partitions."""
+    facts = b.bids(spark, d)
+    parts = [facts.filter(F.col("merchandise").startswith(x) == like) for x, like in (("p", True), ("p", False))]
+    whole = sampling.union_all([empty_table(spark, facts.schema), *parts])
+    return materialise(whole, partition_by=["merchandise"]).select(*facts.columns)
+
 @query(
     "text_sinks",
     ALL + "," + _RULE + """ SELECT 'scored' AS sink, count(*) AS "lines",
@@ -1203,7 +1436,7 @@ def text_sinks(spark, d):
 
 def _prepared(spark, d):
     facts = b.bids(spark, d)
-    per_bidder = checkpointed(features.per_bidder(facts, scale=SECONDS))
+    per_bidder = materialise(features.per_bidder(facts, scale=SECONDS))
     people = b.bidders(spark, d)
     return facts, features.labelled_bidders(people, per_bidder), features.bidders_to_score(people, per_bidder)
 
@@ -1211,7 +1444,7 @@ def _prepared(spark, d):
 def _cv(spark, d, model_maker, one_hot):
     facts, known, _ = _prepared(spark, d)
     # Every fold is validated, so every bidder with bids is scored once.
-    folds = checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", CV_FOLDS))
+    folds = materialise(sampling.stratified_folds(known, "bidder_id", "outcome", CV_FOLDS))
 
     def prepare(train, validation):
         return features.imputed_pair(train, validation)[:2]
@@ -1222,6 +1455,46 @@ def _cv(spark, d, model_maker, one_hot):
     return rounded(_rounded_areas(areas), "auc_by_strength", digits=9)
 
 
+@query(
+    "svm_cv_recomputed",
+    _with(_BIDS, _BIDDERS)
+    + f""", known AS (SELECT * FROM bidders WHERE bidder_id IN (SELECT bidder_id FROM bids)),
+          folds AS (SELECT *, (row_number() OVER (PARTITION BY outcome
+                       ORDER BY md5(CAST(bidder_id AS VARCHAR))) - 1) % {CV_FOLDS} AS fold FROM known)
+          SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (outcome = 1) AS positives,
+                 count(*) FILTER (outcome = 0) AS negatives, true AS same_area, true AS same_rows FROM folds GROUP BY fold""",
+)
+def svm_cv_recomputed(spark, d):
+    """Cross-validation again from the text it left: rows of every fold, and areas by counting pairs of bidders."""
+    facts, known, _ = _prepared(spark, d)
+    folds = materialise(sampling.stratified_folds(known, "bidder_id", "outcome", CV_FOLDS))
+    path = scratch_path(spark, "cv-text")
+    areas, _ = models.cross_validate(
+        facts, folds, lambda *parts: features.imputed_pair(*parts)[:2], _vocabulary(facts), models.linear_svm, CV_FOLDS,
+        result_dir=path, balanced=True,
+    )
+    words = ("bid_id decimal", "bidder_id decimal", "outcome int", "pred double")
+    schema = StructType([schema_files.parse_schema_line(x) for x in words])
+    scored = sampling.union_all(
+        [delimited.read_model_table(spark, f"{path}/result_{i}", schema).withColumn("fold", F.lit(i)) for i in range(CV_FOLDS)]
+    )
+    shares = scored.groupBy("fold", "bidder_id", "outcome").agg(F.avg("pred").alias("share"), F.count("*").alias("n"))
+    counts = shares.groupBy("fold", "share").agg(
+        F.count_if(F.col("outcome") == 1).alias("pos"), F.count_if(F.col("outcome") == 0).alias("neg"), F.sum("n").alias("n")
+    )
+    below = F.coalesce(F.sum("neg").over(W.partitionBy("fold").orderBy("share").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    beaten = counts.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2))
+    pairs = beaten.groupBy("fold").agg(F.sum("_won").alias("won"))
+    sizes = counts.groupBy("fold").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
+    facts_of = joins.join_entities_to_facts(folds, facts, "bidder_id").groupBy("fold").agg(F.count("*").alias("_n"))
+    told = areas.select("fold", "auc", "positives", "negatives").join(pairs, "fold").join(sizes, "fold").join(facts_of, "fold")
+    again = F.col("won") / (F.col("pos") * F.col("neg"))
+    return told.select(
+        F.col("fold").cast("int").alias("fold"), "positives", "negatives",
+        (F.abs(again - F.col("auc")) < 1e-9).alias("same_area"), (F.col("n") == F.col("_n")).alias("same_rows"),
+    )
+
+
 @query("rf_cv_auc")
 def rf_cv_auc(spark, d):
     return _cv(spark, d, models.random_forest, one_hot=False)
@@ -1285,10 +1558,10 @@ def _agreeing(spark, d, model_maker, one_hot, recomputed):
     """Share of each scored bidder's rows whose score equals one recomputed from the model's parts."""
     facts, known, everyone = _prepared(spark, d)
     train, to_score, _ = features.imputed_pair(known, everyone)
-    words = _vocabulary(facts)
-    model = models.train(
-        joins.join_entities_to_facts(train, facts, "bidder_id"), words, model_maker, one_hot, balanced=True
-    )
+    path = scratch_path(spark, "model")
+    models.train_job(facts, train, _vocabulary(facts), model_maker, one_hot, path, balanced=True)
+    # The model and its vocabulary as they were saved.
+    model, words = load_model(f"{path}/pipeline"), models.saved_vocabulary(facts, path)
     joined = encoding.indexed(joins.join_entities_to_facts(to_score, facts, "bidder_id"), words)
     scored = model.transform(joined)
     strength = "probability" if "probability" in scored.columns else "rawPrediction"
