@@ -213,3 +213,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids
                 )
 
     return encoded.select(key, encoded[ids].alias("ids")).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded) of each row's whole text by one coder: a worker that encodes and decodes holds one vocabulary."""
+    schema = f"`{key}` {key_type(docs, key)}, ids array<int>, decoded binary"
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = loaded(path, pattern)
+        for batch in pieces(batches, 1, 2 << 20):
+            found = [coder.encode(value).tolist() for value in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(found, target.field(1).type), pa.array([coder.decode(ids) for ids in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return id_and_text(docs, key, text).mapInArrow(run, schema)

@@ -54,6 +54,9 @@ def test_small_table(spark, reference):
     assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
     assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.encode(empty_documents(spark), PATH, public_tokenizers.PATTERN).count() == 0
+    at_once = bpe.round_trip(docs, PATH, public_tokenizers.PATTERN)
+    assert sorted(at_once.collect()) == sorted(rows)
+    assert bpe.round_trip(empty_documents(spark), PATH, public_tokenizers.PATTERN).count() == 0
 
 
 def test_query(spark, data_dir, reference):
