@@ -1,7 +1,7 @@
 """Exact k nearest neighbours between two tables, by equi-joins only.
 
 Donors are cut into a tree of cells: a cell with more than ``leaf_rows`` donors splits its own
-bounding box in slices along its widest dimension. A query walks down the tree, one join per level,
+bounding box in slices along every dimension. A query walks down the tree, one join per level,
 and keeps the cells whose box comes closer than the distance within which the cells seen so far are
 sure to hold k donors. Only the donors of the last few leaves are compared one by one. Boxes hold
 the donors' true extremes, so no neighbour can be missed.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from actorlens.sources.storage import materialise
 
 LEAF_ROWS = 128
-#: Slices of a cell that splits.
-SLICES = 16
+#: Slices of a cell that splits, along each dimension.
+SLICES = 4
 
 
 def _boxes(donors: DataFrame, dims: list[str], leaf_rows: int) -> DataFrame:
@@ -38,12 +38,12 @@ def _boxes(donors: DataFrame, dims: list[str], leaf_rows: int) -> DataFrame:
 def _descend(donors: DataFrame, boxes: DataFrame, dims: list[str]) -> DataFrame:
     """Move the donors of the cells that split into their child cells."""
     split = boxes.filter("_splits").drop("_parent", "_donors", "_splits")
-    widths = ", ".join(f"`_hi_{d}` - `_lo_{d}`" for d in dims)
-    widest = f"array_position(array({widths}), array_max(array({widths})))"
-    inside = [f"when {widest} = {i} then (`{d}` - `_lo_{d}`) / (`_hi_{d}` - `_lo_{d}`)" for i, d in enumerate(dims, 1)]
-    part = f"string(least(int(case {' '.join(inside)} end * {SLICES}), {SLICES - 1}))"
+    parts = ", ".join(
+        f"string(coalesce(least(int((`{d}` - `_lo_{d}`) / nullif(`_hi_{d}` - `_lo_{d}`, 0) * {SLICES}), {SLICES - 1}), 0))"
+        for d in dims
+    )
     kept = [f"`{c}`" for c in donors.columns if c not in ("_cell", "_parent")]
-    return donors.join(split, "_cell").selectExpr("_cell AS _parent", f"concat(_cell, '/', {part}) AS _cell", *kept)
+    return donors.join(split, "_cell").selectExpr("_cell AS _parent", f"concat(_cell, '/', {parts}) AS _cell", *kept)
 
 
 def build_tree(
