@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from actorlens.sources.storage import materialise
 
-LEAF_ROWS = 128
+LEAF_ROWS = 1024
 #: Slices of a cell that splits, along each dimension.
 SLICES = 4
 
