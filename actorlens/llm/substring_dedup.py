@@ -1,22 +1,25 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text (16 bits, so 16 bytes back). A chunk ends where the hash
-is smallest among the REACH positions on either side: chunks have about twice as many bytes on
-average, and an insertion moves no border further than REACH + 16 bytes away. In a text that repeats
-one short piece each of its periods is a chunk, so that such stretches match at any length. Chunks
-are told apart by a 128-bit digest. A chunk that an earlier document holds, too, is a repeat, and
-repeats that follow each other and have ``least`` bytes together are a repeated passage.
-``mark_repeats`` leaves it at whole chunks. ``mark_passages`` takes them as anchors: it compares the
-bytes before and after with those of the first document, so that a passage reaches to its true ends,
-and only then asks for ``least`` bytes. One whole chunk in the passage is enough.
-
-Digests meet their first document in one aggregation, which combines before its shuffle; only
-(document, digest) pairs and the texts themselves are shuffled, and no step gathers the documents
-of a digest.
+A gear hash rolls over the bytes of a text (16 bits, two of them a byte, so 8 bytes back). A chunk
+ends where the hash is smallest among the REACH positions on either side: chunks have about twice as
+many bytes on average, and an insertion moves no border further than REACH + 8 bytes away. In a text
+that repeats one short piece each of its periods is a chunk, so that such stretches match at any
+length. A chunk that an earlier document holds, too, is a repeat. Repeats that follow each other are a
+run, and runs are anchors: the bytes at their ends are compared with those of the first document, so
+that a passage reaches to its true ends, and only then must it have ``least`` bytes. One whole chunk
+in the passage is enough.
+
+Digests meet their first document in one aggregation, which combines before its shuffle. The texts
+are shuffled once, compressed; each then tells its runs and, once for chunks that follow each other,
+the bytes around chunks that it is the first to hold. From there on only ends of runs move. No step
+gathers the documents of a digest.
+
+Chunks are told apart by 64 bits of their digest. The chunks at the ends of a run are compared byte
+by byte, and a passage ends where they differ; within a run the digest decides.
 
 Defined cases: null and empty texts hold no chunk; the first document is the one with the smallest
 key, so rows that repeat a key are one document and no repeats of each other; rows without a key
-keep everything; a text shorter than a chunk is one chunk; other columns are carried on request.
+keep everything; a text shorter than a chunk is one chunk; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,29 +29,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actorlens.llm.arrow import arrow_schema, id_and_text, pieces
-from actorlens.sources.storage import checkpointed
-
-REACH = 12
-WINDOW = 16
-#: Bytes of repeated chunks in a row that make a passage.
-LEAST = 80
+from actorlens.sources.storage import materialise
+
+REACH = 16
+WINDOW = 8
+#: Bytes of a repeated passage.
+LEAST = 100
+#: Bytes beyond a chunk that its borders can depend on, with room for a character.
+MARGIN = REACH + WINDOW + 8
 #: Bytes of a text that are looked at together.
 PART = 4 << 20
 
 _GEAR = np.random.default_rng(977).integers(0, 1 << 16, 256, dtype=np.uint16)
-KEY = ["hi", "lo"]
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
-    """Gear hash of the 16 bytes up to each position, by doubling the bytes covered."""
+    """Gear hash of the 8 bytes up to each position, by doubling the bytes covered."""
     h = _GEAR[data]
-    for covered in (1, 2, 4, 8):
+    for covered in (1, 2, 4):
         doubled = h.copy()
-        doubled[covered:] += h[:-covered] << np.uint16(covered)
+        doubled[covered:] += h[:-covered] << np.uint16(2 * covered)
         h = doubled
     return h * np.uint16(40503)
 
@@ -86,77 +91,105 @@ def borders(data: bytes) -> list[int]:
     return sorted({*out, len(data)})
 
 
-def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, digest) of each chunk, in bytes."""
-    data = text.encode()
-    cuts = borders(data) if data else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield a, b, xxhash.xxh3_128_digest(data[a:b])
-
-
 def chunk_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(hi, lo, doc): the digests of each row's chunks, once per row."""
-    schema = "hi bigint, lo bigint, doc bigint"
+    """(hi, doc): the digests of each row's chunks, once per row."""
+    schema = "hi bigint, doc bigint"
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found, counts = [], []
             for value in batch.column(1).to_pylist():
-                keys = {digest for _, _, digest in chunks(value)}
+                data = value.encode()
+                cuts = borders(data) if data else []
+                keys = {xxhash.xxh3_128_digest(data[a:b])[:8] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
                 found += keys
                 counts.append(len(keys))
-            halves = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+            halves = np.frombuffer(b"".join(found), ">i8").astype(np.int64)
             docs_of = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs_of, pa.int64())], schema=target
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(halves), pa.array(docs_of, pa.int64())], schema=target)
 
     known = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text))
     return id_and_text(known, "doc", text).mapInArrow(run, schema)
 
 
-def passages(text: str, first_of: dict[bytes, int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start, stop, first document) in bytes of each repeated passage; that of its longest chunk."""
-    found, run = [], []
-    for a, b, digest in [*chunks(text), (0, 0, b"")]:
-        if digest in first_of:
-            run.append((a, b, first_of[digest]))
-            continue
-        if run and run[-1][1] - run[0][0] >= least:
-            found.append((run[0][0], run[-1][1], max(run, key=lambda c: (c[1] - c[0], -c[2]))[2]))
-        run = []
-    return found
+def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, _key, _packed): the texts compressed before they are shuffled."""
+    schema = f"doc bigint, _key {docs.schema[key].dataType.simpleString()}, _packed binary"
+    target = arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch in pieces(batches):
+            packed = [packer.compress(value.encode()) for value in batch.column(1).to_pylist()]
+            made = [batch.column(0), batch.column(2), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target, strict=True)], schema=target)
 
-def _surroundings(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(hi, first, around, at): each shared chunk in its first document, with the bytes beside it.
+    known = docs.filter(F.col(key).isNotNull())
+    rows = known.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(key))
+    return rows.toDF("doc", "_text", "_key").mapInArrow(run, schema)
+
+
+def _reaches(cuts: list[int], i: int, size: int) -> tuple[int, int]:
+    """From where to where bytes beside chunk ``i`` may agree with another text, if its neighbours are not shared.
 
     Those are the chunks on either side and as far beyond as a border can depend on: where texts
     agree further, they agree on the border, too, and the next chunk is shared.
     """
-    schema = "hi bigint, first bigint, around binary, at int"
-    target = arrow_schema(schema)
-    margin = REACH + WINDOW + 8
+    return max(0, cuts[max(0, i - 1)] - MARGIN), min(size, cuts[min(len(cuts) - 1, i + 2)] + MARGIN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            rows = []
-            for doc, value, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                left, data = set(wanted), value.encode()
-                cuts = borders(data) if data else []
-                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    hi = _hi(xxhash.xxh3_128_digest(data[a:b]))
-                    if hi in left:
-                        left.remove(hi)
-                        low = max(0, cuts[max(0, i - 1)] - margin)
-                        rows.append((hi, doc, data[low : cuts[min(len(cuts) - 1, i + 2)] + margin], a - low))
-            made = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, target, strict=True)], schema=target)
 
-    wanted = shared.groupBy(F.col("first").alias("doc")).agg(F.collect_list("hi").alias("_wanted"))
-    found = texts.join(wanted, "doc").select("doc", "_text", "_wanted").mapInArrow(run, schema)
-    return found.groupBy("hi", "first").agg(F.min(F.struct("around", "at")).alias("_s")).select("hi", "first", "_s.*")
+def shared_parts(data: bytes, first_of: dict[int, int], doc: int) -> tuple[list[dict], list[bytes], list[dict]]:
+    """What a text shares: its runs of repeated chunks, and the stretches that it is the first to hold.
+
+    A run has the bytes it may reach to (``body``), the code points before them, the end of its first
+    chunk and the start of its last one in them. A stretch holds chunks that follow each other, with
+    the bytes beside them; each chunk tells its place in it.
+    """
+    cuts = borders(data) if data else []
+    runs, stretches, chunks_of = [], [], []
+    left, run, stretch = {h for h, first in first_of.items() if first == doc}, [], []
+    counted, chars = 0, 0
+    for i, (a, b) in enumerate([*zip(cuts[:-1], cuts[1:], strict=True), (0, 0)]):
+        hi = _hi(xxhash.xxh3_128_digest(data[a:b])) if b else 0
+        first = first_of.get(hi) if b else None
+        if first is not None and first < doc:
+            run.append((i, a, b, hi, first))
+        elif run:
+            (m, _, a_stop, a_hi, _), (n, b_start, _, b_hi, _) = run[0], run[-1]
+            low, high = _reaches(cuts, m, len(data))[0], _reaches(cuts, n, len(data))[1]
+            while data[low] & 0xC0 == 0x80:
+                low += 1
+            while high < len(data) and data[high] & 0xC0 == 0x80:
+                high += 1
+            if low >= counted:
+                chars += _characters(data[counted:low])
+            else:
+                chars -= _characters(data[low:counted])
+            counted = low
+            size, holder = max((y - x, -f) for _, x, y, _, f in run)
+            runs.append({
+                "chars": chars, "low": low, "body": data[low:high], "a_stop": a_stop - low, "a_hi": a_hi,
+                "b_start": b_start - low, "b_hi": b_hi, "size": size, "first": -holder,
+            })
+            run = []
+        if hi in left and b:
+            left.remove(hi)
+            stretch.append((i, a, b, hi))
+        elif stretch:
+            low, high = _reaches(cuts, stretch[0][0], len(data))[0], _reaches(cuts, stretch[-1][0], len(data))[1]
+            for j, start, stop, its in stretch:
+                at, to = _reaches(cuts, j, len(data))
+                chunks_of.append({
+                    "hi": its, "stretch": len(stretches), "at": at - low, "start": start - low, "stop": stop - low, "to": to - low,
+                })
+            stretches.append(data[low:high])
+            stretch = []
+    return runs, stretches, chunks_of
+
+
+def _characters(data: bytes) -> int:
+    return int(np.count_nonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
 
 
 def _hi(digest: bytes) -> int:
@@ -170,132 +203,121 @@ def _alike(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def whole_passages(
-    text: str, held: dict[int, tuple[int, bytes, int]], least: int = LEAST
-) -> list[tuple[int, int, int]]:
-    """(start, stop, first document) in bytes of each repeated passage, to its true ends.
-
-    ``held`` has (first document, its bytes around the chunk, place of the chunk in them).
-    """
-    data, runs, run = text.encode(), [], []
-    for a, b, digest in [*chunks(text), (0, 0, b"")]:
-        first, around, at = held.get(_hi(digest), (0, b"", 0)) if digest else (0, b"", 0)
-        if around and around[at : at + b - a] == data[a:b]:
-            run.append((a, b, first, around, at))
-            continue
-        if run:
-            (start, _, _, before, place), (last, stop, _, after, there) = run[0], run[-1]
-            start -= _alike(data[max(0, start - place) : start][::-1], before[:place][::-1])
-            rest = after[there + stop - last :]
-            stop += _alike(data[stop : stop + len(rest)], rest)
-            while data[start] & 0xC0 == 0x80:
-                start += 1
-            while stop < len(data) and data[stop] & 0xC0 == 0x80:
-                stop -= 1
-            best = max(run, key=lambda c: (c[1] - c[0], -c[2]))
-            best = (best[1] - best[0], -best[2])
-            if runs and start <= runs[-1][1]:
-                start, stop, best = runs[-1][0], max(stop, runs[-1][1]), max(best, runs[-1][2])
-                runs.pop()
-            runs.append((start, stop, best))
-        run = []
-    return [(a, b, -best[1]) for a, b, best in runs if b - a >= least]
+RUN = "chars:bigint,low:bigint,body:binary,a_stop:bigint,a_hi:bigint,b_start:bigint,b_hi:bigint,size:bigint,first:bigint"
+CHUNK = "hi:bigint,stretch:int,at:bigint,start:bigint,stop:bigint,to:bigint"
 
 
-def mark_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(key, repeats) of every row: (start, stop, first_doc_id, passage) in code points, to the true ends."""
-    # Half a digest is enough, as the bytes of the chunks are compared.
-    keys = chunk_keys(docs, key, text).select("hi", "doc")
-    several = keys.groupBy("hi").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    shared = checkpointed(several.select("hi", "first"))
-    texts = id_and_text(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text)), "doc", text)
-    around = checkpointed(_surroundings(texts.filter("doc IS NOT NULL"), shared))
-    repeated = (
-        keys.join(around, "hi")
-        .filter("doc > first")
-        .groupBy(F.col("doc").alias("_doc"))
-        .agg(F.collect_list(F.struct("hi", "first", "around", "at")).alias("_held"))
-    )
-    rows = docs.select(docs[key].alias("_key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
-    joined = rows.join(repeated, F.col("_key").cast("bigint") == F.col("_doc"), "left").select("_key", "_text", "_held")
+def _parts(docs: DataFrame, held: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, _key, sig, runs, stretches, chunks): ``shared_parts`` of every row; ``sig`` tells texts of a repeated key apart."""
     schema = (
-        f"`{key}` {docs.schema[key].dataType.simpleString()},"
-        " repeats array<struct<start:bigint,stop:bigint,first_doc_id:bigint,passage:string>>"
+        f"doc bigint, _key {docs.schema[key].dataType.simpleString()}, sig bigint,"
+        f" runs array<struct<{RUN}>>, stretches array<binary>, chunks array<struct<{CHUNK}>>"
     )
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
         for batch in pieces(batches):
-            repeats = []
-            for value, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held = {h["hi"]: (h["first"], h["around"], h["at"]) for h in found or ()}
-                data, at, chars, out = value.encode() if held else b"", 0, 0, []
-                for a, b, first in whole_passages(value, held, least) if held else ():
-                    passage = data[a:b].decode()
-                    start = chars + len(data[at:a].decode())
-                    at, chars = b, start + len(passage)
-                    out.append({"start": start, "stop": chars, "first_doc_id": first, "passage": passage})
-                repeats.append(out)
-            made = [batch.column(0), pa.array(repeats, target.field(1).type)]
+            sigs, found = [], []
+            for doc, packed, his, firsts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                data = opener.decompress(packed) if his else b""
+                sigs.append(_hi(xxhash.xxh3_128_digest(data)))
+                found.append(shared_parts(data, dict(zip(his, firsts, strict=True)), doc) if his else ([], [], []))
+            made = [batch.column(0), batch.column(2), pa.array(sigs, pa.int64())]
+            made += [pa.array(c, target.field(3 + i).type) for i, c in enumerate(zip(*found, strict=True))]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target, strict=True)], schema=target)
 
-    return joined.mapInArrow(run, schema)
+    rows = _packed(docs, key, text).join(held, "doc", "left")
+    return rows.select("doc", "_packed", "_key", "_his", "_firsts").mapInArrow(run, schema)
 
 
-def mark_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """(key, kept, repeats, carried columns): the text without repeated passages, and these.
+def _agreements(ends: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(doc, sig, run, n_before, n_after): bytes that both ends of each run share with the first text, their chunk included."""
+    schema = "doc bigint, sig bigint, run int, side int, n bigint"
+    target = arrow_schema(schema)
 
-    ``repeats`` holds (start, stop, first_doc_id, passage), in code points of the text.
-    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, column=4):
+            sides, mine, other = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            n = [_alike(m, o) if side else _alike(m[::-1], o[::-1]) for side, m, o in zip(sides, mine, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], schema=target)
+
+    other = F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("after"))
+    both = ends.join(theirs, "hi").select("doc", "sig", "run", "side", "mine", other.alias("other"))
+    return both.mapInArrow(compare, schema)
+
+
+def _merged(runs: list[dict], reach: dict[tuple[int, int], int], least: int) -> list[dict]:
+    """The passages of a text from its runs and the bytes that their ends share."""
+    out = []
+    for no, r in enumerate(runs):
+        start, stop = r["a_stop"] - reach.get((no, 0), 0), r["b_start"] + reach.get((no, 1), 0)
+        body = r["body"]
+        while start < len(body) and body[start] & 0xC0 == 0x80:
+            start += 1
+        while stop < len(body) and body[stop] & 0xC0 == 0x80:
+            stop -= 1
+        if start >= stop:
+            continue
+        chars = r["chars"] + _characters(body[:start])
+        new = (r["low"] + start, r["low"] + stop, chars, (r["size"], -r["first"]), body[start:stop])
+        while out and new[0] <= out[-1][1]:
+            one, other = sorted([out.pop(), new], key=lambda p: p[0])
+            joined = one[4] + other[4][max(0, one[1] - other[0]) :]
+            new = (one[0], max(one[1], other[1]), one[2], max(one[3], other[3]), joined)
+        out.append(new)
+    found = []
+    for low, high, chars, (_, first), passage in out:
+        if high - low >= least:
+            value = passage.decode()
+            found.append({"start": chars, "stop": chars + len(value), "first_doc_id": -first, "passage": value})
+    return found
+
+
+def mark_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, repeats) of every row: (start, stop, first_doc_id, passage) in code points, to the true ends."""
     keys = chunk_keys(docs, key, text)
-    several = keys.groupBy(*KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    several = keys.groupBy("hi").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     # Stored, so that the join meets a table and can split the rows of a frequent chunk.
-    shared = checkpointed(several.select(*KEY, "first"))
-    repeated = (
-        keys.join(shared, KEY)
-        .filter("doc > first")
-        .groupBy(F.col("doc").alias("_doc"))
-        .agg(F.collect_set(F.struct(*KEY, "first")).alias("_r"))
-        .select("_doc", F.col("_r.hi").alias("_hi"), F.col("_r.lo").alias("_lo"), F.col("_r.first").alias("_first"))
+    shared = materialise(several.select("hi", "first"))
+    held = keys.join(shared, "hi").groupBy("doc").agg(F.collect_set(F.struct("hi", "first")).alias("_held"))
+    held = held.select("doc", F.col("_held.hi").alias("_his"), F.col("_held.first").alias("_firsts"))
+    parts = materialise(_parts(docs, held, key, text))
+
+    runs = parts.select("doc", "sig", F.posexplode("runs").alias("run", "r"))
+    side = lambda n, hi, mine: F.struct(F.lit(n).alias("side"), hi.alias("hi"), mine.alias("mine"))
+    body = F.col("r.body")
+    sides = F.array(
+        side(0, F.col("r.a_hi"), F.substr(body, F.lit(1), F.col("r.a_stop").cast("int"))),
+        side(1, F.col("r.b_hi"), F.substr(body, (F.col("r.b_start") + 1).cast("int"))),
     )
-    texts = docs.select(
-        docs[key].alias("_key"),
-        F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"),
-        *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)],
-    )
-    joined = texts.join(repeated, F.col("_key").cast("bigint") == F.col("_doc"), "left").select(
-        "_key", "_text", "_hi", "_lo", "_first", *[f"_c{i}" for i in range(len(carry))]
-    )
-    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    ends = runs.select("doc", "sig", "run", F.explode(sides).alias("e")).select("doc", "sig", "run", "e.*")
+
+    wanted = parts.select(F.explode(F.flatten(F.transform("runs", lambda r: F.array(r["a_hi"], r["b_hi"])))).alias("hi")).distinct()
+    places = parts.select("doc", "sig", F.explode("chunks").alias("c")).select("doc", "sig", "c.*").join(wanted, "hi", "left_semi")
+    stretches = parts.select("doc", "sig", F.posexplode("stretches").alias("stretch", "bytes"))
+    cut = lambda a, b: F.substr("bytes", (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+    around = F.struct(cut("at", "stop").alias("before"), cut("start", "to").alias("after"))
+    theirs = places.join(stretches, ["doc", "sig", "stretch"]).groupBy("hi").agg(F.min(around).alias("_a"))
+    theirs = materialise(theirs.select("hi", "_a.*"))
+
+    reached = _agreements(ends, theirs).groupBy("doc", "sig").agg(F.collect_set(F.struct("run", "side", "n")).alias("_reach"))
+    joined = parts.join(reached, ["doc", "sig"], "left").select("_key", "runs", "_reach")
     schema = (
-        f"`{key}` {docs.schema[key].dataType.simpleString()}, kept string,"
-        f" repeats array<struct<start:bigint,stop:bigint,first_doc_id:bigint,passage:string>>{carried}"
+        f"`{key}` {docs.schema[key].dataType.simpleString()},"
+        " repeats array<struct<start:bigint,stop:bigint,first_doc_id:bigint,passage:string>>"
     )
     target = arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            kept, repeats = [], []
-            for value, hi, lo, first in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                first_of = {
-                    h.to_bytes(8, "big", signed=True) + x.to_bytes(8, "big", signed=True): f
-                    for h, x, f in zip(hi or (), lo or (), first or (), strict=True)
-                }
-                found = passages(value, first_of, least) if first_of else []
-                data, at, parts, rows, chars = value.encode() if found else b"", 0, [], [], 0
-                for a, b, f in found:
-                    parts.append(data[at:a].decode())
-                    passage = data[a:b].decode()
-                    start = chars + len(parts[-1])
-                    chars = start + len(passage)
-                    rows.append({"start": start, "stop": chars, "first_doc_id": f, "passage": passage})
-                    at = b
-                kept.append("".join(parts) + data[at:].decode() if found else value)
-                repeats.append(rows)
-            made = [batch.column(0), pa.array(kept, pa.string()), pa.array(repeats, target.field(2).type)]
-            made += [batch.column(i) for i in range(5, batch.num_columns)]
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repeats = []
+            for its, reach in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                repeats.append(_merged(its, {(e["run"], e["side"]): e["n"] for e in reach or ()}, least))
+            made = [batch.column(0), pa.array(repeats, target.field(1).type)]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, target, strict=True)], schema=target)
 
-    return joined.mapInArrow(run, schema)
+    nameless = docs.filter(F.col(key).isNull()).select(
+        F.col(key), F.array().cast(docs.sparkSession.createDataFrame([], schema).schema["repeats"].dataType).alias("repeats")
+    )
+    return joined.mapInArrow(finish, schema).unionByName(nameless)
