@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from actorlens.llm.arrow import arrow_schema, id_and_text, pieces
 from actorlens.sources.storage import materialise
 
-REACH = 16
+REACH = 12
 WINDOW = 8
 #: Bytes of a repeated passage.
-LEAST = 100
+LEAST = 80
 #: Bytes beyond a chunk that its borders can depend on, with room for a character.
 MARGIN = REACH + WINDOW + 8
 #: Bytes of a text that are looked at together.
