@@ -99,14 +99,31 @@ class CuckooFilter:
         return False
 
     def delete(self, keys: np.ndarray) -> None:
-        """Remove keys that are in the filter, once each."""
-        for mark, key in zip(self._marks(keys), keys, strict=True):
-            self._delete(mark, key)
-
-    def _delete(self, mark: np.uint16, key: np.uint64) -> None:
-        for table in self.layers:
-            for bucket in self._buckets(np.array([key]), np.array([mark]), len(table)):
-                places = np.flatnonzero(table[bucket[0]] == mark)
-                if len(places):
-                    table[bucket[0], places[0]] = 0
-                    return
+        """Remove keys that are in the filter, once each.
+
+        A fingerprint that more than one layer may hold stays, as one of them can be another key's:
+        it costs a lookup, while a present key must never be missed.
+        """
+        marks = self._marks(keys)
+        places = [self._buckets(keys, marks, len(table)) for table in self.layers]
+        held = np.array([
+            np.any([(table[bucket] == marks[:, None]).any(axis=1) for bucket in both], axis=0)
+            for table, both in zip(self.layers, places, strict=True)
+        ])
+        alone = held.sum(axis=0) == 1
+        for table, (first, _), here in zip(self.layers, places, held, strict=True):
+            self._clear(table, first[here & alone], marks[here & alone])
+
+    def _clear(self, table: np.ndarray, bucket: np.ndarray, marks: np.ndarray) -> None:
+        """Empty one place for each fingerprint, in its bucket or else the other one."""
+        for _ in range(2):
+            pair = (bucket << 16) | marks
+            order = np.argsort(pair, kind="stable")
+            pair, bucket, marks = pair[order], bucket[order], marks[order]
+            # The n-th of equal fingerprints takes the n-th place that holds one.
+            nth = np.arange(len(pair)) - np.searchsorted(pair, pair)
+            match = table[bucket] == marks[:, None]
+            fits = nth < match.sum(axis=1)
+            place = np.argmax(np.cumsum(match[fits], axis=1) == nth[fits, None] + 1, axis=1)
+            table[bucket[fits], place] = 0
+            bucket, marks = self._other(bucket[~fits], marks[~fits], len(table)), marks[~fits]

@@ -12,7 +12,10 @@ document with the smallest key. The index of a corpus is a folder with
 A batch looks its keys up in the filters first. Only keys that may be known are joined with the
 exact counts, and only keys that turn out to be new enter the filters. Deleting documents takes
 their references back, restores the first document of each key from the references, and removes
-keys without a reference from the filters, so that lines come back.
+keys without a reference from the filters, so that lines come back. After VERSIONS batches the counts
+become one table again, and the references too if some were taken back. Then, and when the keys have
+outgrown their shards, the filters are made anew from the exact counts, in as many shards as the keys
+need; as shards must have doubled for that, a key is moved a bounded number of times.
 
 Keys are told apart by a 128-bit hash. Keys spread over shards by their hash; references of a key
 are combined before any shuffle, and no step gathers the documents of a key.
@@ -37,8 +40,10 @@ from actorlens.llm.cuckoo import CuckooFilter
 from actorlens.sources.storage import checkpointed, release, scratch_path
 
 BLANK = b" \t\n\r\x0b\x0c"
-#: Keys of a shard of a new index.
+#: Keys of a shard when it is made; shards are made anew when they have twice as many on average.
 SHARD_KEYS = 65_536
+#: Batches whose counts are read together before they become one table again.
+VERSIONS = 8
 KEY = ["hi", "lo"]
 
 
@@ -80,6 +85,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, folder: str, least: int = 10, shards: int = 0):
         self.spark, self.folder, self.least = spark, folder, least
         self.shards, self.versions, self.filters = shards, 0, None
+        self.keys, self.since, self.deleted = 0, 0, False
 
     @classmethod
     def create(cls, spark: SparkSession, least: int = 10) -> LineIndex:
@@ -171,12 +177,46 @@ class LineIndex:
         path = self._table("counts", self.versions)
         merged.write.parquet(path)
         stored = self.spark.read.parquet(path)
-        if not self.shards:
-            self.shards = max(1, stored.count() // SHARD_KEYS + 1)
-        self._change_filters(stored.filter("new").select(*KEY), insert=True)
-        self.versions += 1
+        self.keys += stored.filter("new").count()
+        self.shards = self.shards or self._shards_needed()
+        if self._outgrown():
+            self._renew()
+        else:
+            self._change_filters(stored.filter("new").select(*KEY), insert=True)
+            self.versions, self.since = self.versions + 1, self.since + 1
         return self
 
+    def _shards_needed(self) -> int:
+        return self.keys // SHARD_KEYS + 1
+
+    def _outgrown(self) -> bool:
+        return self.keys > 2 * SHARD_KEYS * self.shards or self.since + 1 >= VERSIONS
+
+    def _renew(self) -> None:
+        """All counts as one table, filters made anew from it; the current batch is written but not in the filters."""
+        old = [self._table("counts", v) for v in range(self.versions - self.since, self.versions + 1)]
+        path = self._table("counts", self.versions + 1)
+        live = self._latest(self._counts()).filter("refs > 0")
+        live.withColumns({"again": F.lit(False), "new": F.lit(True)}).write.parquet(path)
+        release(self.spark, *old)
+        if self.deleted:
+            self._renew_refs()
+        filters, self.filters = self.filters, None
+        self.versions, self.since, self.shards = self.versions + 1, 0, self._shards_needed()
+        self._change_filters(self.spark.read.parquet(path).select(*KEY), insert=True)
+        if filters:
+            release(self.spark, filters)
+        self.versions, self.since = self.versions + 1, 1
+
+    def _renew_refs(self) -> None:
+        """The references that are left, without those that were taken back."""
+        folder = self.spark.read.parquet(self._table("refs"))
+        old = [self._table("refs", v) for (v,) in folder.select("v").distinct().collect()]
+        left = folder.groupBy(*KEY, "doc").agg(F.sum("change").cast("int").alias("change")).filter("change > 0")
+        left.write.parquet(self._table("refs", self.versions + 1))
+        release(self.spark, *old)
+        self.deleted = False
+
     def delete(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
         """Take documents back that were inserted with the same texts."""
         gone = self._write_refs(docs, -1, key, text)
@@ -195,8 +235,13 @@ class LineIndex:
             *KEY, F.coalesce("refs", F.lit(0)).alias("refs"), "first", "last",
             F.lit(True).alias("again"), F.lit(False).alias("new"),
         ).write.parquet(path)
-        self._change_filters(self.spark.read.parquet(path).filter("refs = 0").select(*KEY), insert=False)
-        self.versions += 1
+        gone_keys = self.spark.read.parquet(path).filter("refs = 0").select(*KEY)
+        self.keys, self.deleted = self.keys - gone_keys.count(), True
+        if self._outgrown():
+            self._renew()
+        else:
+            self._change_filters(gone_keys, insert=False)
+            self.versions, self.since = self.versions + 1, self.since + 1
         return self
 
     def shared(self) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from actorlens.llm import line_dedup
 from actorlens.llm.cuckoo import CuckooFilter
 from actorlens.llm.line_dedup import BLANK, LineIndex
 from tests.llm.helpers import documents, empty_documents
@@ -48,6 +49,44 @@ def test_batches_and_deletion_are_exact(spark):
     assert kept(index, docs) == expected(all_texts)
 
 
+def test_shards_grow_with_the_keys_and_versions_become_one(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "VERSIONS", 3)
+    texts = [f"{A}\nthe line of number {i}\nshared by several {i % 40}" for i in range(200)]
+    docs = documents(spark, texts)
+    at_once = LineIndex.create(spark).insert(docs)
+    index = LineIndex.create(spark).insert(docs.filter("doc_id = 0"))
+    assert index.shards == 1
+    index.insert(docs.filter("doc_id > 0"))
+    assert index.shards == at_once.shards == 241 // 20 + 1 and index.keys == at_once.keys == 241
+    index = LineIndex.create(spark).insert(docs.filter("doc_id = 0"))
+    index.insert(docs.filter("doc_id > 0 and doc_id < 150")).insert(docs.filter("doc_id >= 150"))
+    assert index.keys == 241 <= 2 * 20 * index.shards
+    assert kept(index, docs) == kept(at_once, docs) == expected(dict(enumerate(texts)))
+    # Documents go and come back in more batches than versions are kept.
+    index.delete(docs.filter("doc_id < 30")).delete(docs.filter("doc_id = 40")).delete(docs.filter("doc_id = 41"))
+    gone = [*range(30), 40, 41]
+    left = {i: t for i, t in enumerate(texts) if i not in gone}
+    assert kept(index, docs.filter(~docs.doc_id.isin(gone))) == expected(left)
+    assert index.keys == 241 - 32
+    index.insert(docs.filter("doc_id < 30")).insert(docs.filter("doc_id in (40, 41)"))
+    assert kept(index, docs) == expected(dict(enumerate(texts))) and index.keys == 241
+    assert index._counts().select("v").distinct().count() <= 3
+
+
+def test_deletion_never_takes_the_print_of_another_key():
+    """Small layers with many equal fingerprints: what stays is found, whatever goes."""
+    draw = np.random.default_rng(4)
+    for _ in range(20):
+        keys = draw.integers(0, 1 << 63, 3_000, dtype=np.uint64)
+        known = CuckooFilter(capacity=4)
+        known._marks = lambda k: ((k >> np.uint64(20)) % np.uint64(5) + np.uint64(1)).astype(np.uint16)
+        for part in np.array_split(keys, 9):
+            known.insert(part)
+        known.delete(keys[:1_000])
+        assert known.contains(keys[1_000:]).all()
+
+
 def test_repeated_rows_and_missing_keys(spark):
     docs = documents(spark, [A, A, B]).union(documents(spark, [A, A, B]))
     nameless = spark.createDataFrame([(None, A, "en", "s", 5)], docs.schema)
