@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from actorlens.functions.columns import continuous_columns, is_missing
 from actorlens.operators.joins import join_on
-from actorlens.operators.neighbours import LEAF_ROWS, build_tree, distinct_points, nearest_in_tree
+from actorlens.operators.neighbours import LEAF_ROWS, build_tree, nearest_in_tree, rooted_points, roots
 from actorlens.sources.storage import materialise
 
 #: Digits of the z-scores that distances are taken of: the last bits of a mean depend on the order
@@ -46,7 +46,7 @@ class KnnImputer:
     donors: DataFrame
     k: int = 5
     leaf_rows: int = LEAF_ROWS
-    #: Search tree over the donors; all tables share it.
+    #: Search tree over the donors and its roots; all tables whose gaps it covers share it.
     tree: tuple | None = None
 
     def standardise(self, df: DataFrame) -> DataFrame:
@@ -73,18 +73,21 @@ class KnnImputer:
         complete = scaled.filter(~_any_null(self.columns))
         return complete.unionByName(self._fill(rows).select(scaled.columns)) if gaps["rows"] else complete
 
-    def _donor_tree(self) -> tuple:
-        """The tree over all columns, built when first asked for; it serves rows with any gaps."""
-        if self.tree is None:
+    def _donor_tree(self, needed: list[str]) -> tuple:
+        """Roots, boxes and donors of the tree, built when it lacks a root that rows need."""
+        known = self.tree[0] if self.tree else []
+        if not self.tree or not {*needed} <= {*known}:
+            patterns = sorted({*known, *needed})
             dims = [_RANKED + c for c in self.columns]
             donors = self.donors.select(F.col(self.key).alias("_donor"), *_ranked(self.columns), *self.columns)
-            self.tree = build_tree(distinct_points(donors, dims, "_donor", self.k), dims, self.leaf_rows)
+            points = rooted_points(donors, dims, "_donor", self.k, patterns)
+            self.tree = (patterns, *build_tree(points, dims, self.leaf_rows))
         return self.tree
 
     def _fill(self, rows: DataFrame) -> DataFrame:
         dims = [_RANKED + c for c in self.columns]
         placed = rows.select("*", *_ranked(self.columns))
-        found = nearest_in_tree(placed, *self._donor_tree(), dims, "_donor", self.k)
+        found = nearest_in_tree(placed, *self._donor_tree(roots(placed, dims)), dims, "_donor", self.k)
         values = found.groupBy(*dims).agg(*[F.avg(c).alias(f"_near_{c}") for c in self.columns])
         joined = join_on(placed, values, dims, "left")
         return joined.withColumns({c: F.coalesce(c, f"_near_{c}") for c in self.columns})

@@ -152,3 +152,34 @@ def test_without_complete_rows_filling_is_an_error(spark):
         impute.fit_imputer(table, "key", ["x", "y"]).transform(table)
     complete = spark.createDataFrame([("z", 1.0, 2.0)], table.schema)
     assert impute.fit_imputer(table, "key", ["x", "y"]).transform(complete).count() == 1
+
+
+def test_missing_coordinates_do_not_multiply_the_cells(spark):
+    """Queries without y: a tree over x and y would hand them every slice along y."""
+    rng = random.Random(5)
+    donors = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(3_000)], "key bigint, x double, y double")
+    queries = spark.createDataFrame([(rng.random(), None) for _ in range(50)], "x double, y double")
+    dims = ["x", "y"]
+    patterns = neighbours.roots(queries, dims)
+    assert patterns == ["10"]
+    boxes, members = neighbours.build_tree(neighbours.rooted_points(donors, dims, "key", 5, patterns), dims, 20)
+    frontier = neighbours._frontier(queries, boxes, dims, 5, patterns)
+    assert frontier.count() <= 50 * 5
+    assert neighbours.nearest_in_tree(queries, patterns, boxes, members, dims, "key", 5).count() == 50 * 5
+
+
+def test_queries_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WALKED", 10)
+    donors = spark.createDataFrame([(i, float(i)) for i in range(200)], "key bigint, x double")
+    queries = spark.createDataFrame([(i + 0.25,) for i in range(100)], "x double")
+    boxes, _ = neighbours.build_tree(donors, ["x"], 20)
+    assert len(neighbours._frontier(queries, boxes, ["x"], 2, ["1"]).inputFiles()) > 5
+
+
+def test_rarer_patterns_share_the_root_of_all_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PATTERNS", 1)
+    queries = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0)], "x double, y double")
+    donors = spark.createDataFrame([(i, float(i), float(9 - i)) for i in range(10)], "key bigint, x double, y double")
+    assert neighbours.roots(queries, ["x", "y"]) == ["10", "11"]
+    found = neighbours.nearest_neighbours(queries, donors, ["x", "y"], "key", 1, 2)
+    assert rows(found, "key") == [(1,), (2,), (6,)]
