@@ -63,14 +63,23 @@ def linear_svm(sizes: dict[str, int], **settings) -> Estimator:
 
 #: Rows of a partition of the fit, and of the partitions beyond MANY_PARTITIONS.
 FIT_PARTITION_ROWS, LARGE_PARTITION_ROWS = 25_000, 1_000_000
-MANY_PARTITIONS = 400
+MANY_PARTITIONS = 47
+#: Bids up to which folds are validated side by side. Fits hold their rows while they pass over them; those of several large folds would drive each other out of memory.
+SIDE_BY_SIDE_ROWS = 10_000_000
 
 
 def fit_partitions(rows: int) -> int:
-    """Partitions of the training rows: their number follows from the rows, not from the cluster."""
+    """Partitions of the training rows: their number follows from the rows, not from the cluster.
+
+    An SVM passes over them a hundred times and more, with a task per partition that reports to the driver.
+    """
     return max(min(rows // FIT_PARTITION_ROWS, MANY_PARTITIONS), rows // LARGE_PARTITION_ROWS) + 1
 
 
+def folds_at_a_time(rows: int, parallelism: int) -> int:
+    return parallelism if rows <= SIDE_BY_SIDE_ROWS else 1
+
+
 def train(
     joined: DataFrame,
     vocabulary: Vocabulary,
@@ -155,7 +164,8 @@ def cross_validate(
     """
     spark = bids.sparkSession
     scored_dir = scratch_path(spark, "cv-scored")
-    placed = indexed(bids, vocabulary).repartition(fit_partitions(bids.count()), "bid_id")
+    n = bids.count()
+    placed = indexed(bids, vocabulary).repartition(fit_partitions(n), "bid_id")
     # A checkpoint, as its partitions and their order stay as they are.
     facts = checkpointed(placed.sortWithinPartitions("bid_id"))
 
@@ -177,7 +187,7 @@ def cross_validate(
             delimited.write_scored(stored.drop("fold"), f"{result_dir}/result_{fold}")
         return stored
 
-    scored = reduce(DataFrame.unionByName, run_jobs(spark, validate, range(pairs), parallelism))
+    scored = reduce(DataFrame.unionByName, run_jobs(spark, validate, range(pairs), folds_at_a_time(n, parallelism)))
     bidders = checkpointed(
         metrics.entity_scores(scored, "bidder_id", groups=["fold"], probability="p1")
     )

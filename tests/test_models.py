@@ -194,3 +194,8 @@ def test_forest_does_not_depend_on_the_layout(spark, words):
         for n in (1, 3, 11)
     }
     assert len(texts) == 1
+
+
+def test_partitions_and_folds_of_large_fits_are_few():
+    assert [models.fit_partitions(n) for n in (0, 100_000, 6_000_000, 36_000_000, 90_000_000)] == [1, 5, 48, 48, 91]
+    assert models.folds_at_a_time(1_000_000, 4) == 4 and models.folds_at_a_time(36_000_000, 4) == 1
