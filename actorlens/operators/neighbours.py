@@ -31,7 +31,7 @@ SLICES = 4
 #: Patterns of coordinates that get a root of their own.
 MOST_PATTERNS = 32
 #: Queries of a task that walks down the tree, and queries of a leaf that one task compares.
-WALKED, COMPARED = 2_000, 10_000
+WALKED, COMPARED = 250, 10_000
 
 
 def _pattern(dims: list[str]) -> Column:

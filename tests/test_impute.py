@@ -183,3 +183,10 @@ def test_rarer_patterns_share_the_root_of_all_dimensions(spark, monkeypatch):
     assert neighbours.roots(queries, ["x", "y"]) == ["10", "11"]
     found = neighbours.nearest_neighbours(queries, donors, ["x", "y"], "key", 1, 2)
     assert rows(found, "key") == [(1,), (2,), (6,)]
+
+
+def test_the_walk_of_a_thousand_points_is_spread(spark):
+    points = spark.range(1_000).selectExpr("id AS key", "double(id) AS x", "double(id % 7) AS y")
+    dims = ["x", "y"]
+    boxes, _ = neighbours.build_tree(neighbours.rooted_points(points, dims, "key", 5, ["11"]), dims, 100)
+    assert len(neighbours._frontier(points, boxes, dims, 5, ["11"]).inputFiles()) > 3
