@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def linear_margin(model: LinearSVCModel, features: Column) -> Column:
-    """Dot product of an array column with the coefficients, plus the intercept."""
+    """Dot product of a vector column with the coefficients, plus the intercept; of a sparse vector only the entries it holds."""
+    vector = F.unwrap_udt(features)
+    places = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
     coefficients = F.array(*[F.lit(float(c)) for c in model.coefficients])
-    products = F.zip_with(features, coefficients, lambda x, c: x * c)
+    products = F.zip_with(places, vector["values"], lambda i, x: x * F.get(coefficients, i))
     return F.aggregate(products, F.lit(float(model.intercept)), lambda a, x: a + x)
 
 

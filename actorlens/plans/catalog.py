@@ -1435,7 +1435,8 @@ def text_sinks(spark, d):
 
 
 def _prepared(spark, d):
-    facts = b.bids(spark, d)
+    # Stored, as bids are made from JSON and the model jobs pass over them a dozen times.
+    facts = materialise(b.bids(spark, d))
     per_bidder = materialise(features.per_bidder(facts, scale=SECONDS))
     people = b.bidders(spark, d)
     return facts, features.labelled_bidders(people, per_bidder), features.bidders_to_score(people, per_bidder)
@@ -1566,7 +1567,7 @@ def _agreeing(spark, d, model_maker, one_hot, recomputed):
     scored = model.transform(joined)
     strength = "probability" if "probability" in scored.columns else "rawPrediction"
     said = vector_to_array(strength)[1]
-    again = recomputed(model.stages[-1], vector_to_array("features"))
+    again = recomputed(model.stages[-1], F.col("features"))
     same = F.abs(said - again) <= 1e-9 * (1 + F.abs(again))
     threshold = 0.5 if strength == "probability" else 0.0
     same &= (F.col("prediction") == 1) == (again > threshold)
@@ -1582,4 +1583,7 @@ def svm_scores_recomputed(spark, d):
 
 @query("forest_scores_recomputed", _AGREEING)
 def forest_scores_recomputed(spark, d):
-    return _agreeing(spark, d, models.random_forest, False, trees.forest_probability)
+    def recomputed(model, features):
+        return trees.forest_probability(model, vector_to_array(features))
+
+    return _agreeing(spark, d, models.random_forest, False, recomputed)

@@ -15,6 +15,7 @@ from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from actorlens.functions.parallel import run_jobs
 from actorlens.operators import metrics, sampling
@@ -66,6 +67,8 @@ FIT_PARTITION_ROWS, LARGE_PARTITION_ROWS = 25_000, 1_000_000
 MANY_PARTITIONS = 47
 #: Bids up to which folds are validated side by side. Fits hold their rows while they pass over them; those of several large folds would drive each other out of memory.
 SIDE_BY_SIDE_ROWS = 10_000_000
+#: Bidders of a fold that are broadcast to its bids. A join of more moves the bids, which are then laid out anew once a fold.
+BROADCAST_BIDDERS = 100_000
 
 
 def fit_partitions(rows: int) -> int:
@@ -90,36 +93,50 @@ def train(
     balanced: bool = False,
     key: str = "bid_id",
     laid_out: bool = False,
+    partitions: int | None = None,
 ) -> PipelineModel:
     """Fit on the rows of bidders joined with bids: encoding and model in one pipeline model.
 
-    Training passes over its input several times, so the joined and encoded rows are written once,
-    and deleted after the fit. They are laid out by ``key`` in partitions whose number follows from
-    the rows, so a model does not depend on the cores. Bids that are ``laid_out`` already are neither
-    written nor moved: every pass joins and encodes them where they are. ``augment`` may change the
-    rows (key, label, features) before, such as oversample a rare label; ``balanced`` weighs the rows
-    so that both labels count alike.
+    Training passes over its input several times, so the rows are laid out once by ``key`` in partitions
+    whose number follows from the rows (``partitions`` sets it), and kept on disk until the fit is done;
+    a model does not depend on the cores. Rows move with their columns and are encoded where they come to
+    lie, as vectors are wider. Bids that are ``laid_out`` already are neither kept nor moved: every pass
+    joins and encodes them where they are. ``augment`` may change the rows (key, label, features) before,
+    such as oversample a rare label; ``balanced`` weighs the rows so that both labels count alike.
     """
     spark = joined.sparkSession
     columns = feature_columns(joined, vocabulary.sizes, {*dropped, "outcome"})
-    with_indices = indexed(joined, vocabulary)
-    encoder = Pipeline(stages=encoding_stages(columns, vocabulary.sizes, one_hot)).fit(with_indices)
-    encoded = labelled(encoder.transform(with_indices), "outcome").select(key, "label", "features")
-    rows, path = augment(encoded) if augment else encoded, None
-    if not laid_out:
-        path = scratch_path(spark, "training-rows")
-        rows = materialise(rows, path)
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    inputs = [f"{c}_idx" if c in vocabulary.sizes else c for c in columns]
+    rows, path = indexed(joined, vocabulary).select(key, "outcome", *inputs), None
+    encoder = Pipeline(stages=encoding_stages(columns, vocabulary.sizes, one_hot)).fit(rows)
+
+    def encoded(df: DataFrame) -> DataFrame:
+        return labelled(encoder.transform(df), "outcome").select(key, "label", "features")
+
+    if augment:
+        rows = augment(encoded(rows))
+        if not laid_out:
+            path = scratch_path(spark, "training-rows")
+            rows = materialise(rows, path)
+    labels = rows.select("label") if augment else joined.select(F.col("outcome").cast("double").alias("label"))
+    totals = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
+    if not laid_out:
+        rows = rows.repartition(partitions or fit_partitions(n), key).sortWithinPartitions(key, "label" if augment else "outcome")
+    if not augment:
+        rows = encoded(rows)
+    # On disk, as a fit holds its own form of the rows in memory.
+    kept = rows = rows if laid_out else rows.persist(StorageLevel.DISK_ONLY)
     estimator = model_maker(vocabulary.sizes)
     if balanced and len(totals) > 1:
         weights = [F.when(F.col("label") == label, n / len(totals) / rows_of) for label, rows_of in totals.items()]
         rows = rows.withColumn("weight", F.coalesce(*weights))
         estimator = estimator.copy({estimator.getParam("weightCol"): "weight"})
-    if laid_out:
-        return PipelineModel(stages=[*encoder.stages, estimator.fit(rows)])
-    model = estimator.fit(rows.repartition(fit_partitions(n), key).sortWithinPartitions(key, "label"))
-    release(spark, path)
+    model = estimator.fit(rows)
+    if not laid_out:
+        kept.unpersist()
+    if path:
+        release(spark, path)
     return PipelineModel(stages=[*encoder.stages, model])
 
 
@@ -158,27 +175,30 @@ def cross_validate(
     ``folds`` holds the bidders with a ``fold`` column; the first ``pairs`` folds are validated.
     ``prepare`` maps the raw (train, validation) bidders of a fold to model-ready ones, fitted on
     the first only. The bids meet their levels' indices and are laid out for training once for all
-    folds; a fold is the bidders that mask them, and rewrites no bid. Scored rows of a fold are
-    written once and read back for the metric; with ``result_dir`` they stay there as text, one folder
-    per fold.
+    folds; a fold is the bidders that mask them, and rewrites no bid unless its bidders are too many to
+    be broadcast. Scored rows of a fold are written once and read back for the metric; with
+    ``result_dir`` they stay there as text, one folder per fold.
     """
     spark = bids.sparkSession
     scored_dir = scratch_path(spark, "cv-scored")
     n = bids.count()
-    placed = indexed(bids, vocabulary).repartition(fit_partitions(n), "bid_id")
+    used = bids.drop(*{*DROPPED} - {"bid_id", "bidder_id"})
+    placed = indexed(used, vocabulary).repartition(fit_partitions(n), "bid_id")
     # A checkpoint, as its partitions and their order stay as they are.
     facts = checkpointed(placed.sortWithinPartitions("bid_id"))
 
     def validate(fold: int) -> DataFrame:
         train_bidders, validation_bidders = map(materialise, prepare(*sampling.fold_pair(folds, fold)))
+        few = train_bidders.count() <= BROADCAST_BIDDERS
         model = train(
-            join_entities_to_facts(train_bidders, facts, "bidder_id"),
+            join_entities_to_facts(F.broadcast(train_bidders) if few else train_bidders, facts, "bidder_id"),
             vocabulary,
             model_maker,
             one_hot,
             augment=augment,
             balanced=balanced,
-            laid_out=True,
+            laid_out=few,
+            partitions=fit_partitions(n),
         )
         joined = join_entities_to_facts(validation_bidders, facts, "bidder_id")
         scored = score_rows(joined, model, ["bid_id", "bidder_id", "outcome"], vocabulary)

@@ -2,8 +2,10 @@ import random
 
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from actorlens.functions import trees
 from actorlens.operators import encoding, metrics, sampling
 from actorlens.plans import features, models
 from actorlens.sources import storage
@@ -199,3 +201,36 @@ def test_forest_does_not_depend_on_the_layout(spark, words):
 def test_partitions_and_folds_of_large_fits_are_few():
     assert [models.fit_partitions(n) for n in (0, 100_000, 6_000_000, 36_000_000, 90_000_000)] == [1, 5, 48, 48, 91]
     assert models.folds_at_a_time(1_000_000, 4) == 4 and models.folds_at_a_time(36_000_000, 4) == 1
+
+
+def test_a_fold_of_many_bidders_is_laid_out_as_one_of_few(prepared, words, monkeypatch):
+    bids, known, _ = prepared
+    folds = storage.checkpointed(sampling.stratified_folds(known, "bidder_id", "outcome", 3))
+    found = []
+    for most in (100, 0):
+        monkeypatch.setattr(models, "BROADCAST_BIDDERS", most)
+        monkeypatch.setattr(models, "fit_partitions", lambda n: 3)
+        areas, scores = models.cross_validate(bids, folds, prepare, words, models.random_forest, 1, False)
+        found.append((rows(areas, *areas.columns), rows(scores, "bidder_id", "prob", "mean_probability")))
+    assert found[0] == found[1]
+
+
+def test_training_rows_move_as_columns_and_are_let_go(spark, words, monkeypatch):
+    bids, people = _rare_bots(spark)
+    moved = []
+    repartition = type(bids).repartition
+    monkeypatch.setattr(type(bids), "repartition", lambda df, *to: moved.append(df.columns) or repartition(df, *to))
+    model = models.train(people.withColumnRenamed("bidder_id", "bidder_id_left").join(bids, F.col("bidder_id_left") == F.col("bidder_id")), words, models.linear_svm, True)
+    assert len(model.stages[-1].coefficients) == 10
+    assert moved == [["bid_id", "outcome", "merchandise_idx", "device_idx", "time", "country_idx", "url_idx"]]
+    assert not list(spark.sparkContext._jsc.getPersistentRDDs())
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_margin_from_the_entries_of_a_vector(spark, dense):
+    class Model:
+        coefficients, intercept = [2.0, -1.0, 4.0], 0.5
+
+    vector = Vectors.dense([3.0, 0.0, 0.25]) if dense else Vectors.sparse(3, {0: 3.0, 2: 0.25})
+    found = spark.createDataFrame([(vector,)], ["features"]).select(trees.linear_margin(Model, F.col("features")))
+    assert found.first()[0] == 7.5
