@@ -1451,7 +1451,7 @@ def _cv(spark, d, model_maker, one_hot):
         return features.imputed_pair(train, validation)[:2]
 
     areas, _ = models.cross_validate(
-        facts, folds, prepare, _vocabulary(facts), model_maker, CV_FOLDS, one_hot, balanced=True
+        facts, folds, prepare, _vocabulary(facts), model_maker, CV_FOLDS, one_hot, parallelism=CV_FOLDS, balanced=True
     )
     return rounded(_rounded_areas(areas), "auc_by_strength", digits=9)
 
@@ -1472,7 +1472,7 @@ def svm_cv_recomputed(spark, d):
     path = scratch_path(spark, "cv-text")
     areas, _ = models.cross_validate(
         facts, folds, lambda *parts: features.imputed_pair(*parts)[:2], _vocabulary(facts), models.linear_svm, CV_FOLDS,
-        result_dir=path, balanced=True,
+        result_dir=path, parallelism=CV_FOLDS, balanced=True,
     )
     words = ("bid_id decimal", "bidder_id decimal", "outcome int", "pred double")
     schema = StructType([schema_files.parse_schema_line(x) for x in words])
